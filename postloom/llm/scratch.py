@@ -1,0 +1,52 @@
+"""Intermediate tables in the folder that all executors share.
+
+The folder is the one the session names in ``spark.checkpoint.dir``.  Only where that is unset
+(tests, a laptop) a folder below the warehouse is used instead.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_WRITTEN: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder as a URI or path, without a trailing slash."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    path = f"{shared_dir(spark)}/postloom-{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and return a reader of it.
+
+    This cuts the lineage: losing executors later costs no recomputation of ``df``.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what this driver has written so far; call it only when no live result needs it."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(hadoop).delete(path, True)
+
+
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Bound the rows of an Arrow batch, so that a batch of very long texts fits a worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
