@@ -183,11 +183,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nodes = materialize(nodes, "nodes")
     members = materialize(shared.join(nodes, "k1").select("sh", "node", "n", F.col("np").bitwiseAND(0xFFFFFFFF).alias("pos")).distinct(), "members")
 
-    wanted = nodes.select(F.col("node").alias("doc_id")).distinct()
-    texts = rows.join(wanted, "doc_id", "left_semi").select("doc_id", "text")
-    sets = materialize(texts.mapInArrow(_sets, "node long, shingles binary").distinct(), "sets")
-
     def verified(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(pairs, "pairs")
+        wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        texts = rows.join(wanted, "doc_id", "left_semi").select("doc_id", "text")
+        sets = materialize(texts.mapInArrow(_sets, "node long, shingles binary").distinct(), "sets")
         one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
         two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
         both = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
@@ -196,9 +196,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def fits(n: str, m: str) -> F.Column:
         return F.least(n, m) * den >= F.greatest(n, m) * num
 
-    first = members.groupBy("sh").agg(F.min(F.struct("node", "n")).alias("lead"))
+    def room(n: str, m: str, i: str, j: str) -> F.Column:
+        """What two sets can share from these positions on; at their first shared shingle it must suffice."""
+        return F.least(F.col(n) - F.col(i), F.col(m) - F.col(j)) * (num + den) >= (F.col(n) + F.col(m)) * num
+
+    first = members.groupBy("sh").agg(F.min(F.struct("node", "n", "pos")).alias("lead"))
     star = members.join(first, "sh").where(fits("n", "lead.n") & (F.col("node") != F.col("lead.node")))
-    star = star.groupBy("node", F.col("lead.node").alias("lead")).agg(F.count("*").alias("c"))
+    star = star.groupBy("node", F.col("lead.node").alias("lead")).agg(F.count("*").alias("c"), F.bool_or(room("n", "lead.n", "pos", "lead.pos")).alias("may")).where("may")
     best = star.groupBy("node").agg(F.max_by("lead", F.struct("c", -F.col("lead"))).alias("b"))
     linked = materialize(verified(best.select(F.col("node").alias("a"), "b")), "linked")
     so_far = connected_components(linked)
@@ -208,9 +212,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     open_lists = placed.groupBy("sh").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("sh")
     left = placed.join(open_lists, "sh", "left_semi")
     right = left.select("sh", F.col("node").alias("node_b"), F.col("n").alias("m"), F.col("pos").alias("pos_b"), F.col("comp").alias("comp_b"))
-    # whatever two sets share from these positions on must still reach the required overlap
-    room = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("pos_b")) * (num + den) >= (F.col("n") + F.col("m")) * num
-    pairs = left.join(right, "sh").where((F.col("node") < F.col("node_b")) & (F.col("comp") != F.col("comp_b")) & fits("n", "m") & room)
+    pairs = left.join(right, "sh").where((F.col("node") < F.col("node_b")) & (F.col("comp") != F.col("comp_b")) & fits("n", "m") & room("n", "m", "pos", "pos_b"))
     rest = verified(pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct())
 
     same_id = base.where("doc_id is not null and n_shingles > 0").join(classes, ["k1", "k2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"), "k1", "k2")
