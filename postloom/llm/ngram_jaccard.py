@@ -38,9 +38,8 @@ THRESHOLD = (80, 100)
 BLOCK_SHINGLES = 2_000_000
 #: At most about so many frequent shingles are sent to the executors (16 bytes each).
 ORDERED = 250_000
-
-_SIGN = np.uint64(1 << 63)
-
+#: So many pairs of ids at most are broadcast to the texts (16 bytes each).
+BROADCAST_PAIRS = 1_000_000
 
 def required(n: int | np.ndarray, threshold: tuple[int, int] = THRESHOLD) -> int | np.ndarray:
     """T: the least overlap of a set of n shingles with any set it links with."""
@@ -186,11 +185,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs, "pairs")
         wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        if pairs.count() <= BROADCAST_PAIRS:
+            wanted, pairs = F.broadcast(wanted), F.broadcast(pairs)  # else both meet the texts by a shuffle
         texts = rows.join(wanted, "doc_id", "left_semi").select("doc_id", "text")
-        sets = materialize(texts.mapInArrow(_sets, "node long, shingles binary").distinct(), "sets")
-        one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-        two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-        both = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
+        sets = materialize(texts.mapInArrow(_sets, "node long, shingles binary"), "sets")
+        one = sets.join(pairs, F.col("node") == F.col("a")).select("a", "b", F.col("shingles").alias("x"))
+        two = sets.join(pairs, F.col("node") == F.col("b")).select("a", "b", F.col("shingles").alias("y"))
+        both = one.join(two, ["a", "b"]).select("a", "b", "x", "y")
         return both.mapInArrow(lambda it: _verify(it, threshold), "a long, b long")
 
     def fits(n: str, m: str) -> F.Column:
