@@ -8,7 +8,7 @@ Two deterministic transducers are composed.
   entry states at once, the maps are composed by a parallel prefix scan, and then every chunk is run
   from its true entry state.
 * The *piece transducer* is acyclic: one path for each pretoken, annotated with the tokens it emits
-  and their number.  Paths are compiled on first sight, by the library itself, and found by hash.
+  and their number.  Paths are compiled from the model's merges on first sight, and found by hash.
 
 Added special tokens inside a text are cut out first, as the library does by default.
 """
@@ -29,9 +29,12 @@ STMD, R, V, ELL, E, LETTER, NUMBER, OTHER, QUOTE, SPACE, BLANK, RESET = range(12
 #: last a space or another; an opening quote, and one with r, v, l; a contraction is complete.
 START, LET, NUM, OTH, SP1, SPN, WS1, WSN, APO, APO_R, APO_V, APO_L, DONE = range(13)
 CHUNK = 128
+#: After so many symbols most chunks' maps are constant and are followed as one state.
+SETTLE = 8
 #: Characters that are run at a time, and pretokens that are kept compiled.
 SPAN = 1 << 21
 KEPT = 600_000
+NEAR_BITS = 16
 
 
 @lru_cache(1)
@@ -81,8 +84,16 @@ def marks_of(symbols: np.ndarray) -> np.ndarray:
     grid[:n] = symbols
     grid = np.ascontiguousarray(grid.reshape(chunks, CHUNK).T)
     at = np.broadcast_to(np.arange(13, dtype=np.uint8), (chunks, 13)).copy()
-    for row in grid:
+    for row in grid[:SETTLE]:
         at = flat_to[at * np.uint8(12) + row[:, None]]
+    open_ = np.flatnonzero((at != at[:, :1]).any(axis=1))  # chunks whose map still tells entry states apart
+    one, rest = at[:, 0].copy(), at[open_]
+    for row in grid[SETTLE:]:
+        one = flat_to[one * np.uint8(12) + row]
+        if len(open_):
+            rest = flat_to[rest * np.uint8(12) + row[open_, None]]
+    at[:] = one[:, None]
+    at[open_] = rest
     state = compose(at)
     out = np.empty(grid.shape, np.uint8)
     for k, row in enumerate(grid):
@@ -145,21 +156,98 @@ def pretokens(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 _SPREAD = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64)
 
 
+class Merges:
+    """The ranked merges of a byte-level BPE model, applied to many pieces at once."""
+
+    SLOT_BITS = 19
+
+    def __init__(self, model: dict):
+        vocab = model["vocab"]
+        #: Bytes that print stand for themselves in the vocabulary, the others for 256 and up.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        name = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+        self.first = np.array([vocab[name[b]] for b in range(256)], np.uint32)
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        self.keys = np.array([vocab[a] << 17 | vocab[b] for a, b in pairs], np.uint64)
+        self.made = np.array([vocab[a + b] for a, b in pairs], np.uint32)
+        self.none = len(pairs)
+        slots = self._slots(self.keys)
+        self.key_at = np.full(1 << self.SLOT_BITS, (1 << 64) - 1, np.uint64)
+        self.rank_at = np.full(1 << self.SLOT_BITS, self.none, np.int32)
+        self.key_at[slots[::-1]], self.rank_at[slots[::-1]] = self.keys[::-1], np.arange(self.none, dtype=np.int32)[::-1]
+        rest = np.flatnonzero(self.key_at[slots] != self.keys)  # pairs whose slot another has
+        self.crowded = np.zeros(1 << self.SLOT_BITS, bool)
+        self.crowded[slots[rest]] = True
+        order = np.argsort(self.keys[rest])
+        self.rest_keys, self.rest_ranks = self.keys[rest][order], rest[order].astype(np.int32)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.SLOT_BITS)).astype(np.int64)
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The rank of each pair, or ``none``."""
+        keys = a.astype(np.uint64) << np.uint64(17) | b
+        slots = self._slots(keys)
+        same = self.key_at[slots] == keys
+        out = np.where(same, self.rank_at[slots], np.int32(self.none))
+        if len(self.rest_keys):
+            more = np.flatnonzero(~same & self.crowded[slots])
+            at = np.searchsorted(self.rest_keys, keys[more])
+            at[at == len(self.rest_keys)] = 0
+            hit = self.rest_keys[at] == keys[more]
+            out[more[hit]] = self.rest_ranks[at[hit]]
+        return out
+
+    def apply(self, raw: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids of each piece) of the pieces whose bytes follow each other in ``raw``.
+
+        Each round makes every piece's next merge: the leftmost pair of the lowest rank.
+        """
+        ids, owner = self.first[raw], np.repeat(np.arange(len(sizes)), sizes)
+        done_ids, done_owner = [], []
+        while len(ids):
+            rank = np.full(len(ids), self.none, np.int32)
+            inside = np.flatnonzero(owner[1:] == owner[:-1])
+            rank[inside] = self.ranks(ids[inside], ids[inside + 1])
+            begins = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            length = np.diff(np.append(begins, len(ids)))
+            least = np.minimum.reduceat(rank, begins)
+            live = np.repeat(least < self.none, length)
+            done_ids.append(ids[~live])
+            done_owner.append(owner[~live])
+            candidates = np.flatnonzero(live & (rank == np.repeat(least, length)))
+            left = candidates[np.r_[True, owner[candidates][1:] != owner[candidates][:-1]]] if len(candidates) else candidates
+            ids[left] = self.made[rank[left]]
+            live[left + 1] = False
+            ids, owner = ids[live], owner[live]
+        owner = np.concatenate([np.zeros(0, np.int64), *done_owner])
+        order = np.argsort(owner, kind="stable")
+        return np.concatenate([np.zeros(0, np.uint32), *done_ids])[order], np.bincount(owner, minlength=len(sizes))
+
+
 class Compiled:
     """The tokenizer of one JSON file, compiled piece by piece as texts need it."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            added = json.load(f)["added_tokens"]
+            told = json.load(f)
+        model, before = told["model"], told["pre_tokenizer"]
+        if model["type"] != "BPE" or before["type"] != "ByteLevel" or before["add_prefix_space"] or told["normalizer"]:
+            raise ValueError(f"{path} is not a plain byte-level BPE")
+        added = told["added_tokens"]
+        self.merges = Merges(model)
         self.special = {x["content"].encode(): x["id"] for x in added}
         self.cut = re.compile(b"|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True))) if added else None
         #: Hashes in order with their paths; each path's first id, number of ids, and use since the last purge.
         self.keys, self.path = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.start, self.size, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
         self.ids = np.zeros(0, np.uint32)
+        self._forget_near()
+
+    def _forget_near(self) -> None:
+        """A small table of the last paths found, by the upper bits of the hash."""
+        self.near_key, self.near_path = np.zeros(1 << NEAR_BITS, np.uint64), np.zeros(1 << NEAR_BITS, np.int64)
 
     def _purge(self) -> None:
         """Forget paths that no text has used since the last purge."""
@@ -170,17 +258,16 @@ class Compiled:
         self.ids = self.ids[np.repeat(self.start[old] - (ends - size), size) + np.arange(size.sum())]
         self.path, self.start, self.size = np.arange(len(old)), ends - size, size
         self.used = np.zeros(len(old), bool)
+        self._forget_near()
 
-    def _compile(self, keys: np.ndarray, pieces: list[str]) -> None:
-        found = [x.ids for x in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for x in found for i in x), np.uint32, int(size.sum()))
-        keys, path = np.concatenate([self.keys, keys]), np.concatenate([self.path, len(self.size) + np.arange(len(found))])
+    def _compile(self, keys: np.ndarray, raw: np.ndarray, sizes: np.ndarray) -> None:
+        flat, size = self.merges.apply(raw, sizes)
+        keys, path = np.concatenate([self.keys, keys]), np.concatenate([self.path, len(self.size) + np.arange(len(keys))])
         order = np.argsort(keys, kind="stable")
         self.keys, self.path = keys[order], path[order]
         self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
         self.size, self.ids = np.concatenate([self.size, size]), np.concatenate([self.ids, flat])
-        self.used = np.concatenate([self.used, np.zeros(len(found), bool)])
+        self.used = np.concatenate([self.used, np.zeros(len(size), bool)])
 
     def _paths(self, raw: np.ndarray, begins: np.ndarray) -> np.ndarray:
         """The compiled path of each pretoken, as an index into size and start."""
@@ -192,18 +279,25 @@ class Compiled:
         sums[0] = 0
         np.cumsum(_SPREAD[raw] * up[: len(raw)], out=sums[1:])
         keys = mix((sums[ends] - sums[begins]) * down[begins] + (ends - begins).astype(np.uint64))
-        at = np.searchsorted(self.keys, keys)
-        if len(self.keys):
-            at[at == len(self.keys)] = 0
-            unknown = np.flatnonzero(self.keys[at] != keys)
-            at = self.path[at]
-        else:
-            unknown = np.arange(len(keys))
-        if len(unknown):
-            new, one, back = np.unique(keys[unknown], return_index=True, return_inverse=True)
-            data, one = raw.tobytes(), unknown[one]
-            at[unknown] = len(self.size) + back
-            self._compile(new, [data[a:b].decode() for a, b in zip(begins[one].tolist(), ends[one].tolist(), strict=True)])
+        near = (keys >> np.uint64(64 - NEAR_BITS)).astype(np.int64)
+        at = self.near_path[near]
+        far = np.flatnonzero(self.near_key[near] != keys)
+        if len(far):
+            new, one, back = np.unique(keys[far], return_index=True, return_inverse=True)
+            one = far[one]
+            path = np.searchsorted(self.keys, new)
+            unknown = np.arange(len(new))
+            if len(self.keys):
+                path[path == len(self.keys)] = 0
+                unknown = np.flatnonzero(self.keys[path] != new)
+                path = self.path[path]
+            if len(unknown):
+                begin, size = begins[one[unknown]], (ends - begins)[one[unknown]]
+                path[unknown] = len(self.size) + np.arange(len(unknown))
+                taken = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                self._compile(new[unknown], raw[taken], size)
+            at[far] = path[back]
+            self.near_key[near[one]], self.near_path[near[one]] = new, path
         self.used[at] = True
         return at
 
