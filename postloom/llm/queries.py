@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import leaks
+from .embedding_dedup import near_duplicates
 from .ngram_jaccard import jaccard_components
 from .packing import pack
 from .token_counts import count_tokens
@@ -37,6 +38,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "pages"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op6_url_filter": op6_url_filter,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
     "op10_token_counts": op10_token_counts,
