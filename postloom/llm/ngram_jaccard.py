@@ -15,7 +15,9 @@ reaches T occurrences occurs in one of the other n - T + 1 short lists.  Here
 Equal sets are collapsed to one class first.  Candidates are taken in two rounds.  First each list
 links its members to the list's first one, and each document verifies only the partner it shares most
 short lists with; after that, only lists that still join different components give pairs, and all of
-those pairs are verified.  So a large group of near copies costs a star, not all its pairs, and no
+those pairs are verified.  Before sets are fetched, pairs are compared by parity sketches: a bit for each
+residue of the hashes, set if an odd number of shingles has it.  Bits that differ are a lower bound of the
+shingles that only one set has, so a pair that the sketches reject cannot link.  So a large group of near copies costs a star, not all its pairs, and no
 link between different components is lost.
 """
 
@@ -65,6 +67,29 @@ def divide_skip_overlap(query: np.ndarray, candidate: np.ndarray) -> int:
     return int(np.count_nonzero(many[at] == few))
 
 
+def parity_sketch(x: np.ndarray) -> bytes:
+    """A bit for each residue of the hashes modulo a power of two of at least their number and 64."""
+    bits = max(64, 1 << int(len(x) - 1).bit_length()) if len(x) else 64
+    return np.packbits((np.bincount((x & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def sketch_distance(a: bytes, b: bytes) -> int:
+    """At most the number of shingles that only one of two sets has."""
+    if len(a) > len(b):
+        a, b = b, a
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+
+
+def _may_link(batches: Iterator[pa.RecordBatch], threshold) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, c, n, m, x, y) whose sketches x and y leave a link possible."""
+    num, den = threshold
+    for batch in batches:
+        sizes = (batch.column("n").to_numpy() + batch.column("m").to_numpy()) * (den - num)
+        apart = [sketch_distance(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+        yield batch.select(["a", "b", "c"]).filter(pa.array(np.array(apart, np.int64) * (den + num) <= sizes))
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per document (kind 0), and the shingles that a block of texts has twice or more (kind 1)."""
     held, seen, size = [], set(), 0
@@ -72,27 +97,27 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def repeated() -> pa.RecordBatch:
         x, c = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
         x, c = x[c > 1].view(np.int64), c[c > 1]
-        return _described(np.ones(len(x), np.int8), pa.nulls(len(x), pa.int64()), c, x, np.zeros(len(x), np.int64))
+        return _described(np.ones(len(x), np.int8), pa.nulls(len(x), pa.int64()), c, x, np.zeros(len(x), np.int64), [None] * len(x))
 
     for batch in batches:
-        ns, k1, k2 = [], [], []
+        ns, k1, k2, sketches = [], [], [], []
         for x in shingle_sets(batch.column(1)):
             a, b = set_key(x)
-            ns.append(len(x)), k1.append(a), k2.append(b)
+            ns.append(len(x)), k1.append(a), k2.append(b), sketches.append(parity_sketch(x))
             if len(x) and (a, b) not in seen:
                 seen.add((a, b))
                 held.append(x)
                 size += len(x)
-        yield _described(np.zeros(len(ns), np.int8), batch.column(0), ns, k1, k2)
+        yield _described(np.zeros(len(ns), np.int8), batch.column(0), ns, k1, k2, sketches)
         if size > BLOCK_SHINGLES:
             yield repeated()
             held, seen, size = [], set(), 0
     yield repeated()
 
 
-def _described(kind, doc_id, n, k1, k2) -> pa.RecordBatch:
-    columns = [pa.array(kind, pa.int8()), doc_id.cast(pa.int64()), *(pa.array(x, pa.int64()) for x in (n, k1, k2))]
-    return pa.RecordBatch.from_arrays(columns, ["kind", "doc_id", "n", "k1", "k2"])
+def _described(kind, doc_id, n, k1, k2, sketch) -> pa.RecordBatch:
+    columns = [pa.array(kind, pa.int8()), doc_id.cast(pa.int64()), *(pa.array(x, pa.int64()) for x in (n, k1, k2)), pa.array(sketch, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["kind", "doc_id", "n", "k1", "k2", "sketch"])
 
 
 def _frequent(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -169,9 +194,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark, (num, den) = docs.sparkSession, threshold
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    described = materialize(rows.mapInArrow(_describe, "kind byte, doc_id long, n long, k1 long, k2 long"), "described")
+    described = materialize(rows.mapInArrow(_describe, "kind byte, doc_id long, n long, k1 long, k2 long, sketch binary"), "described")
     base = described.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "k1", "k2")
     classes = base.where("doc_id is not null and n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n"))
+    sketches = described.where("kind = 0 and doc_id is not null and n > 0").select(F.col("doc_id").alias("node"), "sketch")
 
     frequent = spark.sparkContext.broadcast(_frequent(described))
     lists = rows.where("doc_id is not null").select("text").mapInArrow(lambda it: _short_lists(it, frequent, threshold), "sh long, k1 long, np long")
@@ -182,6 +208,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nodes = materialize(nodes, "nodes")
     members = materialize(shared.join(nodes, "k1").select("sh", "node", "n", F.col("np").bitwiseAND(0xFFFFFFFF).alias("pos")).distinct(), "members")
 
+    known = materialize(nodes.select("node").distinct().join(sketches, "node"), "sketches")
+
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs, "pairs")
         wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
@@ -194,6 +222,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         both = one.join(two, ["a", "b"]).select("a", "b", "x", "y")
         return both.mapInArrow(lambda it: _verify(it, threshold), "a long, b long")
 
+    def possible(pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b, c, n, m) those that the sketches leave open."""
+        one, two = known.toDF("a", "x"), known.toDF("b", "y")
+        both = pairs.join(one, "a").join(two, "b").select("a", "b", "c", "n", "m", "x", "y")
+        return both.mapInArrow(lambda it: _may_link(it, threshold), "a long, b long, c long")
+
     def fits(n: str, m: str) -> F.Column:
         return F.least(n, m) * den >= F.greatest(n, m) * num
 
@@ -203,9 +237,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     first = members.groupBy("sh").agg(F.min(F.struct("node", "n", "pos")).alias("lead"))
     star = members.join(first, "sh").where(fits("n", "lead.n") & (F.col("node") != F.col("lead.node")))
-    star = star.groupBy("node", F.col("lead.node").alias("lead")).agg(F.count("*").alias("c"), F.bool_or(room("n", "lead.n", "pos", "lead.pos")).alias("may")).where("may")
-    best = star.groupBy("node").agg(F.max_by("lead", F.struct("c", -F.col("lead"))).alias("b"))
-    linked = materialize(verified(best.select(F.col("node").alias("a"), "b")), "linked")
+    star = star.groupBy("node", F.col("lead.node").alias("lead")).agg(F.count("*").alias("c"), F.max("n").alias("n"), F.max("lead.n").alias("m"), F.bool_or(room("n", "lead.n", "pos", "lead.pos")).alias("may"))
+    star = possible(star.where("may").select(F.col("node").alias("a"), F.col("lead").alias("b"), "c", "n", "m"))
+    best = star.groupBy("a").agg(F.max_by("b", F.struct("c", -F.col("b"))).alias("b"))
+    linked = materialize(verified(best), "linked")
     so_far = connected_components(linked)
 
     placed = members.join(so_far, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
@@ -214,7 +249,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     left = placed.join(open_lists, "sh", "left_semi")
     right = left.select("sh", F.col("node").alias("node_b"), F.col("n").alias("m"), F.col("pos").alias("pos_b"), F.col("comp").alias("comp_b"))
     pairs = left.join(right, "sh").where((F.col("node") < F.col("node_b")) & (F.col("comp") != F.col("comp_b")) & fits("n", "m") & room("n", "m", "pos", "pos_b"))
-    rest = verified(pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct())
+    pairs = pairs.groupBy(F.col("node").alias("a"), F.col("node_b").alias("b")).agg(F.count("*").alias("c"), F.max("n").alias("n"), F.max("m").alias("m"))
+    rest = verified(possible(pairs).select("a", "b").distinct())
 
     same_id = base.where("doc_id is not null and n_shingles > 0").join(classes, ["k1", "k2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"), "k1", "k2")
     several = same_id.groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("c")).where("b <> c")
