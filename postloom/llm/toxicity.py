@@ -134,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(share / (1 - share))))
     share = F.when(F.col("label") == 1, min(1.0, sample / totals[1])).otherwise(min(1.0, sample / totals[0]))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(chosen, "doc_id").select("label", "text")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("label", "text")  # at most about 2 * sample ids
     rows = materialize(rows, "labelled").repartition(6)
 
     counts = rows.mapInArrow(_count, "bucket long, q long, p long").groupBy("bucket").agg(F.sum("q").alias("q"), F.sum("p").alias("p"))
