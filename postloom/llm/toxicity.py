@@ -24,13 +24,13 @@ from .scratch import materialize, small_batches
 ORDERS = (3, 4, 5)
 BUCKET_BITS = 22
 #: The most labelled rows of each label that are fitted on.
-SAMPLE = 6000
+SAMPLE = 4000
 #: The most buckets that are kept.
-FEATURES = 12_000
+FEATURES = 6000
 SMOOTHING = 1.0
 PENALTY = 0.02
 THRESHOLD = 0.7
-SPAN = 1 << 19  # characters that are hashed at a time
+SPAN = 1 << 18  # characters that are hashed at a time
 
 
 class Model(NamedTuple):
@@ -39,8 +39,8 @@ class Model(NamedTuple):
     bias: float
 
 
-def _hashed(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, n-grams' rows, n-grams' buckets), for spans of rows; a long text comes in overlapping parts."""
+def _hashed(texts: list[str], wanted: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, n-grams' rows, n-grams' buckets) of the wanted buckets, for spans of rows; a long text comes in overlapping parts."""
     at = 0
     while at < len(texts):
         part, size, first = [], 0, at
@@ -61,17 +61,16 @@ def _hashed(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
                 h = h[:-1] * np.uint32(0x01000193) + code[n - 1 :]
                 if n in ORDERS:
                     mixed = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D + 2 * n)
-                    inside = rows[: len(h)] == rows[n - 1 :]
-                    yield first, rows[: len(h)][inside], (mixed >> np.uint32(32 - BUCKET_BITS))[inside]
+                    buckets = mixed >> np.uint32(32 - BUCKET_BITS)
+                    hit = np.arange(len(h)) if wanted is None else np.flatnonzero(wanted[buckets])
+                    hit = hit[rows[hit] == rows[hit + n - 1]]
+                    yield first, rows[hit], buckets[hit]
 
 
 def _distinct(texts: list[str], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(row, bucket) pairs, each once; of the wanted buckets only, if given."""
     found = [np.zeros(0, np.int64)]
-    for first, rows, buckets in _hashed(texts):
-        if wanted is not None:
-            hit = np.flatnonzero(wanted[buckets])
-            rows, buckets = rows[hit], buckets[hit]
+    for first, rows, buckets in _hashed(texts, wanted):
         found.append(np.unique((rows.astype(np.int64) + first) << BUCKET_BITS | buckets))
     pairs = np.unique(np.concatenate(found))
     return pairs >> BUCKET_BITS, pairs & (1 << BUCKET_BITS) - 1
@@ -101,10 +100,10 @@ def _table(buckets: np.ndarray) -> np.ndarray:
 def _fit(rows: np.ndarray, features: np.ndarray, scale: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, float]:
     """Logistic regression of the scaled features by accelerated gradient descent."""
     n, weights, bias = len(labels), np.zeros(len(scale)), 0.0
-    value, ahead, ahead_bias, turn = scale[features], weights, bias, 1.0
+    value, ahead, ahead_bias, turn = scale[features].astype(np.float32), weights, bias, 1.0
     norm = np.bincount(rows, value**2, n).max(initial=0) + 1
     rate = 1 / (norm / 4 / 16 + PENALTY)
-    for _ in range(400):
+    for _ in range(200):
         miss = 1 / (1 + np.exp(-np.clip(np.bincount(rows, value * ahead[features], n) + ahead_bias, -30, 30))) - labels
         step = ahead - rate * (np.bincount(features, value * miss[rows], len(scale)) / n + PENALTY / n * ahead)
         step_bias = ahead_bias - rate * miss.mean()
