@@ -11,6 +11,7 @@ from .embedding_dedup import near_duplicates
 from .html_extraction import extract
 from .ngram_jaccard import jaccard_components
 from .packing import pack
+from .pii import find
 from .token_counts import count_tokens
 from .toxicity import score, train
 from .url_filter import ORACLE_SQL as URL_FILTER_SQL
@@ -39,6 +40,10 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find(_table(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_table(spark, sf_dir, "pages"))
 
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_toxicity": op3_toxicity,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_pii": op5_pii,
     "op6_url_filter": op6_url_filter,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_packing": op8_packing,

@@ -11,7 +11,7 @@ Only the fit works on a sample: at most SAMPLE rows of each label, taken by a ha
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -175,14 +175,37 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets, weights, bias = shared.value
-        wanted = _table(buckets)
+        scorer = _scorer(shared.value)
         for batch in batches:
-            rows, found = _distinct(_texts(batch.column(1)), wanted)
-            total = np.bincount(rows, weights[np.searchsorted(buckets, found)], batch.num_rows) if len(found) else np.zeros(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(total + bias, -40, 40))))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer(batch.column(1)))], ["doc_id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scored = rows.mapInArrow(run, f"doc_id {kind}, score double")
     return scored.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that score below the threshold, with all their columns; one pass without a shuffle."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    shared, place = spark.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _scorer(shared.value)
+        for batch in batches:
+            yield batch.filter(pa.array(scorer(batch.column(place)) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _scorer(model: Model) -> Callable[[pa.Array], np.ndarray]:
+    buckets, weights, bias = model
+    wanted = _table(buckets)
+
+    def score_column(column: pa.Array) -> np.ndarray:
+        rows, found = _distinct(_texts(column), wanted)
+        total = np.bincount(rows, weights[np.searchsorted(buckets, found)], len(column)) if len(found) else np.zeros(len(column))
+        return 1 / (1 + np.exp(-np.clip(total + bias, -40, 40)))
+
+    return score_column
