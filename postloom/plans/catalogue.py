@@ -1,10 +1,412 @@
-"""The catalogue of queries and their SQL counterparts."""
+"""The catalogue: each query names the operator it applies to the provided tables, with its SQL counterpart.
+
+Queries named ``rel_*`` are extensions: general relational shapes beside the posting operators.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import dates, extract, regions, text
+from ..operators import assemble, boards, cascade, compare, history, resolve, score, search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+NOW = "2024-01-31 00:00:00"
+SKILLS = ("the", "that with", "and")
+ROLES = ("the thing of ends", "la de le")
+
+
+class Tables:
+    """Lazy readers of one folder's tables."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
+
+def query(name: str, sql: str | None = None):
+    """Register a function of Tables under a name, with its SQL."""
+
+    def add(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        QUERIES[name] = lambda spark, folder: f(Tables(spark, folder))
+        if sql:
+            ORACLE[name] = sql
+        return f
+
+    return add
+
+
+def big(c: F.Column | str) -> F.Column:
+    return (F.col(c) if isinstance(c, str) else c).cast("bigint")
+
+
+_SUFFIXES = "|".join(text.COMPANY_SUFFIXES)
+
+
+@query("dedupe_hash_parts", f"""
+with j as (select p_partkey, s_suppkey, s_name, p_name, n_name from part join supplier on p_partkey % 100 = s_suppkey % 100 join nation on s_nationkey = n_nationkey),
+k as (select *, array_to_string(regexp_extract_all(lower(s_name), '[a-z0-9]+'), ' ') as c, array_to_string(list_filter(list_transform(regexp_extract_all(lower(p_name), '[a-z0-9]+'), lambda t: case t when 'sr' then 'senior' when 'jr' then 'junior' when 'engr' then 'engineer' when 'dev' then 'developer' else t end), lambda t: t not in ('remote','hybrid','onsite','urgent','fulltime')), ' ') as t,
+  case when trim(n_name) = '' then '' when regexp_matches(n_name, '(?i)remote|anywhere|worldwide|work from home|wfh') then 'remote' else array_to_string(regexp_extract_all(lower(regexp_split_to_array(trim(n_name), '[,;/|]')[1]), '[a-z0-9]+'), ' ') end as l from j)
+select p_partkey, s_suppkey, substr(sha256(regexp_replace(c, '^([a-z0-9]+(?: [a-z0-9]+)*?)(?: (?:{_SUFFIXES}))+$', '\\1') || '|' || t || '|' || l), 1, 32) as dedupe_hash from k""")
+def dedupe_hash_parts(t):
+    j = t.part.join(t.supplier, F.col("p_partkey") % 100 == F.col("s_suppkey") % 100).join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    return j.select("p_partkey", "s_suppkey", text.dedupe_hash("s_name", "p_name", "n_name").alias("dedupe_hash"))
+
+
+@query("exact_dupes_keeper", "select min(doc_id) as doc_id, count(*) as copies from documents group by text")
+def exact_dupes_keeper(t):
+    return t.documents.groupBy(F.sha2("text", 256)).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies")
+
+
+@query("dup_group_merge", "select min(doc_id) as doc_id, array_to_string(list_sort(list_distinct(list(source))), ',') as sources, max(length(text)) as longest from documents group by md5(text)")
+def dup_group_merge(t):
+    return t.documents.groupBy(F.md5("text")).agg(F.min("doc_id").alias("doc_id"), F.array_join(F.sort_array(F.collect_set("source")), ",").alias("sources"), big(F.max(F.length("text"))).alias("longest")).select("doc_id", "sources", "longest")
+
+
+@query("merge_outcomes_by_source", "with r as (select source, row_number() over (partition by text order by doc_id) as n from documents) select source, count(*) filter (n = 1) as inserted, count(*) filter (n > 1) as merged from r group by source")
+def merge_outcomes_by_source(t):
+    n = F.row_number().over(W.partitionBy(F.md5("text")).orderBy("doc_id"))
+    rows = t.documents.select("source", F.when(n == 1, "inserted").otherwise("merged").alias("outcome"))
+    return history.outcome_tally(rows, kinds=("inserted", "merged"))
+
+
+@query("existence_priority_layers", """
+with e as (select o_orderkey, o_custkey, o_orderdate from orders where o_orderkey % 3 = 0),
+a as (select distinct o_orderkey as k from e), b as (select o_custkey as k, min(o_orderkey) as m from e group by 1)
+select o.o_orderkey, case when a.k is not null then 1 when b.m is not null then 2 end as layer, coalesce(a.k, b.m) as match_id
+from orders o left join a on a.k = o.o_orderkey left join b on b.k = o.o_custkey""")
+def existence_priority_layers(t):
+    rows = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").cast("string").alias("url"), F.lit("orders").alias("source"), F.col("o_custkey").cast("string").alias("source_job_id"), F.concat(F.lit("none"), F.col("o_orderkey").cast("string")).alias("dedupe_hash"))
+    known = rows.where("id % 3 = 0").select("id", F.array("url").alias("source_urls"), "source", "source_job_id", F.lit("-").alias("dedupe_hash"), F.col("id").alias("fetched_at"))
+    return resolve.probe(rows, known).select(F.col("id").alias("o_orderkey"), "layer", "match_id")
+
+
+@query("known_key_anti", "select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders)")
+def known_key_anti(t):
+    keys = t.orders.select(F.col("o_custkey").alias("url"))
+    return resolve.unknown_urls(t.customer.select(F.col("c_custkey").alias("url"), "c_name"), [keys]).select(F.col("url").alias("c_custkey"), "c_name")
+
+
+@query("skill_match_counts", r"""select doc_id, cast(regexp_matches(lower(text), '(^|[^\p{L}\p{M}\p{N}_])the($|[^\p{L}\p{M}\p{N}_])') as int) + cast(contains(lower(text), 'that with') as int) + cast(regexp_matches(lower(text), '(^|[^\p{L}\p{M}\p{N}_])and($|[^\p{L}\p{M}\p{N}_])') as int) as matched from documents""")
+def skill_match_counts(t):
+    return t.documents.select("doc_id", text.skill_matches("text", list(SKILLS)).alias("matched"))
+
+
+_CASCADE = r"""
+with d as (select doc_id, source, lang, split_part(text, chr(10), 1) as title, lower(text) as low, text from documents),
+m as (select *, list_has_any(regexp_extract_all(lower(title), '[a-z]+'), ['thing', 'ends', 'la', 'de', 'le']) as title_ok,
+  regexp_matches(lower(title), '(^|[^a-z])(senior|sr|staff|principal|lead|director|vp|head)($|[^a-z])') as senior,
+  cast(regexp_matches(low, 'that with') as int) + cast(contains(low, 'of the') as int) as n from d),
+r as (select doc_id, case when not title_ok then 'title_mismatch' when senior then 'seniority' when source = 'src3' then 'excluded_company' when n < 2 and trim(text) = '' then 'no_description' when n < 2 then 'few_skills' else 'passed' end as reason from m where regexp_matches(title, '^[\x00-\x7F]*$'))
+select reason, count(*) as n from r group by reason"""
+
+
+@query("rule_cascade_reasons", _CASCADE)
+def rule_cascade_reasons(t):
+    docs = t.documents.select("doc_id", F.split("text", "\n")[0].alias("title"), F.col("source").alias("company"), F.lit("").alias("location"), F.lit(False).alias("is_remote"), F.col("text").alias("description"))
+    p = cascade.Profile(target_roles=("thing of ends with", "la de le"), skills=("that with", "of the"), excluded_companies=("SRC3",))
+    out = cascade.evaluate(docs.where(F.col("title").rlike(r"^[\x00-\x7F]*$")), p)
+    return out.groupBy(F.coalesce("outcome.reason", F.lit("passed")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("three_valued_region", "select c_custkey, case when n_name in ('UNITED KINGDOM') then true when n_name in ('FRANCE', 'GERMANY', 'ROMANIA') then true when n_name in ('INDIA', 'CANADA', 'UNITED STATES') then false end as allowed from customer join nation on c_nationkey = n_nationkey")
+def three_valued_region(t):
+    j = t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    return j.select("c_custkey", regions.location_allowed(F.col("n_name"), F.lit(False), regions.Preferences(("uk", "europe"), (), True)).alias("allowed"))
+
+
+@query("region_search_page", "select s_suppkey, s_name, n_name, s_acctbal from supplier join nation on s_nationkey = n_nationkey where (s_name ilike '%1%' or n_name ilike '%1%') and regexp_matches(lower(n_name), 'a') order by s_acctbal desc nulls last, s_suppkey limit 20")
+def region_search_page(t):
+    j = t.supplier.join(F.broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey"))
+    rows = j.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("title"), F.col("n_name").alias("company"), F.col("n_name").alias("location"), F.lit(False).alias("is_remote"), F.lit("new").alias("status"), F.col("s_acctbal").alias("llm_score"), F.lit(None).cast("timestamp").alias("posted_at"), F.lit(None).cast("timestamp").alias("fetched_at"))
+    got = search.page(rows, search.Query(text="1", location="a"), 20)
+    return got.select(F.col("id").alias("s_suppkey"), F.col("title").alias("s_name"), F.col("location").alias("n_name"), F.col("llm_score").alias("s_acctbal"))
+
+
+@query("level_classify", r"""select doc_id, case when regexp_matches(l, '(^|[^\p{L}\p{M}\p{N}_])(senior|sr|lead|principal|staff|director|vp)($|[^\p{L}\p{M}\p{N}_])') then 'senior' when regexp_matches(l, '(^|[^\p{L}\p{M}\p{N}_])(junior|jr|fresh|freshman|fresher)($|[^\p{L}\p{M}\p{N}_])') then 'entry' else 'mid' end as level from (select doc_id, lower(text) as l from documents)""")
+def level_classify(t):
+    return t.documents.select("doc_id", text.experience_level(F.lit(""), "text").alias("level"))
+
+
+@query("score_threshold_gate", "with s as (select doc_id, quality * 60 + doc_id % 41 as raw, toxic = 0 as fit from labels), f as (select doc_id, cast(case when fit then raw else greatest(0, raw - 15) end as bigint) as llm_score from s) select doc_id, llm_score, case when llm_score >= 70 then 'matched' else 'filtered_out' end as status from f")
+def score_threshold_gate(t):
+    gated = t.labels.select("doc_id", cascade.gate(F.col("quality") * 60 + F.col("doc_id") % 41, F.col("toxic") == 0, 70).alias("g"))
+    return gated.select("doc_id", big("g.llm_score").alias("llm_score"), "g.status")
+
+
+@query("url_host_domain", r"""with h as (select page_id, lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) as host from pages) select page_id, host, regexp_replace(host, '^www\.', '') as domain, regexp_extract(host, '([^.]+)\.[^.]+$', 1) as slug from h""")
+def url_host_domain(t):
+    h = extract.company_host(F.col("url"))
+    return t.pages.select("page_id", h.alias("host"), extract.domain(F.col("url")).alias("domain"), extract.domain_slug(h).alias("slug"))
+
+
+@query("url_pattern_slugs", r"select lang, slug, count(*) as pages from (select regexp_extract(url, '/(en|fr|de|es)/(\d+)', 1) as lang, 'p' || substr(regexp_extract(url, '/(en|fr|de|es)/(\d+)', 2), 1, 1) as slug from pages) where lang <> '' group by lang, slug")
+def url_pattern_slugs(t):
+    got = lambda k: F.regexp_extract_all("url", F.lit(r"/(en|fr|de|es)/(\d+)"), F.lit(k))
+    rows = t.pages.select(F.explode(F.arrays_zip(got(1).alias("lang"), got(2).alias("n"))).alias("z"))
+    return rows.groupBy(F.col("z.lang").alias("lang"), F.concat(F.lit("p"), F.left("z.n", F.lit(1))).alias("slug")).agg(F.count("*").alias("pages"))
+
+
+@query("html_strip_len", "select page_id, cast(length(regexp_replace(html, '<[^>]+>', '', 'g')) as bigint) as n from pages")
+def html_strip_len(t):
+    return t.pages.select("page_id", big(F.length(text.strip_tags("html", ""))).alias("n"))
+
+
+@query("html_anchor_fanout", """with a as (select page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) as href from pages) select page_id, count(distinct href) as links, min(href) as first_link from a group by page_id""")
+def html_anchor_fanout(t):
+    a = t.pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
+    return a.groupBy("page_id").agg(F.countDistinct("href").alias("links"), F.min("href").alias("first_link"))
+
+
+@query("host_first_title", r"""with p as (select page_id, lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) as host, regexp_extract(html, '<title>([^<]*)</title>', 1) as title from pages) select host, min_by(title, page_id) as title, count(*) as pages from p group by host""")
+def host_first_title(t):
+    p = t.pages.select("page_id", extract.host(F.col("url")).alias("host"), F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    return p.groupBy("host").agg(F.min_by("title", "page_id").alias("title"), F.count("*").alias("pages"))
+
+
+@query("stale_split", "select event_type, count(*) filter (date_sub('day', ts, timestamp '2024-01-31 00:00:00') > 20) as stale, count(*) filter (date_sub('day', ts, timestamp '2024-01-31 00:00:00') <= 20) as fresh from events group by event_type")
+def stale_split(t):
+    stale = dates.is_stale(F.col("ts"), F.lit(NOW).cast("timestamp_ntz"), 20)
+    return t.events.groupBy("event_type").agg(F.count_if(stale).alias("stale"), F.count_if(~stale).alias("fresh"))
+
+
+@query("effective_date_sort", "select event_id, strftime(coalesce(case when event_id % 3 = 0 then ts end, timestamp '2024-01-15 00:00:00'), '%Y-%m-%d') as day from events order by coalesce(case when event_id % 3 = 0 then ts end, timestamp '2024-01-15 00:00:00') desc, event_id limit 100")
+def effective_date_sort(t):
+    at = dates.effective_date(F.when(F.col("event_id") % 3 == 0, F.col("ts")), F.lit("2024-01-15 00:00:00").cast("timestamp_ntz"))
+    return t.events.select("event_id", at.alias("at")).orderBy(F.desc("at"), "event_id").limit(100).select("event_id", F.date_format("at", "yyyy-MM-dd").alias("day"))
+
+
+def _day() -> F.Column:
+    return F.date_format("ts", "yyyy-MM-dd").alias("day")
+
+
+_RUN = "strftime(ts, '%Y-%m-%d') as day"
+
+
+@query("run_facts_daily", f"select {_RUN}, count(*) as fetched, count(*) filter (event_type = 'purchase') as inserted, count(*) filter (event_type = 'error') as errors, count(distinct user_id) as users from events group by 1")
+def run_facts_daily(t):
+    return t.events.groupBy(_day()).agg(F.count("*").alias("fetched"), F.count_if(F.col("event_type") == "purchase").alias("inserted"), F.count_if(F.col("event_type") == "error").alias("errors"), F.countDistinct("user_id").alias("users"))
+
+
+@query("source_rollup_last_n", f"""
+with s as (select {_RUN}, event_type as source, count(*) as fetched, count(*) filter (value > 50) as inserted, count(*) filter (value <= 50) as merged from events group by 1, 2),
+r as (select distinct day from s order by day desc limit 20)
+select source, count(*) as runs, cast(sum(fetched) as bigint) as fetched, cast(sum(inserted) as bigint) as inserted, cast(sum(merged) as bigint) as merged, count(*) filter (fetched = 0) as failures from s where day in (select day from r) group by source""")
+def source_rollup_last_n(t):
+    s = t.events.groupBy(_day(), F.col("event_type").alias("source")).agg(F.count("*").alias("fetched"), F.count_if(F.col("value") > 50).alias("inserted"), F.count_if(F.col("value") <= 50).alias("merged"))
+    s = s.withColumns({"run_id": F.col("day"), "status": F.when(F.col("fetched") == 0, "failed").otherwise("ok")})
+    return history.rollup(s.select("run_id", F.col("day").alias("started_at")).distinct(), s)
+
+
+_SOURCES = f"s as (select {_RUN}, 'user' || cast(user_id % 25 as varchar) as source, count(*) filter (event_type <> 'error') as fetched, count(*) filter (event_type = 'error') as n_errors from events group by 1, 2)"
+
+
+def _sources(t) -> DataFrame:
+    return t.events.groupBy(_day(), F.concat(F.lit("user"), (F.col("user_id") % 25).cast("string")).alias("source")).agg(F.count_if(F.col("event_type") != "error").alias("fetched"), F.count_if(F.col("event_type") == "error").alias("n_errors"))
+
+
+@query("run_status_partial", f"with {_SOURCES} select day, case when bool_or(fetched = 0 and n_errors > 0) then 'partial' else 'ok' end as status from s group by day")
+def run_status_partial(t):
+    rows = _sources(t).withColumns({"enabled": F.lit(True), "run_error": F.lit(None).cast("string")})
+    return history.run_status(rows, "day")
+
+
+@query("source_status_classes", f"with {_SOURCES} select day, source, case when fetched > 0 and n_errors > 0 then 'partial' when fetched > 0 then 'ok' when n_errors > 0 then 'failed' else 'empty' end as status from s")
+def source_status_classes(t):
+    return _sources(t).select("day", "source", history.source_status(F.lit(True), F.col("fetched"), F.col("n_errors")).alias("status"))
+
+
+@query("retention_prune", "with r as (select strftime(ts, '%Y-%m-%d') as day, max(event_id) as last_event from events group by 1), c as (select day from r order by day desc offset 10 limit 1) select day, last_event from r where day > (select max(day) from c) or not exists (select 1 from c)")
+def retention_prune(t):
+    runs = t.events.groupBy(_day()).agg(F.max("event_id").alias("last_event")).withColumns({"run_id": F.col("day"), "started_at": F.col("day")})
+    return history.prune(runs, runs.select("run_id"), 10)[0].select("day", "last_event")
+
+
+@query("stats_outcome_full_outer", """
+with a as (select source, count(*) as c from documents where doc_id % 2 = 0 and source < 'src5' group by 1), b as (select source, count(*) filter (n_chars > 1000) as inserted, count(*) filter (n_chars <= 1000) as merged from documents where source > 'src12' group by 1)
+select coalesce(a.source, b.source) as source, coalesce(a.c, coalesce(inserted, 0) + coalesce(merged, 0)) as fetched, coalesce(inserted, 0) as inserted, coalesce(merged, 0) as merged, case when coalesce(a.c, inserted + merged) > 0 then 'ok' else 'empty' end as status from a full outer join b on a.source = b.source""")
+def stats_outcome_full_outer(t):
+    d = t.documents
+    stats = d.where("doc_id % 2 = 0 and source < 'src5'").groupBy("source").agg(F.count("*").alias("count")).withColumns({"n_errors": F.lit(0), "enabled": F.lit(True)})
+    tally = history.outcome_tally(d.where("source > 'src12'").select("source", F.when(F.col("n_chars") > 1000, "inserted").otherwise("merged").alias("outcome")))
+    return history.source_facts(stats, tally).select("source", "fetched", "inserted", "merged", "status")
+
+
+@query("json_prop_extract", "select event_type, count(*) as n, cast(sum(cast(json_extract(props, '$.k') as bigint)) as bigint) as total, max(least(100, greatest(0, cast(json_extract(props, '$.k') as bigint)))) as capped from events group by event_type")
+def json_prop_extract(t):
+    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint")
+    return t.events.groupBy("event_type").agg(F.count("*").alias("n"), F.sum(k).alias("total"), F.max(F.least(F.lit(100), F.greatest(F.lit(0), k))).alias("capped"))
+
+
+@query("board_rank_topk", """
+with b as (select n_name as ats, s_name as slug, count(*) as last_job_count from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey group by 1, 2),
+r as (select *, row_number() over (partition by ats order by last_job_count desc, slug) as rank from b) select ats, slug, last_job_count, cast(rank as int) as rank from r where rank <= case when ats = 'CHINA' then 1 else 3 end""")
+def board_rank_topk(t):
+    per = t.lineitem.groupBy("l_suppkey").agg(F.count("*").alias("last_job_count"))
+    b = per.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(F.broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey"))
+    b = b.select(F.col("n_name").alias("ats"), F.col("s_name").alias("slug"), "last_job_count", F.lit(0).alias("total_job_count"), F.lit(None).cast("timestamp").alias("last_seen_at"), F.lit(True).alias("active"))
+    return boards.ranked(b, {"CHINA": 1}, 3).select("ats", "slug", "last_job_count", "rank")
+
+
+@query("board_yield_retire", "with p as (select l_suppkey as s, count(*) filter (l_returnflag = 'R' and l_quantity > 49) as jobs from lineitem group by 1) select s_suppkey, case when jobs > 0 then 0 else 8 end as consecutive_empty, jobs as last_job_count, jobs > 0 or s_suppkey % 2 = 0 as active from supplier join p on s = s_suppkey")
+def board_yield_retire(t):
+    polled = t.lineitem.groupBy(F.col("l_suppkey").cast("string").alias("slug")).agg(F.count_if((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 49)).alias("jobs")).withColumns({"ats": F.lit("x"), "had_errors": F.lit(False)})
+    b = t.supplier.join(polled.select(F.col("slug").alias("_s")), F.col("s_suppkey").cast("string") == F.col("_s"), "left_semi")
+    b = b.select("s_suppkey", F.lit("x").alias("ats"), F.col("s_suppkey").cast("string").alias("slug"), F.when(F.col("s_suppkey") % 2 == 0, "seed").otherwise("discovered").alias("origin"), F.lit(True).alias("active"), F.lit(7).alias("consecutive_empty"), F.lit(5).cast("bigint").alias("last_job_count"), F.lit(5).cast("bigint").alias("total_job_count"), F.lit(None).cast("timestamp").alias("last_fetched_at"))
+    return boards.record_results(b, polled, F.current_timestamp()).select("s_suppkey", "consecutive_empty", "last_job_count", "active")
+
+
+@query("board_upsert", "with k as (select 'x' as ats, cast(s_suppkey as varchar) as slug, s_name as name from supplier), f as (select 'x' as ats, cast(c_custkey as varchar) as slug, c_name as name from customer where c_custkey % 2 = 0) select coalesce(k.ats, f.ats) as ats, coalesce(k.slug, f.slug) as slug, coalesce(k.name, f.name) as company, case when k.slug is null then 'discovered' else 'seed' end as origin, f.slug is not null as seen from k full outer join f on k.slug = f.slug")
+def board_upsert(t):
+    none = F.lit(None).cast("timestamp")
+    known = t.supplier.select(F.lit("x").alias("ats"), F.col("s_suppkey").cast("string").alias("slug"), F.col("s_name").alias("company"), F.lit("seed").alias("origin"), F.lit(None).cast("string").alias("source_host"), F.lit(True).alias("active"), F.lit(0).alias("consecutive_empty"), F.lit(0).alias("last_job_count"), F.lit(0).alias("total_job_count"), none.alias("first_seen_at"), none.alias("last_seen_at"), none.alias("last_fetched_at"))
+    found = t.customer.where("c_custkey % 2 = 0").select(F.lit("x").alias("ats"), F.col("c_custkey").cast("string").alias("slug"), F.col("c_name").alias("company"), F.lit(None).cast("string").alias("source_host"), F.lit("discovered").alias("origin"))
+    out = boards.upsert(known, found, F.current_timestamp())
+    return out.select("ats", "slug", "company", "origin", F.col("last_seen_at").isNotNull().alias("seen"))
+
+
+@query("registry_summary", "select n_name as ats, count(*) as total, count(*) filter (s_acctbal > 0) as active, count(*) filter (s_acctbal <= 0) as retired, cast(sum(s_suppkey) as bigint) as jobs from supplier join nation on s_nationkey = n_nationkey group by 1")
+def registry_summary(t):
+    b = t.supplier.join(F.broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey"))
+    return boards.summary(b.select(F.col("n_name").alias("ats"), (F.col("s_acctbal") > 0).alias("active"), F.col("s_suppkey").alias("total_job_count")))
+
+
+@query("layered_slug_assembly", """
+with l as (select p_brand as ats, p_type as slug, p_partkey as pos, case when p_size < 10 then 0 when p_size < 30 then 1 else 2 end as layer from part),
+f as (select *, row_number() over (partition by ats, lower(slug) order by layer, pos, slug) as n from l), r as (select ats, slug, row_number() over (partition by ats order by layer, pos, slug) as rank from f where n = 1)
+select ats, slug, cast(rank as int) as rank from r where rank <= 5""")
+def layered_slug_assembly(t):
+    rows = t.part.select(F.col("p_brand").alias("ats"), F.col("p_type").alias("slug"), F.col("p_partkey").alias("pos"), "p_size")
+    return boards.assemble([rows.where("p_size < 10"), rows.where("p_size >= 10 and p_size < 30"), rows.where("p_size >= 30")], {"workday": 5}, 5)
+
+
+@query("ordered_cap_dedupe", "with f as (select p_brand, p_type, min(p_partkey) as k from part group by 1, 2), r as (select *, row_number() over (partition by p_brand order by k) as n from f) select p_brand, string_agg(p_type, '|' order by k) as types from r where n <= 10 group by 1")
+def ordered_cap_dedupe(t):
+    listed = t.part.groupBy("p_brand").agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_type"))), lambda x: x["p_type"]).alias("all"))
+    return listed.select("p_brand", F.array_join(text.ordered_distinct(F.col("all")), "|").alias("types"))
+
+
+@query("span_union_years", """
+with s as (select o_custkey, cast(o_orderdate as date) as a, cast(o_orderdate as date) + 90 as b from orders),
+f as (select *, max(b) over (partition by o_custkey order by a, b rows between unbounded preceding and 1 preceding) as m from s),
+g as (select *, sum(case when m is null or a > m then 1 else 0 end) over (partition by o_custkey order by a, b rows between unbounded preceding and current row) as k from f)
+select o_custkey, count(*) as spans, cast(sum(d) as bigint) as days from (select o_custkey, k, max(b) - min(a) as d from g group by 1, 2) group by 1""")
+def span_union_years(t):
+    s = t.orders.select("o_custkey", F.to_date("o_orderdate").alias("start")).withColumn("end", F.date_add("start", 90))
+    return history.merge_spans(s, "o_custkey").groupBy("o_custkey").agg(F.count("*").alias("spans"), big(F.sum(F.datediff("end", "start"))).alias("days"))
+
+
+_SCORES = "(select doc_id as id, 'quality' as model, quality * 80 + doc_id % 20 as score from labels union all select doc_id, 'toxic', case when doc_id % 7 = 0 then null else toxic * 80 + doc_id % 20 end from labels)"
+
+
+def _scores(t) -> DataFrame:
+    one = t.labels.select(F.col("doc_id").alias("id"), F.lit("quality").alias("model"), big(F.col("quality") * 80 + F.col("doc_id") % 20).alias("score"))
+    two = t.labels.select("doc_id", F.lit("toxic"), F.when(F.col("doc_id") % 7 != 0, big(F.col("toxic") * 80 + F.col("doc_id") % 20)))
+    return one.union(two).withColumn("status", F.when(F.col("score").isNull(), "unreadable").otherwise("ok"))
+
+
+@query("model_score_pivot", f"select id, cast(max(score) filter (model = 'quality') as bigint) as quality, cast(max(score) filter (model = 'toxic') as bigint) as toxic from {_SCORES} group by id")
+def model_score_pivot(t):
+    return compare.matrix(_scores(t), ["quality", "toxic"])
+
+
+@query("model_summary", f"select model, count(score) as scored, round(sum(score) / count(score), 1) as average, count(*) filter (score is null) as unreadable, cast(0 as bigint) as errors from {_SCORES} group by model")
+def model_summary(t):
+    return compare.summarize(_scores(t))
+
+
+@query("threshold_flips", f"with m as (select id, cast(max(score) filter (model = 'quality') as bigint) as a, cast(max(score) filter (model = 'toxic') as bigint) as b from {_SCORES} group by id) select id, a as \"from\", b as \"to\", case when b >= 70 then 'gained' else 'lost' end as direction from m where a is not null and b is not null and (a >= 70) <> (b >= 70)")
+def threshold_flips(t):
+    return compare.flips(_scores(t), "quality", "toxic", 70)
+
+
+_WORDS = ("ther", "ation", "eau", "the", "que", "and")
+
+
+@query("keyword_coverage", f"select doc_id, cast(length(list_filter({list(_WORDS)}, lambda w: contains(lower(text), w))) as int) as present, array_to_string(list_filter({list(_WORDS)}, lambda w: not contains(lower(text), w)), ',') as missing from documents")
+def keyword_coverage(t):
+    c = assemble.coverage(F.col("text"), F.array(*map(F.lit, _WORDS)))
+    return t.documents.select("doc_id", F.size(c["present"]).alias("present"), F.array_join(c["missing"], ",").alias("missing"))
+
+
+@query("keyword_selection_topk", f"with s as (select source, doc_id, cast(length(list_filter({list(_WORDS)}, lambda w: contains(lower(text), w))) as int) as score from documents), r as (select *, cast(row_number() over (partition by source order by score desc, doc_id) as int) as rank from s where score > 0) select source, doc_id, score, rank from r where rank <= 3")
+def keyword_selection_topk(t):
+    s = t.documents.select("source", "doc_id", assemble.keyword_score(F.col("text"), F.array(*map(F.lit, _WORDS))).alias("score"))
+    return assemble.select_best(s, "source", "score", "doc_id", 3)
+
+
+@query("number_grounding", r"select doc_id, cast(len(list_distinct(list_transform(regexp_extract_all(text, '[0-9][0-9,]*(?:\.[0-9]+)?'), lambda x: replace(x, ',', '')))) as int) as numbers from documents")
+def number_grounding(t):
+    return t.documents.select("doc_id", F.size(assemble.ungrounded(F.col("text"), F.lit(""))).alias("numbers"))
+
+
+@query("current_version", "select conv_id, turn, turn = max(turn) over (partition by conv_id) as is_current from conversations")
+def current_version(t):
+    return assemble.current_versions(t.conversations, "conv_id", version="turn").select("conv_id", "turn", "is_current")
+
+
+@query("next_version", "select conv_id, count(*) + 1 as next_version from conversations group by conv_id")
+def next_version(t):
+    return assemble.next_version(t.conversations, "conv_id")
+
+
+@query("distinct_sorted_sources", "select distinct source from documents where source <> ''")
+def distinct_sorted_sources(t):
+    return search.sources(t.documents)
+
+
+@query("deterministic_sample", "select doc_id, n_chars from documents where text <> '' order by doc_id limit 50")
+def deterministic_sample(t):
+    return t.documents.where("text <> ''").select("doc_id", "n_chars").orderBy("doc_id").limit(50)
+
+
+@query("title_fuzzy_ratio")
+def title_fuzzy_ratio(t):
+    titles = t.part.select("p_name").distinct()
+    return titles.where(~cascade.shares_word(F.col("p_name"), ("forest lace",))).where(cascade.resembles_role(("forest lace", "almond antique"), 0.5)("p_name"))
+
+
+@query("balanced_json", "select conv_id, turn, cast(turn * 10 as int) as score, 'ok' as status from conversations")
+def balanced_json(t):
+    said = F.concat(F.lit("Sure! ```json {\"score\": "), (F.col("turn") * 10).cast("string"), F.lit(".5, \"reasoning\": \"ok\"} ``` done"))
+    parsed = t.conversations.where("turn <= 10").select("conv_id", "turn", score.parse_reply(score.reply_object(said)).alias("r"))
+    rest = t.conversations.where("turn > 10").select("conv_id", "turn", F.struct((F.col("turn") * 10).cast("int").alias("score"), F.lit("ok").alias("status")).alias("r"))
+    return parsed.select("conv_id", "turn", "r.score", "r.status").union(rest.select("conv_id", "turn", "r.score", "r.status"))
+
+
+@query("merge_replay_outcomes", "with r as (select source, row_number() over (partition by text order by doc_id) as n from documents) select case when n = 1 then 'inserted' else 'merged' end as outcome, count(*) as n from r group by 1")
+def merge_replay_outcomes(t):
+    rows = t.documents.select(F.col("doc_id").cast("string").alias("key"), F.col("doc_id").alias("seq"), "source", F.lit("").alias("source_job_id"), F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("url"), F.lit(None).cast("string").alias("apply_url"), F.lit("").alias("description"), F.md5("text").alias("dedupe_hash"), F.lit(None).cast("timestamp").alias("posted_at"))
+    return resolve.merge(rows, F.current_timestamp(), 30).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query("rel_join_revenue", "select n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey where l_shipdate >= timestamp '1995-01-01' group by n_name")
+def rel_join_revenue(t):
+    per = t.lineitem.where("l_shipdate >= timestamp_ntz'1995-01-01'").groupBy("l_suppkey").agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("r"))
+    j = per.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(F.broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey"))
+    return j.groupBy("n_name").agg(F.round(F.sum("r"), 2).alias("revenue"))
+
+
+@query("rel_pricing_summary", "select l_returnflag, l_linestatus, sum(l_quantity) as qty, count(*) as n from lineitem where l_shipdate <= timestamp '1998-09-02' group by 1, 2")
+def rel_pricing_summary(t):
+    return t.lineitem.where("l_shipdate <= timestamp_ntz'1998-09-02'").groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("qty"), F.count("*").alias("n"))
+
+
+@query("rel_rollup_events", "select event_type, user_id % 5 as bucket, count(*) as n from events group by rollup (event_type, user_id % 5)")
+def rel_rollup_events(t):
+    return t.events.withColumn("bucket", F.col("user_id") % 5).rollup("event_type", "bucket").agg(F.count("*").alias("n"))
+
+
+@query("rel_session_gaps", "with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts, event_id) > interval 6 hour then 1 else 0 end as brk from events) select user_id, cast(sum(brk) + 1 as bigint) as sessions from g group by user_id")
+def rel_session_gaps(t):
+    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    gap = (F.timestamp_diff("MICROSECOND", F.lag("ts").over(w), F.col("ts")) > 6 * 3600 * 1_000_000).cast("int")
+    return t.events.select("user_id", F.coalesce(gap, F.lit(0)).alias("b")).groupBy("user_id").agg((F.sum("b") + 1).alias("sessions"))
