@@ -3,8 +3,8 @@
 A task packs the documents of its own partition in their order.  A document's full windows are cut
 off; its remainder goes to the fill level that minimises the sum of squared counts of partially
 filled windows.  That sum changes by 2 * (N[h + s] - N[h]) + 2 when a remainder of s tokens moves a
-window from level h to h + s, where N is the level array, N[0] counts as 0 when a new window opens and
-N[capacity] as 0 because full windows are closed; so one vector operation over the levels places it.
+window from level h to h + s, where N is the level array; by 1 - 2 * N[h] when it fills the window, which
+closes; and by 2 * N[s] + 1 when it opens a new one; so one vector operation over the levels places it.
 When the partition ends, the windows left partial are refilled from each other, cutting pieces where
 a window is full; the last one is cut so that the rest is a sum of powers of two, which need no
 padding.  State is the level array and the pieces of partial windows.
@@ -46,9 +46,10 @@ class SumOfSquares:
     def place(self, piece: Piece) -> list[Piece] | None:
         """Put a piece of fewer than capacity tokens; the window it fills, if any."""
         size, n = piece[2], self.count
-        change = n[size:] - n[: self.capacity - size + 1]
-        change[n[: len(change)] == 0] = self.capacity * 1_000_000  # no window has that level
-        change[0] = n[size]  # a new window
+        change = 2 * (n[size:] - n[: self.capacity - size + 1]) + 2
+        change[-1] -= 1  # a window that closes leaves no level behind
+        change[n[: len(change)] == 0] = np.iinfo(np.int64).max  # no window has that level
+        change[0] = 2 * n[size] + 1  # a new window
         level = int(change.argmin())
         if level:
             window = self.windows[level].pop()
