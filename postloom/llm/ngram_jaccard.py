@@ -197,6 +197,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     described = materialize(rows.mapInArrow(_describe, "kind byte, doc_id long, n long, k1 long, k2 long, sketch binary"), "described")
     base = described.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "k1", "k2")
     classes = base.where("doc_id is not null and n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n"))
+    classes = materialize(classes, "classes")  # joined below as a table, so a class with very many copies can be split
     sketches = described.where("kind = 0 and doc_id is not null and n > 0").select(F.col("doc_id").alias("node"), "sketch")
 
     frequent = spark.sparkContext.broadcast(_frequent(described))
