@@ -77,6 +77,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
 }
 
+_SHINGLES = """
+sh_{t} as (select {id} as id, list_distinct(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], chr(10))) when len(w) > 0 then [array_to_string(w, chr(10))] else [] end) as s
+  from (select {id}, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from {t}))"""
+
+_LINKS = """
+both_ways as (select a, b from links union all select b, a from links),
+reached as (select a as id, b as other from both_ways union select r.id, l.b from reached r join both_ways l on l.a = r.other)"""
+
+DECONTAMINATION_SQL = f"""
+with {_SHINGLES.format(t="documents", id="doc_id")}, {_SHINGLES.format(t="benchmark", id="item_id")},
+items as (select id, len(s) as n, unnest(s) as x from sh_benchmark),
+found as (select d.id as doc_id, i.id as item_id, any_value(i.n) as n, count(*) as m from (select id, unnest(s) as x from sh_documents) d join items i using (x) group by 1, 2)
+select doc_id, item_id, n as n_item_shingles, m as n_shared from found where 100 * m >= 80 * n"""
+
+JACCARD_SQL = f"""
+with recursive {_SHINGLES.format(t="documents", id="doc_id")},
+flat as (select id, len(s) as n, unnest(s) as x from sh_documents),
+shared as (select a.id as a, b.id as b, any_value(a.n) as n, any_value(b.n) as m, count(*) as c from flat a join flat b on a.x = b.x and a.id < b.id group by 1, 2),
+links as (select a, b from shared where 100 * c >= 80 * (n + m - c)), {_LINKS}
+select d.id as doc_id, cast(len(d.s) as bigint) as n_shingles, least(d.id, coalesce((select min(other) from reached r where r.id = d.id), d.id)) as component_id from sh_documents d"""
+
+EMBEDDING_SQL = f"""
+with recursive v as (select vec_id, label, cast(embedding as double[]) as e from embeddings where label is not null),
+links as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id < b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.93), {_LINKS}
+select x.vec_id, (select count(*) from both_ways l where l.a = x.vec_id) as n_links, least(x.vec_id, coalesce((select min(other) from reached r where r.id = x.vec_id), x.vec_id)) as component_id,
+  x.vec_id <= coalesce((select min(other) from reached r where r.id = x.vec_id), x.vec_id) as kept from embeddings x"""
+
 ORACLE: dict[str, str] = {
+    "op2_decontamination": DECONTAMINATION_SQL,
+    "op4_ngram_jaccard": JACCARD_SQL,
     "op6_url_filter": URL_FILTER_SQL,
+    "op7_embedding_dedup": EMBEDDING_SQL,
 }
