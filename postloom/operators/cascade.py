@@ -103,5 +103,13 @@ def toggle(postings: DataFrame, ids: list[str]) -> DataFrame:
     return postings.withColumns({"status": F.when(chosen, to).otherwise(F.col("status")), "filter_reason": F.when(chosen, F.when(to == "filtered_out", "manual")).otherwise(F.col("filter_reason"))})
 
 
+def title_matches(postings: DataFrame, roles: tuple[str, ...]) -> DataFrame:
+    """Adds ``title_ok``.  The costly ratio runs once for each distinct title that shares no word with a role."""
+    titles = postings.select("title").distinct().withColumn("_shares", shares_word(F.col("title"), roles))
+    alike = titles.where("not _shares").withColumn("title_ok", resembles_role(roles)("title")).select("title", "title_ok")
+    known = titles.where("_shares").select("title", F.lit(True).alias("title_ok")).union(alike)
+    return postings.join(known.withColumnRenamed("title", "_t"), postings["title"].eqNullSafe(F.col("_t")), "left").drop("_t")
+
+
 def reason_histogram(postings: DataFrame) -> DataFrame:
     return postings.where("status = 'filtered_out' and filter_reason is not null").groupBy("filter_reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "filter_reason")

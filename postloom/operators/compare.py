@@ -23,3 +23,29 @@ def flips(scores: DataFrame, base: str, other: str, threshold: int) -> DataFrame
     a, b = F.col(f"`{base}`"), F.col(f"`{other}`")
     crossed = a.isNotNull() & b.isNotNull() & ((a >= threshold) != (b >= threshold))
     return m.where(crossed).select("id", a.alias("from"), b.alias("to"), F.when(b >= threshold, "gained").otherwise("lost").alias("direction"))
+
+
+def report(jobs: DataFrame, scores: DataFrame, models: list[str], threshold: int, most: int = 200) -> str:
+    """A fixed-width report of at most ``most`` jobs (id, title, company), made on the driver."""
+    rows = jobs.join(matrix(scores, models), "id", "left").orderBy("id").limit(most).collect()
+    if not rows or not models:
+        return "Nothing to compare: no jobs with descriptions."
+    width = max(map(len, models)) + 2
+    lines = ["Scores by job", "-" * 60, f"{'JOB':<42}" + "".join(f"{m[-18:]:>{width}}" for m in models)]
+    for r in rows:
+        label = f"{r.title[:26]} @ {r.company[:12]}"
+        lines.append(f"{label:<42}" + "".join(f"{'-' if r[m] is None else r[m]:>{width}}" for m in models))
+    lines += ["", "Summary", "-" * 60]
+    lines += [f"  {r.model}: scored {r.scored}, average {r.average}, unreadable {r.unreadable}, errors {r.errors}" for r in summarize(scores).orderBy("model").collect()]
+    if len(models) > 1:
+        crossed = flips(scores, models[0], models[1], threshold).join(jobs, "id").orderBy("id").limit(most).collect()
+        lines += ["", f"Crossed {threshold} ({models[0]} to {models[1]})", "-" * 60]
+        lines += [f"  {r.title[:40]} @ {r.company[:18]}: {r['from']} to {r.to} ({r.direction})" for r in crossed] or ["  none"]
+    return "\n".join(lines)
+
+
+def progress(status: F.Column, since: F.Column, now: F.Column, stale_seconds: int = 2700) -> F.Column:
+    """(active, stalled): a record that claims to run for longer than stale_seconds has stalled."""
+    runs = status.isin("queued", "running")
+    stalled = runs & F.coalesce(F.timestamp_diff("SECOND", since, now) > stale_seconds, F.lit(False))
+    return F.struct((runs & ~stalled).alias("active"), stalled.alias("stalled"))

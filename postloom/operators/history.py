@@ -65,3 +65,33 @@ def merge_spans(spans: DataFrame, *by: str, start: str = "start", end: str = "en
 def total_years(spans: DataFrame, *by: str, start: str = "start", end: str = "end") -> DataFrame:
     merged = merge_spans(spans, *by, start=start, end=end)
     return merged.groupBy(*by).agg(F.round(F.sum(F.datediff(end, start)) / 365.25, 1).alias("years"))
+
+
+def run_facts(outcomes: DataFrame, sources: DataFrame, boards: DataFrame) -> DataFrame:
+    """One row: totals of a run's outcomes, its status, and the active boards that were polled."""
+    tally = outcomes.agg(F.count("*").alias("fetched"), *(F.count_if(F.col("outcome") == k).alias(k) for k in OUTCOMES))
+    lost = F.coalesce("enabled", F.lit(True)) & (F.coalesce("count", F.lit(0)) == 0) & (F.coalesce("n_errors", F.lit(0)) > 0)
+    status = sources.agg(F.when(F.coalesce(F.bool_or(lost), F.lit(False)), "partial").otherwise("ok").alias("status"))
+    polled = boards.agg(F.count_if("active").alias("boards_polled"))
+    return tally.join(F.broadcast(status)).join(F.broadcast(polled))  # one row each
+
+
+def with_skipped(stats: DataFrame, sources: DataFrame, only: list[str]) -> DataFrame:
+    """Every known source (source): those outside ``only`` are recorded as disabled, not left out."""
+    out = sources.join(stats, "source", "left")
+    return out.withColumns({"enabled": F.when(~F.col("source").isin(*only), False).otherwise(F.coalesce("enabled", F.lit(True))), "count": F.coalesce("count", F.lit(0)), "n_errors": F.coalesce("n_errors", F.lit(0))})
+
+
+def capped_errors(errors: DataFrame, most: int = 5, chars: int = 300) -> DataFrame:
+    """(source, errors): the first distinct messages of (source, seq, message), cut to a length."""
+    first = errors.groupBy("source", F.left("message", F.lit(chars)).alias("message")).agg(F.min("seq").alias("seq"))
+    kept = first.withColumn("_n", F.row_number().over(W.partitionBy("source").orderBy("seq"))).where(F.col("_n") <= most)
+    return kept.groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "message"))), lambda x: x["message"]).alias("errors"))
+
+
+def empty_runs(polls: DataFrame) -> DataFrame:
+    """(ats, slug, consecutive_empty): how many polls (ats, slug, at, jobs) have been empty since the last that was not."""
+    last = polls.groupBy("ats", "slug").agg(F.max(F.when(F.col("jobs") > 0, F.col("at"))).alias("_last"))
+    since = polls.join(last, ["ats", "slug"]).where("_last is null or at > _last")
+    counted = since.groupBy("ats", "slug").agg(F.count("*").alias("n"))
+    return last.join(counted, ["ats", "slug"], "left").select("ats", "slug", F.coalesce("n", F.lit(0)).alias("consecutive_empty"))

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dates, extract, regions, text
-from ..operators import assemble, boards, cascade, compare, history, resolve, score, search
+from ..operators import applications, assemble, boards, cascade, compare, history, links, resolve, score, search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -388,6 +388,67 @@ def merge_replay_outcomes(t):
     return resolve.merge(rows, F.current_timestamp(), 30).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
+@query("posting_application_join", "with a as (select o_custkey as job_id, min_by(o_orderkey, (o_orderdate, o_orderkey)) as application_id from orders group by 1) select c_custkey, application_id from customer left join a on job_id = c_custkey")
+def posting_application_join(t):
+    made = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("job_id"), F.col("o_orderdate").alias("created_at"))
+    return applications.with_application(t.customer.select(F.col("c_custkey").alias("id")), made).select(F.col("id").alias("c_custkey"), "application_id")
+
+
+@query("current_documents_pivot", "select o_orderkey, max(l_linenumber) filter (l_returnflag = 'R') as returned, max(l_linenumber) filter (l_returnflag = 'N') as kept from orders left join lineitem on l_orderkey = o_orderkey group by o_orderkey")
+def current_documents_pivot(t):
+    papers = t.lineitem.select(F.col("l_orderkey").alias("application_id"), F.col("l_returnflag").alias("type"), F.col("l_linenumber").alias("version"))
+    out = applications.with_current_documents(t.orders.select(F.col("o_orderkey").alias("id")), papers, ("R", "N"))
+    return out.select(F.col("id").alias("o_orderkey"), F.col("R_version").alias("returned"), F.col("N_version").alias("kept"))
+
+
+@query("empty_poll_runs", """
+with p as (select 'u' || cast(user_id as varchar) as slug, strftime(ts, '%Y-%m-%d') as d, count(*) filter (event_type = 'purchase') as jobs from events group by 1, 2),
+l as (select slug, max(d) filter (jobs > 0) as latest from p group by 1)
+select l.slug, (select count(*) from p where p.slug = l.slug and (l.latest is null or p.d > l.latest)) as consecutive_empty from l""")
+def empty_poll_runs(t):
+    polls = t.events.groupBy(F.lit("x").alias("ats"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("slug"), _day().alias("at")).agg(F.count_if(F.col("event_type") == "purchase").alias("jobs"))
+    return history.empty_runs(polls).select("slug", big("consecutive_empty").alias("consecutive_empty"))
+
+
+@query("capped_error_lists", "with f as (select 'user' || cast(user_id % 7 as varchar) as source, 'code ' || cast(json_extract(props, '$.k') as varchar) as message, min(event_id) as seq from events where event_type = 'error' group by 1, 2), r as (select *, row_number() over (partition by source order by seq) as n from f) select source, string_agg(message, ',' order by seq) as errors from r where n <= 5 group by source")
+def capped_error_lists(t):
+    rows = t.events.where("event_type = 'error'").select(F.concat(F.lit("user"), (F.col("user_id") % 7).cast("string")).alias("source"), F.col("event_id").alias("seq"), F.concat(F.lit("code "), F.get_json_object("props", "$.k")).alias("message"))
+    return history.capped_errors(rows).select("source", F.array_join("errors", ",").alias("errors"))
+
+
+@query("budgeted_work_list", "with h as (select lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) as host, min(page_id) as seq from pages group by 1), r as (select *, row_number() over (order by seq) as n from h) select host, seq, n <= 40 as chosen from r")
+def budgeted_work_list(t):
+    hosts = t.pages.groupBy(extract.company_host(F.col("url")).alias("host")).agg(F.min("page_id").alias("seq"))
+    return links.within_budget(hosts, links.HOST_BUDGET, "seq")
+
+
+@query("title_word_or_ratio")
+def title_word_or_ratio(t):
+    rows = t.part.select("p_partkey", F.col("p_name").alias("title"))
+    return cascade.title_matches(rows, ("forest lace", "almond antique")).select("p_partkey", "title_ok")
+
+
+@query("rel_asof_price", "select e.event_id, max(p.p_partkey) as part from events e join part p on p.p_retailprice <= 900 + e.value and p.p_retailprice > 880 + e.value and p.p_size = e.user_id % 50 + 1 group by e.event_id")
+def rel_asof_price(t):
+    # a range join by buckets of the range's width: each event looks into two buckets instead of every part
+    width = 20
+    parts = t.part.select("p_partkey", "p_retailprice", "p_size", F.floor(F.col("p_retailprice") / width).alias("bucket"))
+    top = F.col("value") + 900
+    events = t.events.select("event_id", top.alias("top"), (F.col("user_id") % 50 + 1).alias("size"), F.explode(F.array(F.floor(top / width), F.floor(top / width) - 1)).alias("bucket"))
+    hit = (F.col("p_retailprice") <= F.col("top")) & (F.col("p_retailprice") > F.col("top") - width) & (F.col("p_size") == F.col("size"))
+    return events.join(parts, "bucket").where(hit).groupBy("event_id").agg(F.max("p_partkey").alias("part"))
+
+
+@query("rel_set_operations", "select c_nationkey as k from customer intersect select s_nationkey from supplier except select n_nationkey from nation where n_regionkey = 1")
+def rel_set_operations(t):
+    return t.customer.select(F.col("c_nationkey").alias("k")).intersect(t.supplier.select("s_nationkey")).subtract(t.nation.where("n_regionkey = 1").select("n_nationkey"))
+
+
+@query("rel_window_hourly", "select strftime(date_trunc('hour', ts), '%Y-%m-%d %H') as hour_start, event_type, count(*) as n from events group by 1, 2")
+def rel_window_hourly(t):
+    return t.events.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.date_format("w.start", "yyyy-MM-dd HH").alias("hour_start"), "event_type", "n")
+
+
 @query("rel_join_revenue", "select n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey where l_shipdate >= timestamp '1995-01-01' group by n_name")
 def rel_join_revenue(t):
     per = t.lineitem.where("l_shipdate >= timestamp_ntz'1995-01-01'").groupBy("l_suppkey").agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("r"))

@@ -4,8 +4,8 @@ import random
 from pyspark.sql import functions as F
 
 from postloom.functions.regions import Preferences
-from postloom.operators import assemble, boards, cascade, compare, history, resolve, score, search
-from postloom.sources import payloads
+from postloom.operators import applications, assemble, boards, cascade, compare, history, links, resolve, score, search
+from postloom.sources import json_walk, payloads
 
 
 
@@ -152,3 +152,61 @@ def test_stream_equals_batch(spark, tmp_path):
         cycle.run_available(spark, str(tmp_path / "in"), "jooble", str(tmp_path / "out"), str(tmp_path / "cp"), now(), 30)
     out = spark.read.parquet(str(tmp_path / "out")).groupBy("outcome").count()
     assert {r.outcome: r["count"] for r in out.collect()} == {"inserted": 2, "merged": 2}
+
+
+def test_title_matches_by_word_or_ratio(spark):
+    df = spark.createDataFrame([("Software Engineer",), ("Sofware Enginer",), ("Nurse",), (None,), ("Nurse",)], "title string")
+    got = cascade.title_matches(df, ("software engineer",)).collect()
+    assert sorted((r.title or "", r.title_ok) for r in got) == [("", False), ("Nurse", False), ("Nurse", False), ("Software Engineer", True), ("Sofware Enginer", True)]
+
+
+def test_links(spark):
+    rows = [("https://jooble.org/away/1", 1, None), ("https://jooble.org/away/1", 2, "kept"), ("https://a.example/x", 3, None), ("https://x.y/redirect?u=1", 4, None)]
+    df = spark.createDataFrame(rows, "url string, seq int, apply_url string")
+    work = links.to_resolve(df, spark.createDataFrame([("https://x.y/redirect?u=1",)], "u string"), 5)
+    assert [(r.url, r.chosen) for r in work.collect()] == [("https://jooble.org/away/1", True)]
+    back = links.apply_resolved(df, spark.createDataFrame([("https://jooble.org/away/1", "t")], "url string, target string"))
+    assert {r.seq: r.apply_url for r in back.collect()} == {1: "t", 2: "kept", 3: None, 4: None}
+    many = spark.range(20).withColumnRenamed("id", "seq")
+    assert links.within_budget(many, 7, "seq").where("chosen").count() == 7 and links.within_budget(many.limit(0), 7, "seq").count() == 0
+    page = spark.createDataFrame([("Just a moment...", "x"), ("Jobs", "all fine"), (None, None)], "t string, b string")
+    assert [r.c for r in page.select(links.is_challenge(F.col("t"), F.col("b")).alias("c")).collect()] == [True, False, False]
+
+
+def test_hosts_to_sniff(spark):
+    rows = [("https://acme.io/a", "Acme", 2), ("https://acme.io/b", "Other", 1), ("https://beta.io/", "Beta", 3), ("https://jobs.lever.co/x", "L", 4)]
+    cache = spark.createDataFrame([("beta.io", True, None)], "host string, found boolean, at timestamp")
+    got = links.hosts_to_sniff(spark.createDataFrame(rows, "url string, company string, seq int"), cache, now()).collect()
+    assert [(r.host, r.company) for r in got] == [("acme.io", "Other")]
+
+
+def test_applications(spark):
+    jobs = spark.createDataFrame([("1", "matched"), ("2", "matched"), ("3", "new")], "id string, status string")
+    made = spark.createDataFrame([("a", "1", 5), ("b", "1", 4)], "id string, job_id string, created_at int")
+    assert {r.id: r.application_id for r in applications.with_application(jobs, made).collect()} == {"1": "b", "2": None, "3": None}
+    assert [r.job_id for r in applications.missing_applications(jobs, made, now()).collect()] == ["2"]
+    papers = spark.createDataFrame([("a", "resume", 1), ("a", "resume", 2)], "application_id string, type string, version int")
+    assert {r.id: r.resume_version for r in applications.with_current_documents(made, papers).collect()} == {"a": 2, "b": None}
+
+
+def test_history_facts(spark):
+    outcomes = spark.createDataFrame([("inserted",), ("merged",), ("stale",)], "outcome string")
+    sources = spark.createDataFrame([("x", 0, 1, True)], "source string, count int, n_errors int, enabled boolean")
+    row = history.run_facts(outcomes, sources, spark.createDataFrame([(True,), (False,)], "active boolean")).first()
+    assert (row.fetched, row.inserted, row.stale, row.status, row.boards_polled) == (3, 1, 1, "partial", 1)
+    names = spark.createDataFrame([("x",), ("y",)], "source string")
+    assert {r.source: r.enabled for r in history.with_skipped(sources, names, ["x"]).collect()} == {"x": True, "y": False}
+    errors = spark.createDataFrame([("x", 3, "b"), ("x", 1, "a"), ("x", 2, "a"), ("x", 4, "c")], "source string, seq int, message string")
+    assert history.capped_errors(errors, 2).first().errors == ["a", "b"]
+    polls = spark.createDataFrame([("g", "a", 1, 0), ("g", "a", 2, 3), ("g", "a", 3, 0), ("g", "b", 1, 0), ("g", "c", 1, 2)], "ats string, slug string, at int, jobs int")
+    assert {r.slug: r.consecutive_empty for r in history.empty_runs(polls).collect()} == {"a": 1, "b": 1, "c": 0}
+
+
+def test_report_and_walk(spark):
+    jobs = spark.createDataFrame([(1, "Dev", "Acme")], "id int, title string, company string")
+    scores = spark.createDataFrame([(1, "a", 80, "ok"), (1, "b", 60, "ok")], "id int, model string, score int, status string")
+    said = compare.report(jobs, scores, ["a", "b"], 70)
+    assert "Dev @ Acme" in said and "80 to 60 (lost)" in said
+    blob = json.dumps({"a": [{"title": "Dev", "url": "https://x.example/1", "startup": {"name": "Acme"}, "inner": {"title": "no", "url": "https://x.example/2"}}, {"name": "n", "url": "https://other/"}]})
+    got = json_walk.walk(spark.createDataFrame([(blob,), ("{broken",), (None,)], "payload string"), "x.example", "s").collect()
+    assert [(r.title, r.company) for r in got] == [("Dev", "Acme")]
