@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from postloom.llm import decontamination, ngram_jaccard, packing, pii, toxicity
 from postloom.llm.rows import without
-from postloom.llm.scratch import materialize
+from postloom.llm.scratch import mark, materialize, release
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +55,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; once a stage's rows are written, what led to them is deleted."""
+    docs, began = spark.read.parquet(f"{sf_dir}/documents.parquet"), mark()
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialize(docs, f"stage{k}")
+            release(spark, began, -1)
     return docs
