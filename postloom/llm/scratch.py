@@ -16,10 +16,7 @@ _WRITTEN: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder as a URI or path, without a trailing slash."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    return (named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch").rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -39,12 +36,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete what this driver has written so far; call it only when no live result needs it."""
+def mark() -> int:
+    """A point in what this driver has written, for ``release``."""
+    return len(_WRITTEN)
+
+
+def release(spark: SparkSession, since: int = 0, until: int | None = None) -> None:
+    """Delete what this driver wrote between two marks; call it only when no live result needs it."""
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    while _WRITTEN:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+    for name in _WRITTEN[since:until]:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(hadoop).delete(path, True)
+    del _WRITTEN[since:until]
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
