@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+# Origins that never retire, limits.
 PROTECTED_ORIGINS = ("configured", "seed")
 MAX_EMPTY = 8
 TOTAL_CAP, CAPS = 300, {"workday": 30, "smartrecruiters": 80}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.regions import Preferences, describe, location_allowed
 from ..functions.text import STOP_WORDS, skill_matches, text, title_words
 
+# Title words, and the stable keys of reasons with their labels.
 SENIOR_WORDS = ("senior", "sr", "staff", "principal", "lead", "director", "vp", "head")
 REASONS = {"title_mismatch": "Title doesn't match target roles", "seniority": "Too senior for your experience", "location": "Outside your locations", "excluded_company": "Excluded company", "few_skills": "Too few skills in description", "no_description": "No job description available", "low_score": "AI score below your minimum", "manual": "You filtered it manually"}
 
