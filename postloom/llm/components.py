@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import materialize
+from .skew import with_group
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -14,19 +15,20 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Only nodes with a link appear.  Nulls and self-links are ignored; repeated links do no harm.
     Each round replaces every node's links by links to its neighbourhood's minimum (the large-star
     and small-star steps), so the number of rounds is about the logarithm of the longest path.
-    Rounds are written to the shared folder; only a count comes to the driver.
+    A node with very many links is split over tasks.  Rounds are written to the shared folder; only a
+    count comes to the driver.
     """
     pairs = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v").distinct()
     pairs, before = materialize(pairs, "links"), None
+    total, least = pairs.count(), F.min("v").alias("m")
     while True:
         both = pairs.union(pairs.select("v", "u")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        large = with_group(both, "u", "v", 2 * total, least).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        large = materialize(large.distinct(), "stars")
+        small = with_group(large, "u", "v", total, least).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         pairs = materialize(small.where("u <> v").distinct(), "links")
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before = now
+        before, total = now, now[0]
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).union(pairs.select("v").distinct().select("v", "v"))

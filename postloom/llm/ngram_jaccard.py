@@ -34,12 +34,15 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .scratch import materialize, small_batches
 from .shingles import shingle_sets
+from .skew import with_group
 
 THRESHOLD = (80, 100)
 #: Shingles of a block of texts in which repeats are counted; bounds a worker's memory.
 BLOCK_SHINGLES = 2_000_000
 #: At most about so many frequent shingles are sent to the executors (16 bytes each).
 ORDERED = 250_000
+#: A list that more texts than this are counted for is split over tasks.
+LIST_ROWS = 1000
 #: So many pairs of ids at most are broadcast to the texts (16 bytes each).
 BROADCAST_PAIRS = 1_000_000
 
@@ -138,11 +141,14 @@ def _frequent(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _short_lists(batches: Iterator[pa.RecordBatch], frequent, threshold) -> Iterator[pa.RecordBatch]:
-    """Postings (shingle, set's first key, size and position) of each distinct set's short lists."""
+    """Postings (shingle, set's first key, size and position, part) of each distinct set's short lists.
+
+    A frequent list comes in parts, from 1 on; the others are part 0.
+    """
     keys, counts = frequent.value
     seen, size = set(), 0
     for batch in batches:
-        out: list[list[np.ndarray]] = [[], [], []]
+        out: list[list[np.ndarray]] = [[], [], [], []]
         for x in shingle_sets(batch.column(0)):
             n = len(x)
             if not n:
@@ -152,16 +158,19 @@ def _short_lists(batches: Iterator[pa.RecordBatch], frequent, threshold) -> Iter
                 continue
             seen.add(k)
             size += n
+            rank = np.zeros(n, np.int64)
             if len(keys):
                 at = np.searchsorted(keys, x)
                 at[at == len(keys)] = 0
                 rank = np.where(keys[at] == x, counts[at], 0)
-                x = x[np.argsort(rank, kind="stable")]
-            x = x[: n - required(n, threshold) + 1]
+                order = np.argsort(rank, kind="stable")
+                x, rank = x[order], rank[order]
+            x, rank = x[: n - required(n, threshold) + 1], rank[: n - required(n, threshold) + 1]
             out[0].append(x.view(np.int64))
             out[1].append(np.full(len(x), k[0], np.int64))
             out[2].append((n << 32) + np.arange(len(x), dtype=np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in out], ["sh", "k1", "np"])
+            out[3].append(np.where(rank > LIST_ROWS, 1 + k[0] % (rank // LIST_ROWS + 1), 0))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in out], ["sh", "k1", "np", "part"])
         if size > BLOCK_SHINGLES:
             seen, size = set(), 0
 
@@ -201,9 +210,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sketches = described.where("kind = 0 and doc_id is not null and n > 0").select(F.col("doc_id").alias("node"), "sketch")
 
     frequent = spark.sparkContext.broadcast(_frequent(described))
-    lists = rows.where("doc_id is not null").select("text").mapInArrow(lambda it: _short_lists(it, frequent, threshold), "sh long, k1 long, np long")
-    by_list = W.partitionBy("sh")
-    shared = lists.select("*", F.min("k1").over(by_list).alias("low"), F.max("k1").over(by_list).alias("high")).where("low <> high")
+    lists = rows.where("doc_id is not null").select("text").mapInArrow(lambda it: _short_lists(it, frequent, threshold), "sh long, k1 long, np long, part long")
+    by_list = W.partitionBy("sh", "part")  # parts of a frequent list stay whether or not another set is in the part
+    shared = lists.select("*", F.min("k1").over(by_list).alias("low"), F.max("k1").over(by_list).alias("high")).where("low <> high or part > 0")
     shared = materialize(shared.select("sh", "k1", "np").distinct(), "lists")
     nodes = shared.select("k1").distinct().join(classes, "k1").select("k1", "node", "n")
     nodes = materialize(nodes, "nodes")
@@ -236,8 +245,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         """What two sets can share from these positions on; at their first shared shingle it must suffice."""
         return F.least(F.col(n) - F.col(i), F.col(m) - F.col(j)) * (num + den) >= (F.col(n) + F.col(m)) * num
 
-    first = members.groupBy("sh").agg(F.min(F.struct("node", "n", "pos")).alias("lead"))
-    star = members.join(first, "sh").where(fits("n", "lead.n") & (F.col("node") != F.col("lead.node")))
+    size = members.count()
+    star = with_group(members, "sh", "node", size, F.min(F.struct("node", "n", "pos")).alias("lead")).where(fits("n", "lead.n") & (F.col("node") != F.col("lead.node")))
     star = star.groupBy("node", F.col("lead.node").alias("lead")).agg(F.count("*").alias("c"), F.max("n").alias("n"), F.max("lead.n").alias("m"), F.bool_or(room("n", "lead.n", "pos", "lead.pos")).alias("may"))
     star = possible(star.where("may").select(F.col("node").alias("a"), F.col("lead").alias("b"), "c", "n", "m"))
     best = star.groupBy("a").agg(F.max_by("b", F.struct("c", -F.col("b"))).alias("b"))
@@ -246,8 +255,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     placed = members.join(so_far, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
     placed = materialize(placed, "placed")
-    open_lists = placed.groupBy("sh").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("sh")
-    left = placed.join(open_lists, "sh", "left_semi")
+    left = with_group(placed, "sh", "node", size, F.min("comp").alias("low"), F.max("comp").alias("high"), having="low <> high").drop("low", "high")
     right = left.select("sh", F.col("node").alias("node_b"), F.col("n").alias("m"), F.col("pos").alias("pos_b"), F.col("comp").alias("comp_b"))
     pairs = left.join(right, "sh").where((F.col("node") < F.col("node_b")) & (F.col("comp") != F.col("comp_b")) & fits("n", "m") & room("n", "m", "pos", "pos_b"))
     pairs = pairs.groupBy(F.col("node").alias("a"), F.col("node_b").alias("b")).agg(F.count("*").alias("c"), F.max("n").alias("n"), F.max("m").alias("m"))
