@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dates, extract, regions, text
-from ..operators import applications, assemble, boards, cascade, compare, history, links, resolve, score, search
+from ..operators import applications, assemble, boards, cascade, compare, discovery, history, links, profile, resolve, score, search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -471,3 +471,30 @@ def rel_session_gaps(t):
     w = W.partitionBy("user_id").orderBy("ts", "event_id")
     gap = (F.timestamp_diff("MICROSECOND", F.lag("ts").over(w), F.col("ts")) > 6 * 3600 * 1_000_000).cast("int")
     return t.events.select("user_id", F.coalesce(gap, F.lit(0)).alias("b")).groupBy("user_id").agg((F.sum("b") + 1).alias("sessions"))
+
+
+@query("insight_keywords", f"select doc_id, array_to_string(list_filter({sorted(_WORDS)}, lambda w: contains(lower(text), w)), ',') as keywords from documents")
+def insight_keywords(t):
+    return t.documents.select("doc_id", F.array_join(profile.literal_keywords(F.col("text"), F.array(*map(F.lit, _WORDS))), ",").alias("keywords"))
+
+
+@query("labels_in_first_use", "with f as (select conv_id, role, min(turn) as seq from conversations group by 1, 2) select conv_id, string_agg(role, ',' order by seq, role) as labels from f group by 1")
+def labels_in_first_use(t):
+    calls = t.conversations.select("conv_id", F.col("turn").alias("seq"), F.col("role").alias("label"))
+    return profile.labels_used(calls, "conv_id").select("conv_id", F.array_join("labels", ",").alias("labels"))
+
+
+@query("match_cycle_counters", "with r as (select case when toxic = 1 then 'error' when quality = 1 then 'matched' else 'filtered_out' end as result from labels) select count(*) filter (result <> 'error') as processed, count(*) filter (result = 'matched') as matched, count(*) filter (result = 'filtered_out') as filtered_out, cast(0 as bigint) as rate_limited, count(*) filter (result = 'error') as errors from r")
+def match_cycle_counters(t):
+    return profile.cycle_counters(t.labels.select(F.when(F.col("toxic") == 1, "error").when(F.col("quality") == 1, "matched").otherwise("filtered_out").alias("result")))
+
+
+@query("slug_validation", """
+select 's' || s_suppkey as slug, case when s_suppkey % 3 = 0 then case when s_suppkey % 2 = 0 then 'fixed' || s_suppkey end when s_suppkey % 5 <> 0 then 's' || s_suppkey end as resolved,
+  case when s_suppkey % 3 = 0 and s_suppkey % 2 = 0 then 'fixed' when s_suppkey % 3 = 0 or s_suppkey % 5 = 0 then 'invalid' else 'ok' end as status from supplier""")
+def slug_validation(t):
+    key = F.col("s_suppkey")
+    rows = t.supplier.select(F.lit("x").alias("ats"), F.concat(F.lit("s"), key.cast("string")).alias("slug"), "s_suppkey")
+    cache = rows.where(key % 3 == 0).select("ats", "slug", F.when(key % 2 == 0, F.concat(F.lit("fixed"), key.cast("string"))).alias("resolved"))
+    probed = rows.select("ats", "slug", (key % 5 != 0).alias("valid"))
+    return discovery.validate(rows, cache, probed).select("slug", "resolved", "status")
