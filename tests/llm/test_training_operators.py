@@ -282,6 +282,32 @@ def test_embeddings(spark):
     assert sorted(map(str, twice)) == sorted(["Row(vec_id=0, n_links=0, component_id=0, kept=True)"] * 2 + ["Row(vec_id=None, n_links=0, component_id=None, kept=False)"])
 
 
+@pytest.mark.parametrize("blocks", [2, 3, 4, 5])
+def test_embeddings_meet_whatever_the_number_of_blocks(blocks):
+    r = np.random.default_rng(8)
+    x, y = r.normal(size=(2, 400, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = 0.93 * x + (1 - 0.93**2) ** 0.5 * y / np.linalg.norm(y, axis=1, keepdims=True)
+    hasher = embedding_dedup.Hasher(64, blocks)
+    (own_x, probed_x), (own_y, probed_y) = (hasher.cells(z, np.zeros(400, np.int64)) for z in (x, y))
+    met = (own_x == own_y) | (probed_x == own_y[:, :, None]).any(axis=2) | (probed_y == own_x[:, :, None]).any(axis=2)
+    assert met.any(axis=1).mean() >= 0.97
+
+
+@pytest.mark.parametrize("blocks", [3, 4, 5])
+def test_embeddings_recall_with_more_blocks(spark, monkeypatch, blocks):
+    monkeypatch.setattr(embedding_dedup, "blocks_for", lambda n: blocks)
+    r = np.random.default_rng(9)
+    x, y = r.normal(size=(2, 100, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = 0.931 * x + (1 - 0.931**2) ** 0.5 * y / np.linalg.norm(y, axis=1, keepdims=True)
+    rows = [(k, v.tolist(), 1) for k, v in enumerate(np.concatenate([x, y]))]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sum(g.n_links for g in got) >= 0.95 * 200
+
+
 def test_e8_points_are_nearest():
     r = np.random.default_rng(1)
     x = r.normal(size=(200, 8)) * 2
