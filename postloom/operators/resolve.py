@@ -1,8 +1,8 @@
 """Entity resolution of postings: three-layer probe, exact sequential merge, re-merge of hash groups.
 
 A posting is the same as another by url, by (source, id), or by content hash.  The merge's outcome depends
-on arrival order, so postings that any key connects are first gathered into components (minimum labels over
-joins); each component is then replayed in order by one small grouped function, existing rows first.
+on arrival order, so postings that any key connects are first gathered into components (large-star and
+small-star steps over joins); each component is then replayed in order by one small grouped function.
 Blank keys connect nothing, so they cannot make one giant component.
 """
 
@@ -14,6 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.dates import is_stale
+from ..llm.components import connected_components
+from ..llm.skew import with_group
 from ..session import cut
 
 
@@ -38,19 +40,23 @@ def probe(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     return out.select(*incoming.columns, F.coalesce("by_url", "by_id", "by_hash").alias("match_id"), layer.alias("layer"))
 
 
-def components(postings: DataFrame, rounds: int = 40) -> DataFrame:
-    """Adds ``component``: the least row key among rows that urls, ids or hashes connect."""
+def _edges(postings: DataFrame, *columns: str) -> DataFrame:
+    """(key, via, columns) for each key that a row may be found by; blank ones are left out."""
     keys = F.array(F.concat(F.lit("u:"), F.nullif("url", F.lit(""))), F.concat(F.lit("i:"), F.col("source"), F.lit(":"), F.nullif("source_job_id", F.lit(""))), F.concat(F.lit("h:"), F.col("dedupe_hash")))
-    edges = cut(postings.select("key", F.explode(keys).alias("via")).where("via is not null").distinct())
-    label = postings.select("key").distinct().withColumn("component", F.col("key"))
-    for _ in range(rounds):
-        low = edges.join(label, "key").groupBy("via").agg(F.min("component").alias("component"))
-        after = edges.join(low, "via").groupBy("key").agg(F.min("component").alias("after"))
-        step = cut(label.join(after, "key", "left").select("key", F.least("component", F.coalesce("after", "component")).alias("now"), "component"))
-        label = step.select("key", F.col("now").alias("component"))
-        if step.where("now <> component").isEmpty():
-            break
-    return postings.join(label, "key")
+    return postings.select("key", F.explode(keys).alias("via"), *columns).where("via is not null").distinct()
+
+
+def _labels(edges: DataFrame) -> DataFrame:
+    """(node, component) of the rows that share a key with another row, until no label changes."""
+    total = edges.count()
+    links = with_group(edges, "via", "key", total, F.min("key").alias("least"), F.count("*").alias("n"), having="n > 1")
+    return connected_components(links, "key", "least")
+
+
+def components(postings: DataFrame) -> DataFrame:
+    """Adds ``component``: the least row key among rows that urls, ids or hashes connect, over any number of links."""
+    label = _labels(cut(_edges(postings))).withColumnRenamed("node", "key")
+    return postings.join(label, "key", "left").withColumn("component", F.coalesce("component", "key")).where("key is not null")
 
 
 MERGED = "key string, outcome string, keeper string, source_urls array<string>, description string, apply_url string"

@@ -40,6 +40,12 @@ def test_merge_equals_the_sequential_rule(spark):
     assert {x.key: (x.outcome, x.keeper) for x in got.collect()} == restated(rows)
 
 
+def test_components_follow_a_chain_of_200_postings(spark):
+    rows = [(f"k{i:03d}", i, "s", f"j{i // 2}", f"u{(i + 1) // 2}", None, "", f"h{i}", None) for i in range(200)]
+    got = resolve.components(spark.createDataFrame(rows, POSTING).repartition(3)).collect()
+    assert len(got) == 200 and {x.component for x in got} == {"k000"}
+
+
 def test_merge_keeps_longer_text_all_urls_and_stale(spark):
     from datetime import datetime
 
