@@ -2,7 +2,8 @@
 
 A posting is the same as another by url, by (source, id), or by content hash.  The merge's outcome depends
 on arrival order, so postings that any key connects are first gathered into components (large-star and
-small-star steps over joins); each component is then replayed in order by one small grouped function.
+small-star steps over joins).  Only the first row of each combination of keys can make a key known, so a component's
+first rows are replayed in order by one small grouped function; all other rows follow by joins.
 Blank keys connect nothing, so they cannot make one giant component.
 """
 
@@ -59,41 +60,58 @@ def components(postings: DataFrame) -> DataFrame:
     return postings.join(label, "key", "left").withColumn("component", F.coalesce("component", "key")).where("key is not null")
 
 
-MERGED = "key string, outcome string, keeper string, source_urls array<string>, description string, apply_url string"
+def settle(rows: pd.DataFrame) -> pd.DataFrame:
+    """When each key of one component is first known and whose it is: (via, seq, key, keeper).
 
-
-def replay(rows: pd.DataFrame) -> pd.DataFrame:
-    """Merge one component's rows in arrival order; existing rows (is_existing) come first."""
-    rows = rows.sort_values(["is_existing", "seq", "key"], ascending=[False, True, True])
-    kept: dict[str, dict] = {}
-    by: dict[tuple, str] = {}
+    ``rows`` has the first row of each combination of keys (u, i, h); old_u, old_i and old_h are the existing
+    rows' keepers, known before all.
+    """
+    known: dict[str, str] = {}
     out = []
-    for r in rows.to_dict("records"):
-        probes = [("u", u) for u in ([*r["source_urls"]] if r["is_existing"] else [r["url"]]) if u]
-        if r["source_job_id"]:
-            probes.append(("i", r["source"], r["source_job_id"]))
-        probes.append(("h", r["dedupe_hash"]))
-        found = None if r["is_existing"] else next(((p[0], by[p]) for p in probes if p in by), None)
-        if found is None:
-            urls = list(r["source_urls"]) if r["is_existing"] else [r["url"]]
-            kept[r["key"]] = {"source_urls": urls, "description": r["description"], "apply_url": r["apply_url"]}
-            for p in probes:
-                by.setdefault(p, r["key"])
-            out.append((r["key"], "existing" if r["is_existing"] else "inserted", r["key"]))
-            continue
-        layer, keeper = found
-        own = kept[keeper]
-        own["apply_url"] = own["apply_url"] or r["apply_url"]
-        if layer == "h":
-            if r["url"] not in own["source_urls"]:
-                own["source_urls"].append(r["url"])
-                by.setdefault(("u", r["url"]), keeper)
-            if len(r["description"] or "") > len(own["description"] or ""):
-                own["description"] = r["description"]
-            out.append((r["key"], "merged", keeper))
-        else:
-            out.append((r["key"], "skipped", keeper))
-    return pd.DataFrame([(k, o, keeper, *(kept[keeper][c] for c in ("source_urls", "description", "apply_url"))) for k, o, keeper in out], columns=["key", "outcome", "keeper", "source_urls", "description", "apply_url"])
+    for r in rows.sort_values(["seq", "key"]).to_dict("records"):
+        found = next((c for c in "uih" if isinstance(r[f"old_{c}"], str) or r[c] in known), None)
+        keeper = r["key"] if found is None else known.get(r[found], r[f"old_{found}"])
+        for c in "uih" if found is None else "u" if found == "h" else "":
+            if isinstance(r[c], str):
+                known[r[c]] = keeper
+                out.append((r[c], r["seq"], r["key"], keeper))
+    return pd.DataFrame(out, columns=["via", "seq", "key", "keeper"])
+
+
+def outcomes(rows: DataFrame) -> DataFrame:
+    """(key, outcome, keeper) of rows (key, seq, url, source, source_job_id, dedupe_hash, is_existing), for each that is not existing.
+
+    Keys are only ever added, and only the first row of a combination of keys can add any, so only those first
+    rows are replayed; every other row's outcome follows from when its keys became known.  A key that one row
+    alone has finds nothing and is left out, so rows that share just a hash or a url are one combination.
+    """
+    order = F.struct("seq", "key")
+    edges = cut(_edges(rows, "seq", "is_existing"))
+    old = F.min_by(F.when(F.col("is_existing"), F.col("key")), F.when(F.col("is_existing"), order)).alias("old")
+    shared = with_group(edges, "via", "key", edges.count(), old, F.count("*").alias("n"), having="n > 1").where("not is_existing")
+    kinds = {c: F.col("via").startswith(f"{c}:") for c in "uih"}
+    keyed = shared.groupBy("key").agg(F.first("seq").alias("seq"), *(F.max(F.when(is_kind, F.col("via"))).alias(c) for c, is_kind in kinds.items()), *(F.max(F.when(is_kind, F.col("old"))).alias(f"old_{c}") for c, is_kind in kinds.items()))
+    firsts = keyed.groupBy(*"uih").agg(F.min(order).alias("at"), *(F.max(f"old_{c}").alias(f"old_{c}") for c in "uih"))
+    firsts = cut(firsts.select("at.seq", "at.key", *"uih", *(f"old_{c}" for c in "uih")))
+
+    links = firsts.select("key", F.explode(F.array(*(F.when(F.col(f"old_{c}").isNull(), F.col(c)) for c in "uih"))).alias("via")).where("via is not null")
+    labelled = cut(firsts.join(_labels(links).withColumnRenamed("node", "key"), "key", "left"))
+    kind = dict(labelled.dtypes)["seq"]
+    mixed = labelled.where("component is not null").groupBy("component").applyInPandas(lambda _, pdf: settle(pdf), f"via string, seq {kind}, key string, keeper string")
+    alone = labelled.where("component is null and old_u is null and old_i is null")
+    sets = F.when(F.col("old_h").isNull(), F.array(*"uih")).otherwise(F.array("u"))
+    alone = alone.select(F.explode(sets).alias("via"), "seq", "key", F.coalesce("old_h", "key").alias("keeper")).where("via is not null")
+    settled = mixed.unionByName(alone).select("via", F.struct("seq", "key").alias("at"), "keeper")
+
+    told = shared.select("key", "via", "seq", "old").withColumns({"at": F.lit(None).cast(settled.schema["at"].dataType), "keeper": F.lit(None).cast("string")})
+    told = told.unionByName(settled.selectExpr("cast(null as string) as key", "via", f"cast(null as {kind}) as seq", "cast(null as string) as old", "at", "keeper"))
+    told = told.withColumnsRenamed({"at": "_at", "keeper": "_keeper"})
+    told = with_group(told, "via", "key", edges.count(), F.min("_at").alias("at"), F.min_by("_keeper", "_at").alias("keeper")).where("key is not null")
+    whose = F.coalesce("old", F.when(F.col("at") < order, F.col("keeper")))
+    hits = told.groupBy("key").agg(*(F.max(F.when(is_kind, whose)).alias(f"by_{c}") for c, is_kind in kinds.items()))
+    out = rows.where("not is_existing").select("key").distinct().join(hits, "key", "left")
+    outcome = F.when(F.coalesce("by_u", "by_i").isNotNull(), "skipped").when(F.col("by_h").isNotNull(), "merged").otherwise("inserted")
+    return out.select("key", outcome.alias("outcome"), F.coalesce("by_u", "by_i", "by_h", "key").alias("keeper"))
 
 
 def merge(incoming: DataFrame, now: F.Column, max_age_days: int, existing: DataFrame | None = None) -> DataFrame:
@@ -108,11 +126,22 @@ def merge(incoming: DataFrame, now: F.Column, max_age_days: int, existing: DataF
     rows = marked.where("not _stale").select(*columns, F.array("url").alias("source_urls"), F.lit(False).alias("is_existing"))
     if existing is not None:
         rows = rows.unionByName(existing.select(*columns, "source_urls", F.lit(True).alias("is_existing")))
-    exploded = rows.withColumn("url", F.explode_outer("source_urls"))
-    labels = components(exploded).select("key", "component").distinct()
-    merged = rows.join(labels, "key").groupBy("component").applyInPandas(lambda _, pdf: replay(pdf.drop(columns="component")), MERGED)
+    found = cut(outcomes(rows.withColumn("url", F.explode_outer("source_urls"))))
+    told = rows.join(found, "key", "left").withColumns({"outcome": F.coalesce("outcome", F.lit("existing")), "keeper": F.coalesce("keeper", "key")})
+
+    first, base = F.struct(F.col("key") != F.col("keeper"), "seq", "key"), F.col("key") == F.col("keeper")
+    texts, length = base | (F.col("outcome") == "merged"), F.length(F.coalesce("description", F.lit("")))
+    own = F.max(F.when(base, F.col("source_urls")))
+    added = F.transform(F.array_sort(F.collect_list(F.when(F.col("outcome") == "merged", F.struct("seq", "key", "url")))), lambda x: x["url"])
+    fields = [
+        F.concat(own, F.array_except(added, own)).alias("_urls"),
+        F.min_by(F.when(texts, F.col("description")), F.when(texts, F.struct(-length, first))).alias("_description"),
+        F.coalesce(F.min_by("apply_url", F.when(F.col("apply_url") != "", first)), F.max_by("apply_url", first)).alias("_apply_url"),
+    ]
+    merged = with_group(told, "keeper", "key", found.count(), *fields).where("outcome <> 'existing'")
+    merged = merged.select("key", "outcome", "keeper", F.col("_urls").alias("source_urls"), F.col("_description").alias("description"), F.col("_apply_url").alias("apply_url"))
     old = marked.where("_stale").select("key", F.lit("stale").alias("outcome"), F.lit(None).cast("string").alias("keeper"), F.array().cast("array<string>").alias("source_urls"), "description", "apply_url")
-    return merged.where("outcome <> 'existing'").unionByName(old)
+    return merged.unionByName(old)
 
 
 def remerge(postings: DataFrame, applications: DataFrame) -> DataFrame:
@@ -120,14 +149,14 @@ def remerge(postings: DataFrame, applications: DataFrame) -> DataFrame:
 
     A duplicate with an application stays under a suffixed hash; others go.
     """
-    order = W.partitionBy("dedupe_hash").orderBy(F.asc_nulls_last("fetched_at"), "id")
-    ranked = postings.withColumn("_rank", F.row_number().over(order))
-    urls = postings.groupBy("dedupe_hash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_urls")))).alias("_urls"))
-    used = applications.select(F.col("job_id").alias("id"), F.lit(True).alias("_used")).distinct()
-    rows = ranked.join(urls, "dedupe_hash").join(used, "id", "left").where("_rank = 1 or _used")
-    rows = rows.withColumn("source_urls", F.when(F.col("_rank") == 1, F.col("_urls")).otherwise(F.col("source_urls")))
-    rows = rows.withColumn("dedupe_hash", F.when(F.col("_rank") == 1, F.col("dedupe_hash")).otherwise(F.concat("dedupe_hash", F.lit("-"), F.col("id").cast("string"))))
-    return rows.select(*postings.columns)
+    order = F.struct(F.col("fetched_at").isNull(), "fetched_at", "id")
+    ranked = with_group(postings, "dedupe_hash", "id", postings.count(), F.min_by("id", order).alias("_first"))
+    urls = postings.select("dedupe_hash", F.explode("source_urls").alias("_url")).distinct()
+    urls = urls.groupBy("dedupe_hash").agg(F.transform(F.array_sort(F.collect_list(F.struct("_url"))), lambda x: x["_url"]).alias("_urls"))
+    used = applications.select(F.col("job_id").alias("id")).distinct()
+    firsts = ranked.where("id = _first").join(urls, "dedupe_hash", "left").withColumn("source_urls", F.coalesce("_urls", F.array().cast("array<string>")))
+    others = ranked.where("id <> _first").join(used, "id", "left_semi").withColumn("dedupe_hash", F.concat("dedupe_hash", F.lit("-"), F.col("id").cast("string")))
+    return firsts.select(*postings.columns).unionByName(others.select(*postings.columns))
 
 
 def unknown_urls(incoming: DataFrame, known: list[DataFrame]) -> DataFrame:

@@ -40,6 +40,57 @@ def test_merge_equals_the_sequential_rule(spark):
     assert {x.key: (x.outcome, x.keeper) for x in got.collect()} == restated(rows)
 
 
+def replayed(rows, existing=()):
+    """The sequential merge with all fields, existing rows first: {key: (outcome, keeper, source_urls, description, apply_url)}."""
+    kept, by, out = {}, {}, []
+    for k, _, source, jid, url, apply, text, h, urls in [*sorted(existing, key=lambda r: r[1]), *sorted(rows, key=lambda r: r[1])]:
+        old = urls is not None
+        probes = [("u", u) for u in (urls if old else [url]) if u] + ([("i", source, jid)] if jid else []) + [("h", h)]
+        found = None if old else next(((p[0], by[p]) for p in probes if p in by), None)
+        if found is None:
+            kept[k] = [list(urls) if old else [url], text, apply]
+            for p in probes:
+                by.setdefault(p, k)
+            out.append((k, "existing" if old else "inserted", k))
+            continue
+        own = kept[found[1]]
+        own[2] = own[2] or apply
+        if found[0] == "h":
+            if url not in own[0]:
+                own[0].append(url)
+                by.setdefault(("u", url), found[1])
+            own[1] = max(own[1], text, key=lambda x: len(x or ""))
+        out.append((k, "merged" if found[0] == "h" else "skipped", found[1]))
+    return {k: (o, keeper, *kept[keeper]) for k, o, keeper in out if o != "existing"}
+
+
+def test_merge_of_hot_and_mixed_keys_with_existing_rows(spark):
+    r = random.Random(7)
+
+    def made(n, name, at):
+        return [(f"{name}{i:03d}", at + i, r.choice("ab"), r.choice(["", "", "1", "2", f"x{i}"]), r.choice([f"u{r.randint(0, 70)}", f"v{i}", "", "hot"]), r.choice([None, "", f"apply{i}"]), "d" * r.randint(0, 9) + str(i % 3), r.choice(["hot", f"h{r.randint(0, 60)}"]), None) for i in range(n)]
+
+    rows = made(400, "k", 100)
+    old = [(*x[:4], None, *x[5:8], [x[4], f"u{r.randint(0, 90)}"]) for x in made(25, "e", 0)]
+    existing = spark.createDataFrame([x[:8] + (None, x[8]) for x in old], POSTING + ", source_urls array<string>")
+    for have, want in ((None, replayed(rows)), (existing, replayed(rows, old))):
+        got = resolve.merge(spark.createDataFrame(rows, POSTING).repartition(5), now(), 30, have).collect()
+        assert len(got) == 400 and {x.key: (x.outcome, x.keeper, x.source_urls, x.description, x.apply_url) for x in got} == want
+
+
+def test_merge_replays_only_first_rows_of_key_combinations(spark, monkeypatch):
+    whole = resolve.settle
+
+    def few(rows):
+        assert len(rows) <= 3
+        return whole(rows)
+
+    monkeypatch.setattr(resolve, "settle", few)
+    rows = [(f"k{i:03d}", i, "s", "", f"u{i}", None, "", "hot", None) for i in range(600)] + [("m", 700, "s", "", "hot", None, "", "hot", None)] + [(f"l{i:03d}", 900 + i, "s", "", "hot", None, "", f"g{i}", None) for i in range(600)]
+    got = resolve.merge(spark.createDataFrame(rows, POSTING), now(), 30).groupBy("outcome", "keeper").count().collect()
+    assert {tuple(x) for x in got} == {("inserted", "k000", 1), ("merged", "k000", 600), ("skipped", "k000", 600)}
+
+
 def test_components_follow_a_chain_of_200_postings(spark):
     rows = [(f"k{i:03d}", i, "s", f"j{i // 2}", f"u{(i + 1) // 2}", None, "", f"h{i}", None) for i in range(200)]
     got = resolve.components(spark.createDataFrame(rows, POSTING).repartition(3)).collect()
