@@ -1,6 +1,6 @@
 """Benchmark decontamination by size-partitioned MinHash containment search.
 
-Test items are partitioned by their number of shingles into classes (u / 2, u], u a power of two.  A long
+Test items are partitioned by their number of shingles into classes (u / 2, u], u a power of two from 1.  A long
 document would drown an item's Jaccard similarity, so for each class it is searched by windows of 2u
 shingles that advance by u: a passage of an item's length lies whole in one of them, and with
 containment t the window's Jaccard similarity with the item is at least s = t/2 / (2 + 1/2 - t/2).  The
@@ -30,7 +30,6 @@ CONTAINMENT = (80, 100)
 MISS = 1e-4
 #: Items, and shingles of items, that are sent to the tasks at a time.
 BLOCK_ITEMS, BLOCK_SHINGLES = 20_000, 2_000_000
-SMALLEST = 8
 _FILTER_BITS = 20
 
 
@@ -47,7 +46,7 @@ class Index:
         self.items = items
         self.factors = np.random.default_rng(11).integers(0, 2**63, n_bands, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         sizes = np.array([len(x) for x in items])
-        upper = np.maximum(SMALLEST, 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64))
+        upper = 1 << np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64)
         #: For each class and band: sorted minima, the items they belong to, and a table that rejects most others.
         self.classes: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         self.tables: dict[int, np.ndarray] = {}
@@ -71,10 +70,10 @@ class Index:
         if not len(some) or not self.classes:
             return set()
         flat, sizes = np.concatenate([lists[k] for k in some]), sizes[some]
-        largest = max(self.classes)
+        u, largest = min(self.classes), max(self.classes)
         first = np.cumsum(sizes) - sizes
-        levels, u, counts = [], SMALLEST, -(-sizes // SMALLEST)
-        starts = self._starts(first, counts, SMALLEST)
+        levels, counts = [], -(-sizes // u)
+        starts = self._starts(first, counts, u)
         while u <= largest:
             rows = np.repeat(np.arange(len(some)), counts)
             levels.append((u, starts, rows, np.append(rows[1:] == rows[:-1], False)))

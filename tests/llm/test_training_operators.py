@@ -129,6 +129,32 @@ def test_decontamination(spark):
     assert decontamination.leaks(docs(spark, []), docs(spark, items, "item_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("words", [5, 6, 7, 8, 9, 12, 15])
+def test_decontamination_finds_short_items(words):
+    r = np.random.default_rng(words)
+    lists = [r.integers(0, 2**63, 200, dtype=np.uint64) for _ in range(1500)]
+    places = r.integers(0, 200 - words, 1500)
+    items = [x[k : k + words - 4].copy() for x, k in zip(lists, places, strict=True)]
+    found = decontamination.Index(items, decontamination.bands()).candidates(lists)
+    assert all((k, k) in found for k in range(1500))
+
+
+def test_decontamination_short_items_as_by_brute_force(spark):
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(k, " ".join(r.choices(words, k=200))) for k in range(300)]
+    items = []
+    for k, (_, text) in enumerate(rows):
+        said, n = text.split(), 5 + k % 4
+        at = r.randrange(200 - n)
+        items.append((k, " ".join(said[at : at + n])))
+    cut = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    sets = [cut(t) for _, t in rows]
+    want = {(d, i) for i, t in items for d, s in enumerate(sets) if 100 * len(cut(t) & s) >= 80 * len(cut(t))}
+    got = decontamination.leaks(docs(spark, rows), docs(spark, items, "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id) for x in got} == want and len(want) >= 300
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     rows = corpus(6, 40)
     items = [(k, " ".join(t.split()[:9])) for k, (_, t) in enumerate(rows) if t]
