@@ -73,8 +73,13 @@ def skill_matches(description: Column | str, skills: list[str]) -> Column:
     return total
 
 
+def word(pattern: str) -> str:
+    """The pattern as a whole word: no letter, mark, digit or underscore of any script beside it."""
+    return rf"(?<![\p{{L}}\p{{M}}\p{{N}}_])(?:{pattern})(?![\p{{L}}\p{{M}}\p{{N}}_])"
+
+
 def title_words(title: Column | str) -> Column:
-    words = F.regexp_extract_all(F.lower(text(title)), F.lit(r"\b[a-z]+\b"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(text(title)), F.lit(word("[a-z]+")), F.lit(0))
     return F.array_except(words, F.array(*map(F.lit, STOP_WORDS)))
 
 

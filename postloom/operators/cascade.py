@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.regions import Preferences, describe, location_allowed
-from ..functions.text import STOP_WORDS, skill_matches, text, title_words
+from ..functions.text import STOP_WORDS, skill_matches, text, title_words, word
 
 # Title words, and the stable keys of reasons with their labels.
 SENIOR_WORDS = ("senior", "sr", "staff", "principal", "lead", "director", "vp", "head")
@@ -46,29 +46,39 @@ def resembles_role(roles: tuple[str, ...], least: float = 0.7):
 
     @F.pandas_udf("boolean")
     def run(titles: pd.Series) -> pd.Series:
-        ratio = lambda t: any(SequenceMatcher(None, (t or "").lower(), r.lower()).ratio() >= least for r in roles)
+        def ratio(t: str | None) -> bool:
+            found = (SequenceMatcher(None, (t or "").lower(), r.lower()) for r in roles)
+            return any(m.real_quick_ratio() >= least and m.quick_ratio() >= least and m.ratio() >= least for m in found)  # the quick ones are upper bounds
+
         known = {t: ratio(t) for t in titles.unique()}
         return titles.map(known)
 
     return run
 
 
+def matches_role(title: Column, roles: tuple[str, ...]) -> Column:
+    """Whether a title shares a word with a role or resembles one; no shuffle, each batch's distinct titles are compared once."""
+    shares = F.coalesce(shares_word(title, roles), F.lit(False))
+    return shares | resembles_role(roles)(F.when(~shares, title)) if roles else shares
+
+
 def blocked_by_seniority(title: Column, p: Profile) -> Column:
     if not p.filter_senior or p.total_years >= p.junior_max_years:
         return F.lit(False)
     blocked = [w for w in SENIOR_WORDS if w not in _role_words(p.target_roles)]
-    return F.lower(text(title)).rlike(rf"\b({'|'.join(blocked)})\b") if blocked else F.lit(False)
+    return F.lower(text(title)).rlike(word("|".join(blocked))) if blocked else F.lit(False)
 
 
 def evaluate(postings: DataFrame, p: Profile, title_matches: Column | None = None) -> DataFrame:
     """Adds ``outcome`` (passed, score, reason, detail) to postings (title, company, location, is_remote, description).
 
-    The order of the rules is fixed and the first that rejects names itself.
+    The order of the rules is fixed and the first that rejects names itself.  Unless ``title_matches`` is given,
+    a title matches by a word or, as in ``title_matches()``, by its difference ratio to a role.
     """
     title = F.col("title")
-    matches = title_matches if title_matches is not None else shares_word(title, p.target_roles)
+    matches = title_matches if title_matches is not None else matches_role(title, p.target_roles)
     matched = skill_matches("description", list(p.skills))
-    first_senior = F.coalesce(*(F.when(F.lower(text(title)).rlike(rf"\b{w}\b"), w) for w in SENIOR_WORDS), F.lit("senior"))
+    first_senior = F.coalesce(*(F.when(F.lower(text(title)).rlike(word(w)), w) for w in SENIOR_WORDS), F.lit("senior"))
 
     def out(passed: bool, score: Column, reason: str | None, detail: Column) -> Column:
         return F.struct(F.lit(passed).alias("passed"), score.cast("double").alias("score"), F.lit(reason).cast("string").alias("reason"), detail.cast("string").alias("detail"))

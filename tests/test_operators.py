@@ -121,6 +121,15 @@ def test_cascade_order(spark):
     assert got[-1].passed and got[-1].score == 1.0
 
 
+def test_cascade_words_of_any_script_and_resembling_titles(spark):
+    p = cascade.Profile(("software engineer", "le chef"))
+    titles = ["sofware enginer", "Ingénieur chef", "achefé", "échef", "chefe\u0301", "Sr. chef", "ésr chef", "srë chef", "chef «lead»", "漢lead chef", "boulanger", None]
+    rows = [(t, "Co", "", False, "") for t in titles]
+    got = cascade.evaluate(spark.createDataFrame(rows, "title string, company string, location string, is_remote boolean, description string"), p).select("title", "outcome.reason").collect()
+    no, senior = "title_mismatch", "seniority"
+    assert [x.reason for x in got] == [None, None, no, no, no, senior, None, None, senior, None, no, no] and [x.title for x in got] == titles
+
+
 def test_gate(spark):
     df = spark.createDataFrame([(82, True), (82, False), (10, False), (70, None)], "s int, f boolean").select(cascade.gate(F.col("s"), F.col("f"), 70).alias("g")).select("g.*")
     assert [(r.llm_score, r.status) for r in df.collect()] == [(82, "matched"), (67, "filtered_out"), (0, "filtered_out"), (70, "matched")]
