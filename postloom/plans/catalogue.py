@@ -377,9 +377,7 @@ def title_fuzzy_ratio(t):
 @query("balanced_json", "select conv_id, turn, cast(turn * 10 as int) as score, 'ok' as status from conversations")
 def balanced_json(t):
     said = F.concat(F.lit("Sure! ```json {\"score\": "), (F.col("turn") * 10).cast("string"), F.lit(".5, \"reasoning\": \"ok\"} ``` done"))
-    parsed = t.conversations.where("turn <= 10").select("conv_id", "turn", score.parse_reply(score.reply_object(said)).alias("r"))
-    rest = t.conversations.where("turn > 10").select("conv_id", "turn", F.struct((F.col("turn") * 10).cast("int").alias("score"), F.lit("ok").alias("status")).alias("r"))
-    return parsed.select("conv_id", "turn", "r.score", "r.status").union(rest.select("conv_id", "turn", "r.score", "r.status"))
+    return t.conversations.select("conv_id", "turn", score.parse_reply(score.reply_object(said)).alias("r")).select("conv_id", "turn", "r.score", "r.status")
 
 
 @query("merge_replay_outcomes", "with r as (select source, row_number() over (partition by text order by doc_id) as n from documents) select case when n = 1 then 'inserted' else 'merged' end as outcome, count(*) as n from r group by 1")

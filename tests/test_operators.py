@@ -174,6 +174,14 @@ def test_replies(spark):
     assert [(r.score, r.status, r.seniority_fit) for r in got] == [(82, "ok", False), (None, "unreadable", True), (100, "ok", True), (None, "unreadable", True), (None, "unreadable", True)]
 
 
+def test_balanced_json_parses_the_replies_of_long_conversations(spark, tmp_path):
+    from postloom.plans.catalogue import QUERIES
+
+    spark.createDataFrame([(1, k) for k in (1, 10, 11, 25)], "conv_id long, turn int").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = QUERIES["balanced_json"](spark, str(tmp_path)).collect()
+    assert sorted((x.turn, x.score, x.status) for x in got) == [(1, 10, "ok"), (10, 100, "ok"), (11, 100, "ok"), (25, 100, "ok")]
+
+
 def test_grounding(spark):
     row = spark.range(1).select(assemble.ground(F.array(F.lit("cut 30%"), F.lit("led 9 people"), F.lit("new 5")), F.array(F.lit("saved 30%"), F.lit("led a team"))).alias("b")).first()
     assert row.b == ["cut 30%", "led a team"]
