@@ -7,7 +7,8 @@ window from level h to h + s, where N is the level array; by 1 - 2 * N[h] when i
 closes; and by 2 * N[s] + 1 when it opens a new one; so one vector operation over the levels places it.
 When the partition ends, the windows left partial are refilled from each other, cutting pieces where
 a window is full; the last one is cut so that the rest is a sum of powers of two, which need no
-padding.  State is the level array and the pieces of partial windows.
+padding.  State is the level array and the pieces of partial windows, whose ids are held at two bytes
+each where the vocabulary allows it; so memory is bounded by the partition, however many windows stay open.
 """
 
 from __future__ import annotations
@@ -28,8 +29,6 @@ from .tokenizer_fst import compiled
 
 CAPACITY = 2048
 END_ID = 1
-#: Partial windows that are kept open; beyond it the fullest close as they would at the end.
-OPEN = 8192
 
 Piece = tuple[int, int, int]  # (document's index, start, length)
 
@@ -65,11 +64,11 @@ class SumOfSquares:
         self.open += 1
         return None
 
-    def drain(self, keep: int = 0) -> Iterator[list[Piece]]:
-        """Close all but ``keep`` windows, the fullest first, refilling them from each other."""
+    def drain(self) -> Iterator[list[Piece]]:
+        """Close all windows, the fullest first, refilling them from each other."""
         window, room = [], self.capacity
         for level in range(self.capacity, 0, -1):
-            while self.windows[level] and self.open > keep:
+            while self.windows[level]:
                 self.open -= 1
                 self.count[level] -= 1
                 for doc, start, length in self.windows[level].pop():
@@ -109,6 +108,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, packer = compiled(tokenizer_path(tokenizer)), SumOfSquares(capacity)
+        narrow = np.uint16 if machine.largest < 1 << 16 else np.uint32
         sequence = TaskContext.get().partitionId() << 40
         held: dict[int, list] = {}  # a document's id, ids from its remainder on, where they begin, number of its ids, of those to come
         rows: list[tuple] = []
@@ -141,13 +141,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
                 for start in range(0, whole, capacity):
                     out([(number, start, capacity)])
                 if whole < len(ids):
-                    held[number][1:3] = ids[whole:].copy(), whole
+                    held[number][1:3] = ids[whole:].astype(narrow), whole
                 if whole < len(ids) and (window := packer.place((number, whole, len(ids) - whole))):
                     out(window)
                 number += 1
-            if packer.open > OPEN:
-                for window in packer.drain(OPEN // 2):
-                    out(window)
             yield batch_of()
         for window in packer.drain():
             out(window)

@@ -6,6 +6,7 @@ The folder is the one the session names in ``spark.checkpoint.dir``.  Only where
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,14 @@ _WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder as a URI or path, without a trailing slash."""
+    """The shared folder as a URI or path, without a trailing slash.
+
+    Where ``spark.checkpoint.dir`` is unset it is a folder below the warehouse, but only with a local master,
+    which has one machine; on a cluster the folder must be named.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return (named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch").rstrip("/")
 
 
@@ -50,6 +57,14 @@ def release(spark: SparkSession, since: int = 0, until: int | None = None) -> No
     del _WRITTEN[since:until]
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the rows of an Arrow batch, so that a batch of very long texts fits a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, rows: int = 512, size: str = "32m") -> None:
+    """Bound an Arrow batch's rows and bytes, so that a batch of very long texts fits a worker's memory.
+
+    Spark reads these settings when a plan runs, so they stay set; smaller ones of the caller's stay too.
+    """
+    for name, least in (("maxRecordsPerBatch", str(rows)), ("maxBytesPerBatch", size)):
+        name = f"spark.sql.execution.arrow.{name}"
+        told = spark.conf.get(name)
+        if told.lstrip("-").isdigit() and 0 < int(told) <= (rows if least == str(rows) else 1 << 25):
+            continue
+        spark.conf.set(name, least)

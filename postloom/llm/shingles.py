@@ -1,12 +1,14 @@
 """Word hashes and 5-word shingle sets of whole texts, computed on Arrow buffers with numpy.
 
-Words are maximal runs of bytes other than space and 0x09-0x0D, with A-Z lower-cased.  A word's
-hash is a polynomial over its bytes modulo 2**64; it comes from prefix sums, so no Python object is
-made per word.  A shingle's hash mixes those of its words.
+Words are maximal runs of bytes other than space and 0x09-0x0D, with A-Z lower-cased.  A word is read
+in blocks of eight bytes, each mixed into the hash by a bijection of 64 bits, so words of up to eight
+bytes have different hashes and longer ones meet by chance only; very long words are hashed by
+BLAKE2b.  No Python object is made per word.  A shingle's hash mixes those of its words.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,24 +16,16 @@ import pyarrow as pa
 
 SHINGLE_WORDS = 5
 SEGMENT = 1 << 20  # bytes that are hashed at a time
-_BASE = 0x9E3779B97F4A7C15
 _STEP = np.uint64(0xD6E8FEB86659FD93)
+_WORD = np.uint64(0x9E3779B97F4A7C15)
+#: Longer byte strings are hashed by BLAKE2b instead of block by block.
+LONG_BYTES = 64
+KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # of a block's bytes, those of its word
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256)
+_LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_VALUE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)[_LOWER]
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _POWERS[name] = np.multiply.accumulate(steps)
-    return _POWERS["up"], _POWERS["down"]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -41,6 +35,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def eight_bytes(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on, zeros beyond the end, as 64-bit values."""
+    padded = np.zeros(len(raw) + 16, np.uint8)
+    padded[: len(raw)] = raw
+    return np.ndarray((len(raw) + 8,), "<u8", padded.data, 0, (1,))
+
+
+def hash_slices(raw: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte strings of ``raw`` that begin at ``first`` and have ``size`` bytes."""
+    blocks = eight_bytes(raw)
+    out = mix(size.astype(np.uint64) * _WORD)
+    short = size <= LONG_BYTES
+    live = np.arange(len(first)) if short.all() else np.flatnonzero(short)
+    at, left = first[live], size[live]
+    while len(live):
+        out[live] = mix(out[live] * _STEP + (blocks[at] & KEEP[np.minimum(left, 8)]))
+        more = np.flatnonzero(left > 8)
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(~short).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(raw[first[k] : first[k] + size[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column as one array, and the bounds of its rows; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -79,7 +96,6 @@ def word_hashes(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     hashes, begins = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for at, stop in _pieces(raw, bounds):
         part = raw[at:stop]
-        up, down = _powers(max(stop - at, SEGMENT))
         word = ~_SEPARATOR[part]
         edges = bounds[np.searchsorted(bounds, at) : np.searchsorted(bounds, stop, "right")] - at
         before = np.empty_like(word)
@@ -89,10 +105,7 @@ def word_hashes(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
         after[-1], after[:-1] = False, word[1:]
         after[edges[edges > 0] - 1] = False
         first, last = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after)
-        sums = np.empty(len(part) + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(_VALUE[part] * up[: len(part)], out=sums[1:])
-        hashes.append(mix((sums[last + 1] - sums[first]) * down[first]))
+        hashes.append(hash_slices(_LOWER[part], first, last + 1 - first))
         begins.append(first + at)
     return np.concatenate(hashes), np.searchsorted(np.concatenate(begins), bounds)
 

@@ -7,21 +7,27 @@ Two deterministic transducers are composed.
   cut into chunks; each chunk's map from entry state to exit state is computed for all chunks and all
   entry states at once, the maps are composed by a parallel prefix scan, and then every chunk is run
   from its true entry state.
-* The *piece transducer* is acyclic: one path for each pretoken, annotated with the tokens it emits
-  and their number.  Paths are compiled from the model's merges on first sight, and found by hash.
-
+* The *piece transducer* reads a pretoken's bytes, in blocks of up to eight.  It is a deterministic, acyclic
+  transducer: its states are prefixes, and the transition from p by a block b emits count(pb) - count(p)
+  tokens, where count is the number of tokens that the model's merges leave.  So the emissions on a path
+  add up to the count of its last state, which is where they are read.  The vocabulary is compiled when a
+  worker starts; states that it does not have are compiled when a text first reaches them.  Transitions
+  are found by their exact (state, block); no pretoken is looked up by a hash alone.
+
+Pretokens of more than PATH bytes get no states; their merges are run where they stand, longest by a heap.
 Added special tokens inside a text are cut out first, as the library does by default.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 from functools import lru_cache
 
 import numpy as np
 
-from .shingles import _powers, mix
+from .shingles import KEEP, eight_bytes
 
 #: The splitter's input symbols.
 STMD, R, V, ELL, E, LETTER, NUMBER, OTHER, QUOTE, SPACE, BLANK, RESET = range(12)
@@ -31,10 +37,13 @@ START, LET, NUM, OTH, SP1, SPN, WS1, WSN, APO, APO_R, APO_V, APO_L, DONE = range
 CHUNK = 128
 #: After so many symbols most chunks' maps are constant and are followed as one state.
 SETTLE = 8
-#: Characters that are run at a time, and pretokens that are kept compiled.
+#: Bytes that are run at a time.
 SPAN = 1 << 21
-KEPT = 600_000
-NEAR_BITS = 16
+#: The longest pretoken that the piece transducer has states for, and the states that it keeps compiled.
+PATH = 32
+KEPT = 800_000
+#: Longer pretokens are merged by a heap, one by one.
+HEAP = 512
 
 
 @lru_cache(1)
@@ -153,9 +162,6 @@ def pretokens(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return where[marks_of(fed)[place]]
 
 
-_SPREAD = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64)
-
-
 class Merges:
     """The ranked merges of a byte-level BPE model, applied to many pieces at once."""
 
@@ -168,6 +174,9 @@ class Merges:
         hidden = [b for b in range(256) if b not in shown]
         name = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
         self.first = np.array([vocab[name[b]] for b in range(256)], np.uint32)
+        back = {c: b for b, c in name.items()}
+        #: The vocabulary's tokens as bytes.
+        self.words = [bytes(back[c] for c in x) for x in vocab if all(c in back for c in x)]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.keys = np.array([vocab[a] << 17 | vocab[b] for a, b in pairs], np.uint64)
         self.made = np.array([vocab[a + b] for a, b in pairs], np.uint32)
@@ -181,6 +190,7 @@ class Merges:
         self.crowded[slots[rest]] = True
         order = np.argsort(self.keys[rest])
         self.rest_keys, self.rest_ranks = self.keys[rest][order], rest[order].astype(np.int32)
+        self.by_pair: dict[int, int] = {}
 
     def _slots(self, keys: np.ndarray) -> np.ndarray:
         return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.SLOT_BITS)).astype(np.int64)
@@ -226,8 +236,122 @@ class Merges:
         return np.concatenate([np.zeros(0, np.uint32), *done_ids])[order], np.bincount(owner, minlength=len(sizes))
 
 
+    def apply_long(self, raw: np.ndarray) -> np.ndarray:
+        """The ids of one long piece: a heap gives the pair of the lowest rank, the leftmost first."""
+        if not self.by_pair:
+            self.by_pair = {k: r for r, k in reversed(list(enumerate(self.keys.tolist())))}
+        ids, n = self.first[raw].tolist(), len(raw)
+        after, before = [*range(1, n), -1], list(range(-1, n - 1))
+        rank_of, made, gone = self.by_pair.get, self.made.tolist(), -1
+        heap = [(r, k, a, b) for k, (a, b) in enumerate(zip(ids[:-1], ids[1:], strict=True)) if (r := rank_of(a << 17 | b)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, k, a, b = heapq.heappop(heap)
+            right = after[k]
+            if ids[k] != a or right < 0 or ids[right] != b:
+                continue  # one of the two has been merged since
+            ids[k], ids[right], after[k] = made[rank], gone, after[right]
+            if after[k] >= 0:
+                before[after[k]] = k
+                if (r := rank_of(ids[k] << 17 | ids[after[k]])) is not None:
+                    heapq.heappush(heap, (r, k, ids[k], ids[after[k]]))
+            if before[k] >= 0 and (r := rank_of(ids[before[k]] << 17 | ids[k])) is not None:
+                heapq.heappush(heap, (r, before[k], ids[before[k]], ids[k]))
+        return np.array([x for x in ids if x != gone], np.uint32)
+
+
+class Pieces:
+    """The piece transducer: exact transitions in an open-addressing table, counts and ids by state."""
+
+    def __init__(self, merges: Merges):
+        self.merges = merges
+        self.bits = 17
+        self._clear()
+        self.n = 1  # state 0 is the empty prefix
+        self.size, self.start, self.ids = np.zeros(1, np.int32), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        words = [x for x in merges.words if len(x) <= PATH]
+        ends = np.cumsum([len(x) for x in words])
+        self.walk(np.frombuffer(b"".join(words), np.uint8), ends - [len(x) for x in words], ends)
+        self.compiled = self.n, self.bits, self.block_at.copy(), self.from_at.copy(), self.to_at.copy(), self.size, self.start, self.ids
+
+    def _clear(self) -> None:
+        #: By slot: the block, 16 times the state that it leaves plus the block's size (-1: free), the state that it reaches.
+        self.block_at, self.from_at, self.to_at = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+
+    def forget(self) -> None:
+        """Back to the vocabulary's states."""
+        self.n, self.bits, block, from_, to, self.size, self.start, self.ids = self.compiled
+        self.block_at, self.from_at, self.to_at = block.copy(), from_.copy(), to.copy()
+
+    def _slots(self, block: np.ndarray, leaves: np.ndarray) -> np.ndarray:
+        x = (block ^ (block >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + leaves.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        return ((x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _find(self, block: np.ndarray, leaves: np.ndarray) -> np.ndarray:
+        """The state that each transition leads to, or -1."""
+        slots = self._slots(block, leaves)
+        out, open_ = np.full(len(slots), -1, np.int32), np.arange(len(slots))
+        while len(open_):
+            at = slots[open_]
+            there = self.from_at[at]
+            hit = (there == leaves[open_]) & (self.block_at[at] == block[open_])
+            out[open_[hit]] = self.to_at[at[hit]]
+            open_ = open_[~hit & (there >= 0)]
+            slots[open_] = slots[open_] + 1 & (1 << self.bits) - 1
+        return out
+
+    def _insert(self, block: np.ndarray, leaves: np.ndarray, to: np.ndarray) -> None:
+        if 2 * (self.n + len(to)) > 1 << self.bits:
+            full = np.flatnonzero(self.from_at >= 0)
+            block, leaves, to = (np.concatenate([old[full], new]) for old, new in ((self.block_at, block), (self.from_at, leaves), (self.to_at, to)))
+            self.bits = max(self.bits + 1, int(2 * len(to)).bit_length() + 1)
+            self._clear()
+        slots, pending = self._slots(block, leaves), np.arange(len(to))
+        while len(pending):
+            free = pending[self.from_at[slots[pending]] < 0]
+            self.to_at[slots[free]] = to[free]  # of several with one slot, the last has it
+            free = free[self.to_at[slots[free]] == to[free]]
+            self.from_at[slots[free]], self.block_at[slots[free]] = leaves[free], block[free]
+            rest = np.ones(len(to), bool)
+            rest[free] = False
+            pending = pending[rest[pending]]
+            slots[pending] = slots[pending] + 1 & (1 << self.bits) - 1
+
+    def walk(self, raw: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The last state of each pretoken's path; states that are missing are compiled."""
+        blocks = eight_bytes(raw)
+        state, live, at, left = np.zeros(len(begins), np.int64), np.arange(len(begins)), begins, ends - begins
+        fresh_begin, fresh_size = [], []
+        while len(live):
+            taken = np.minimum(left, 8)
+            block, leaves = blocks[at] & KEEP[taken], state[live] << 4 | taken
+            to = self._find(block, leaves)
+            missing = np.flatnonzero(to < 0)
+            if len(missing):
+                order = missing[np.lexsort((leaves[missing], block[missing]))]
+                new = np.r_[True, (block[order][1:] != block[order][:-1]) | (leaves[order][1:] != leaves[order][:-1])]
+                first = order[new]
+                states = np.arange(self.n, self.n + len(first), dtype=np.int32)
+                self._insert(block[first], leaves[first], states)
+                self.n += len(first)
+                to[order] = states[np.cumsum(new) - 1]
+                begin = begins[live[first]]
+                fresh_begin.append(begin)
+                fresh_size.append(at[first] + taken[first] - begin)
+            state[live] = to
+            more = np.flatnonzero(left > 8)
+            live, at, left = live[more], at[more] + 8, left[more] - 8
+        if fresh_begin:
+            begin, size = np.concatenate(fresh_begin), np.concatenate(fresh_size)
+            taken = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            ids, count = self.merges.apply(raw[taken], size)
+            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(count) - count])
+            self.size, self.ids = np.concatenate([self.size, count.astype(np.int32)]), np.concatenate([self.ids, ids])
+        return state
+
+
 class Compiled:
-    """The tokenizer of one JSON file, compiled piece by piece as texts need it."""
+    """The tokenizer of one JSON file."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -237,76 +361,65 @@ class Compiled:
             raise ValueError(f"{path} is not a plain byte-level BPE")
         added = told["added_tokens"]
         self.merges = Merges(model)
+        self.pieces = Pieces(self.merges)
         self.special = {x["content"].encode(): x["id"] for x in added}
         self.cut = re.compile(b"|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True))) if added else None
-        #: Hashes in order with their paths; each path's first id, number of ids, and use since the last purge.
-        self.keys, self.path = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.start, self.size, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-        self.ids = np.zeros(0, np.uint32)
-        self._forget_near()
-
-    def _forget_near(self) -> None:
-        """A small table of the last paths found, by the upper bits of the hash."""
-        self.near_key, self.near_path = np.zeros(1 << NEAR_BITS, np.uint64), np.zeros(1 << NEAR_BITS, np.int64)
-
-    def _purge(self) -> None:
-        """Forget paths that no text has used since the last purge."""
-        keep = self.used[self.path]
-        self.keys, old = self.keys[keep], self.path[keep]
-        size = self.size[old]
-        ends = np.cumsum(size)
-        self.ids = self.ids[np.repeat(self.start[old] - (ends - size), size) + np.arange(size.sum())]
-        self.path, self.start, self.size = np.arange(len(old)), ends - size, size
-        self.used = np.zeros(len(old), bool)
-        self._forget_near()
-
-    def _compile(self, keys: np.ndarray, raw: np.ndarray, sizes: np.ndarray) -> None:
-        flat, size = self.merges.apply(raw, sizes)
-        keys, path = np.concatenate([self.keys, keys]), np.concatenate([self.path, len(self.size) + np.arange(len(keys))])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.path = keys[order], path[order]
-        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
-        self.size, self.ids = np.concatenate([self.size, size]), np.concatenate([self.ids, flat])
-        self.used = np.concatenate([self.used, np.zeros(len(size), bool)])
-
-    def _paths(self, raw: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        """The compiled path of each pretoken, as an index into size and start."""
-        if len(self.keys) > KEPT:
-            self._purge()
-        ends = np.append(begins[1:], len(raw))
-        up, down = _powers(max(len(raw), 1))
-        sums = np.empty(len(raw) + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(_SPREAD[raw] * up[: len(raw)], out=sums[1:])
-        keys = mix((sums[ends] - sums[begins]) * down[begins] + (ends - begins).astype(np.uint64))
-        near = (keys >> np.uint64(64 - NEAR_BITS)).astype(np.int64)
-        at = self.near_path[near]
-        far = np.flatnonzero(self.near_key[near] != keys)
-        if len(far):
-            new, one, back = np.unique(keys[far], return_index=True, return_inverse=True)
-            one = far[one]
-            path = np.searchsorted(self.keys, new)
-            unknown = np.arange(len(new))
-            if len(self.keys):
-                path[path == len(self.keys)] = 0
-                unknown = np.flatnonzero(self.keys[path] != new)
-                path = self.path[path]
-            if len(unknown):
-                begin, size = begins[one[unknown]], (ends - begins)[one[unknown]]
-                path[unknown] = len(self.size) + np.arange(len(unknown))
-                taken = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                self._compile(new[unknown], raw[taken], size)
-            at[far] = path[back]
-            self.near_key[near[one]], self.near_path[near[one]] = new, path
-        self.used[at] = True
-        return at
+        self.largest = max(*model["vocab"].values(), *self.special.values(), 0)
+        self.spaced = any(b" " in x for x in self.special)
 
-    def _spans(self, raw: np.ndarray, bounds: np.ndarray):
-        """Groups of rows of about SPAN bytes, with special tokens cut out: (rows' range, bytes, bounds, owner, special id or -1)."""
+    def _emitted(self, raw: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of ids, where they start, ids): the first two for each pretoken."""
+        ends = np.append(begins[1:], len(raw))
+        if self.pieces.n > KEPT:
+            self.pieces.forget()
+        length = ends - begins
+        if not (length > PATH).any():
+            state = self.pieces.walk(raw, begins, ends)
+            return self.pieces.size[state], self.pieces.start[state], self.pieces.ids
+        short, mid, long = np.flatnonzero(length <= PATH), np.flatnonzero((length > PATH) & (length <= HEAP)), np.flatnonzero(length > HEAP)
+        size, start = np.zeros(len(begins), np.int64), np.zeros(len(begins), np.int64)
+        state = self.pieces.walk(raw, begins[short], ends[short])
+        size[short], start[short] = self.pieces.size[state], self.pieces.start[state]
+        parts, at = [self.pieces.ids], len(self.pieces.ids)
+        if len(mid):
+            taken = np.repeat(begins[mid] - (np.cumsum(length[mid]) - length[mid]), length[mid]) + np.arange(length[mid].sum())
+            ids, count = self.merges.apply(raw[taken], length[mid])
+            size[mid], start[mid] = count, at + np.cumsum(count) - count
+            parts.append(ids)
+            at += len(ids)
+        for k in long.tolist():
+            ids = self.merges.apply_long(raw[begins[k] : ends[k]])
+            size[k], start[k] = len(ids), at
+            parts.append(ids)
+            at += len(ids)
+        return size, start, np.concatenate(parts)
+
+    def _parts(self, raw: np.ndarray, bounds: np.ndarray):
+        """(rows' range, bytes' range) of about SPAN bytes; a longer row comes in several parts.
+
+        It is cut before a space that follows an ASCII letter or digit, where a pretoken begins in any case.
+        """
         row = 0
         while row < len(bounds) - 1:
             to = max(row + 1, int(np.searchsorted(bounds, bounds[row] + SPAN, "right")) - 1)
-            part, cuts = raw[bounds[row] : bounds[to]], bounds[row : to + 1] - bounds[row]
+            at, end = int(bounds[row]), int(bounds[to])
+            while to == row + 1 and end - at > SPAN and not self.spaced:
+                stop, found = at, -1
+                while found < 0 and stop + SPAN < end:
+                    window = raw[stop : stop + SPAN]
+                    gaps = np.flatnonzero((window[1:] == 32) & _PLAIN[window[:-1]])
+                    found, stop = (stop + 1 + int(gaps[-1]) if len(gaps) else -1), stop + SPAN - 1
+                if found < 0:
+                    break
+                yield row, to, at, found
+                at = found
+            yield row, to, at, end
+            row = to
+
+    def _spans(self, raw: np.ndarray, bounds: np.ndarray):
+        """The parts with special tokens cut out: (rows' range, bytes, bounds, owner, special id or -1)."""
+        for row, to, at, end in self._parts(raw, bounds):
+            part, cuts = raw[at:end], np.clip(bounds[row : to + 1], at, end) - at
             data = part.tobytes()
             owner, fixed = np.arange(to - row), np.full(to - row, -1)
             if self.cut is not None and self.cut.search(data):
@@ -320,16 +433,14 @@ class Compiled:
                 cuts = np.array([x[0] for x in pieces] + [len(data)], np.int64)
                 owner, fixed = np.array([x[1] for x in pieces]), np.array([x[2] for x in pieces])
             yield row, to, part, cuts, owner, fixed
-            row = to
 
     def counts(self, raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """The number of tokens of each row: the sum of the counts that its transitions emit."""
+        """The number of tokens of each row: the sum of what its transitions emit."""
         out = np.zeros(len(bounds) - 1, np.int64)
         for row, _, part, cuts, owner, fixed in self._spans(raw, bounds):
             begins = pretokens(part, cuts)
             if len(begins):
-                at = self._paths(part, begins)
-                emitted = np.concatenate([[0], np.cumsum(self.size[at], dtype=np.int64)])
+                emitted = np.concatenate([[0], np.cumsum(self._emitted(part, begins)[0], dtype=np.int64)])
                 first = np.searchsorted(begins, cuts)
                 each = emitted[first[1:]] - emitted[first[:-1]]
                 each[fixed >= 0] = 1
@@ -338,22 +449,28 @@ class Compiled:
 
     def encode(self, raw: np.ndarray, bounds: np.ndarray):
         """Yield each row's ids as an array of unsigned 32-bit integers, in order."""
+        held: list[np.ndarray] = []  # ids of the parts of a long row
+        at = 0
         for row, to, part, cuts, owner, fixed in self._spans(raw, bounds):
             begins = pretokens(part, cuts)
-            at = self._paths(part, begins) if len(begins) else np.zeros(0, np.int64)
-            size = self.size[at]
-            emitted = np.concatenate([[0], np.cumsum(size)])
-            ids = self.ids[np.repeat(self.start[at] - emitted[:-1], size) + np.arange(emitted[-1])]
+            size, start, known = self._emitted(part, begins) if len(begins) else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
+            emitted = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+            ids = known[np.repeat(start - emitted[:-1], size) + np.arange(emitted[-1])]
             edges = emitted[np.searchsorted(begins, cuts)]
-            if len(owner) == to - row:
-                for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                    yield ids[a:b]
-            else:
-                parts: list[list[np.ndarray]] = [[] for _ in range(to - row)]
-                for a, b, k, x in zip(edges[:-1].tolist(), edges[1:].tolist(), owner.tolist(), fixed.tolist(), strict=True):
-                    parts[k].append(ids[a:b] if x < 0 else np.array([x], np.uint32))
-                for x in parts:
-                    yield np.concatenate(x)
+            parts: list[list[np.ndarray]] = [[] for _ in range(to - row)]
+            for a, b, k, x in zip(edges[:-1].tolist(), edges[1:].tolist(), owner.tolist(), fixed.tolist(), strict=True):
+                parts[k].append(ids[a:b] if x < 0 else np.array([x], np.uint32))
+            at += len(part)
+            if at < bounds[to] - bounds[0]:  # only where the part is one row's
+                held += parts[0]
+                continue
+            parts[0], held = held + parts[0], []
+            for x in parts:
+                yield x[0] if len(x) == 1 else np.concatenate(x)
+
+
+_PLAIN = np.zeros(256, bool)
+_PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 
 
 @lru_cache(4)

@@ -135,7 +135,7 @@ def test_decontamination_finds_short_items(words):
     lists = [r.integers(0, 2**63, 200, dtype=np.uint64) for _ in range(1500)]
     places = r.integers(0, 200 - words, 1500)
     items = [x[k : k + words - 4].copy() for x, k in zip(lists, places, strict=True)]
-    found = decontamination.Index(items, decontamination.bands()).candidates(lists)
+    found = decontamination.Index(items).candidates(lists)
     assert all((k, k) in found for k in range(1500))
 
 
