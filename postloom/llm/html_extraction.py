@@ -1,6 +1,7 @@
 """Main text of web pages by a linear-chain conditional random field over DOM leaf blocks.
 
-Each block has binary features of its ancestors' tags and class words and of its text; the chain has
+Each block has binary features of its ancestors' tags and class words and of its text; a form that holds
+most of the page counts as a wrapper, and standing outside an article counts only on pages that have one.  The chain has
 weights for features and for neighbouring labels.  It is trained by maximum likelihood
 (forward-backward) on labelled pages and decoded by Viterbi.  The tables hold no labelled pages, so the
 training pages are laid out by a seeded generator of page designs, whose blocks are labelled as they are
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .html_blocks import Block, blocks
+from .html_blocks import Block, Node, blocks
 from .scratch import small_batches
 
 TRAINING_PAGES = 500
@@ -31,9 +32,9 @@ STEPS = 250
 #: Words in class, id and role attributes that are features, as found in common page designs.
 MAIN_WORDS = ("article", "content", "post", "entry", "story", "main", "body", "text", "prose")
 OTHER_WORDS = ("nav", "menu", "sidebar", "footer", "header", "ad", "ads", "advert", "advertisement", "banner", "promo", "sponsor", "sponsored", "cookie", "consent", "notice", "alert", "comment", "comments", "reply", "replies", "share", "social", "related", "widget", "subscribe", "newsletter", "breadcrumb", "popup", "modal", "login", "search", "copyright", "navigation", "complementary", "contentinfo", "disqus", "tags", "pagination")
-TAGS = ("article", "main", "section", "nav", "header", "footer", "aside", "form", "ul", "ol", "li", "table", "figure", "figcaption", "blockquote", "pre", "h1", "h2", "h3", "p", "div", "a", "button", "label", "fieldset", "dl", "address", "details", "body")
-PARENTS = (*TAGS, "td", "h4", "h5", "h6", "dd", "dt", "other")
-SHAPES = ("words<3", "words<6", "words<12", "words<30", "words<80", "words>=80", "no link", "some link", "mostly link", "all link", "ends", "comma", "copyright", "first", "last", "in article", "outside article")
+TAGS = ("article", "main", "section", "nav", "header", "footer", "aside", "ul", "ol", "li", "table", "figure", "figcaption", "blockquote", "pre", "h1", "h2", "h3", "p", "div", "a", "button", "label", "fieldset", "dl", "address", "details", "body")
+PARENTS = (*TAGS, "form", "td", "h4", "h5", "h6", "dd", "dt", "other")
+SHAPES = ("words<3", "words<6", "words<12", "words<30", "words<80", "words>=80", "no link", "some link", "mostly link", "all link", "ends", "comma", "copyright", "first", "last", "in article", "outside article", "no article", "in form")
 
 NAMES = [*(f"in {x}" for x in TAGS), *(f"at {x}" for x in PARENTS), *(f"word {x}" for x in (*MAIN_WORDS, *OTHER_WORDS)), *SHAPES, "always"]
 _AT = {x: k for k, x in enumerate(NAMES)}
@@ -42,25 +43,46 @@ _PARENT = {x: _AT[f"at {x}"] for x in PARENTS}
 _WORDS = {x: _AT[f"word {x}"] for x in (*MAIN_WORDS, *OTHER_WORDS)}
 
 
+def _of_node(node: Node | None) -> tuple[int, bool]:
+    """A bit for each feature of an element and its ancestors, and whether one of them is an article."""
+    chain = []
+    while node is not None and node.known is None:
+        chain.append(node)
+        node = node.parent
+    bits, article = node.known if node is not None else (0, False)
+    for x in reversed(chain):
+        if x.tag in _IN:
+            bits |= 1 << _IN[x.tag]
+        if x.tag not in ("html", "body"):  # their words speak of the whole page
+            for w in x.words:
+                if w in _WORDS:
+                    bits |= 1 << _WORDS[w]
+        article = article or x.tag in ("article", "main") or "main" in x.words
+        x.known = bits, article
+    return bits, article
+
+
 def features(found: list[Block]) -> list[list[int]]:
     """The places in NAMES of each block's features."""
-    known: dict[tuple, list[int]] = {}
+    nodes = [_of_node(b.node) for b in found]
+    articles, total = any(article for _, article in nodes), sum(len(b.text) for b in found)
+    known: dict[tuple[int, str], list[int]] = {}
     out = []
-    for k, b in enumerate(found):
-        if b.path not in known:
-            own = {_AT["always"], _PARENT[next((t for t, _ in reversed(b.path) if t in _PARENT), "other")]}
-            for tag, words in b.path:
-                if tag in _IN:
-                    own.add(_IN[tag])
-                own.update(_WORDS[w] for w in words if w in _WORDS)
-            own.add(_AT["in article" if any(t in ("article", "main") for t, _ in b.path) else "outside article"])
-            known[b.path] = sorted(own)
+    for k, (b, (bits, article)) in enumerate(zip(found, nodes, strict=True)):
+        node = b.node
+        while node is not None and node.tag not in _PARENT:
+            node = node.parent
+        parent = node.tag if node is not None else "other"
+        if (bits, parent) not in known:
+            known[bits, parent] = sorted([_AT["always"], _PARENT[parent], *(f for f in range(bits.bit_length()) if bits >> f & 1)])
         n = b.text.count(" ") + 1
         shape = [next((s for s, m in (("words<3", 3), ("words<6", 6), ("words<12", 12), ("words<30", 30), ("words<80", 80)) if n < m), "words>=80")]
         shape.append("no link" if not b.linked else "some link" if b.linked < 0.5 else "mostly link" if b.linked < 0.95 else "all link")
         shape += ["ends"] * (b.text[-1] in ".!?…:;\"'”»") + ["comma"] * ("," in b.text) + ["copyright"] * ("©" in b.text)
         shape += ["first"] * (k == 0) + ["last"] * (k == len(found) - 1)
-        out.append(known[b.path] + [_AT[s] for s in shape])
+        shape.append("in article" if article else "outside article" if articles else "no article")
+        shape += ["in form"] * (b.node is not None and b.node.form is not None and 2 * b.node.form.chars < total)
+        out.append(known[bits, parent] + [_AT[s] for s in shape])
     return out
 
 
@@ -207,11 +229,21 @@ class Designer:
         for _ in range(r.choice((0, 0, 0, 1, 2))):
             parts.insert(r.randint(0, len(parts)), self.aside())
         inner = title + "".join(parts)
-        inner = r.choice((f"<article>{inner}</article>",) * 5 + (f"<main>{inner}</main>", f"<main><article>{inner}</article></main>", self.named("div", MAIN_WORDS, inner), f'<div id="page"><div class="{r.choice(MAIN_WORDS)}-body">{inner}</div></div>', f'<div role="main">{inner}</div>'))
+        plain = r.random() < 0.35  # nothing says which part is the article
+        if plain:
+            inner = r.choice((f"<div>{inner}</div>", f"<div><div>{inner}</div></div>", inner, f"<section>{inner}</section>", f"<table><tr><td>{inner}</td></tr></table>", f'<div id="c{r.randint(1, 99)}">{inner}</div>'))
+        else:
+            inner = r.choice((f"<article>{inner}</article>",) * 5 + (f"<main>{inner}</main>", f"<main><article>{inner}</article></main>", self.named("div", MAIN_WORDS, inner), f'<div id="page"><div class="{r.choice(MAIN_WORDS)}-body">{inner}</div></div>', f'<div role="main">{inner}</div>'))
         before, after = [self.aside() for _ in range(r.randint(0, 3))], [self.aside() for _ in range(r.randint(0, 3))]
         end = f"<p>{self.words(1, 9)}</p>" if r.random() < 0.4 else f"&copy; example.com &middot; {self.words(2, 12)}"
         foot = r.choice((f"<footer>{end}</footer>", f'<div class="footer">{end}</div>', f"<footer>{self.links(3)}{end}</footer>", ""))
-        return "<!DOCTYPE html><html><head><title>t</title></head><body>" + "".join(before) + inner + "".join(after) + foot + "</body></html>"
+        body = "".join(before) + inner + "".join(after) + foot
+        if r.random() < 0.1:
+            body = f'<form method="post" action="/">{body}</form>'
+        elif r.random() < 0.1:
+            body = f'<div class="{r.choice(("page", "wrapper", "container", "site"))}">{body}</div>'
+        head, start, end = r.choice((("<head><title>t</title></head>", "<body>", "</body></html>"),) * 4 + (("<head><title>t</title>", "<body>", "</body></html>"), ("<title>t</title>", "", ""), ("<head><meta charset=utf-8><title>t</title>", "", ""), ("<head><title>t</title></head>", f'<body class="{r.choice(("single-post", "has-sidebar", "no-comments"))}">', "</body></html>")))
+        return f"<!DOCTYPE html><html>{head}{start}{body}{end}"
 
 
 def labelled_pages(n: int = TRAINING_PAGES, seed: int = 5) -> list[tuple[list[list[int]], list[bool]]]:
