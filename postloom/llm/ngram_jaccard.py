@@ -1,21 +1,26 @@
 """N-gram Jaccard join by T-occurrence search with DivideSkip.
 
 A document with n distinct shingles links with another at Jaccard >= t only if they share at least
-T = ceil(t * n) shingles.  DivideSkip sets T - 1 of its inverted lists, the longest, aside; whatever
-reaches T occurrences occurs in one of the other n - T + 1 short lists.  Here
+T = ceil(t * n) shingles.  DivideSkip sets L of its n inverted lists, the longest, aside, merges the other
+short lists while counting, keeps who occurs there T - L times, and probes the long lists for the rest.  Here
 
+* L = T - c with c = 1 + n // STEP.  Each further unit of c costs one more posting of a document in the merge and
+  demands one more occurrence before a pair is looked at; at 2 % of n the merge grows by a tenth, and chance
+  pairs, which share a phrase, fall away;
 * lists are ordered by length: shingles that are frequent come last, then by hash.  Frequent ones are
   found over all documents (those seen twice or more in a block of texts, summed over blocks);
   the order only decides the work, never the result;
 * the short lists are merged by Spark's sorted shuffle, which is the distributed counterpart of the
-  heap: equal shingles meet, and lists with one distinct set leave at once;
-* the long lists are probed by binary search: each candidate's sorted set is searched for the other's
-  shingles, and it stays if the overlap reaches the required count (exact integers).
+  heap: equal shingles meet, occurrences are summed for each pair, and lists with one distinct set leave at once.
+  Of a pair the smaller set needs to post only n - ceil(2 t n / (1 + t)) + c of its lists, since the overlap
+  must reach t / (1 + t) of both sizes, and both then share at least c short lists;
+* the long lists are probed by binary search, in the candidate's sorted shingles: a pair stays if the
+  occurrences in short lists and those found by the probes reach the required overlap (exact integers).
 
 Equal sets are collapsed to one class first.  Candidates are taken in two rounds.  First each list
 links its members to the list's first one, and each document verifies only the partner it shares most
 short lists with; after that, only lists that still join different components give pairs, and all of
-those pairs are verified.  Before sets are fetched, pairs are compared by parity sketches: a bit for each
+those that occur together c times are verified.  Before sets are fetched, pairs are compared by parity sketches: a bit for each
 residue of the hashes, set if an odd number of shingles has it.  Bits that differ are a lower bound of the
 shingles that only one set has, so a pair that the sketches reject cannot link.  So a large group of near copies costs a star, not all its pairs, and no
 link between different components is lost.
@@ -46,12 +51,26 @@ LIST_ROWS = 1000
 #: So many pairs of ids at most are broadcast to the texts (16 bytes each).
 BROADCAST_PAIRS = 1_000_000
 
+#: A pair must occur in one short list more for each so many shingles of the smaller set.
+STEP = 50
+
+
 def required(n: int | np.ndarray, threshold: tuple[int, int] = THRESHOLD) -> int | np.ndarray:
     """T: the least overlap of a set of n shingles with any set it links with."""
     num, den = threshold
     return -(-num * n // den)
 
 
+def occurrences(n: int, step: int = STEP) -> int:
+    """c = T - L: so many short lists a set of n shingles shares with any larger set that it links with."""
+    return 1 + n // step
+
+
+def short_lists(n: int, threshold: tuple[int, int] = THRESHOLD, step: int = STEP) -> int:
+    """n - L: the number of short lists of a set of n shingles."""
+    return n - required(n, threshold) + occurrences(n, step)
+
+
 def set_key(x: np.ndarray) -> tuple[int, int]:
     """Two 64-bit keys of a sorted set, as signed integers."""
     import hashlib
@@ -140,12 +159,23 @@ def _frequent(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return key[order], n[order]
 
 
-def _short_lists(batches: Iterator[pa.RecordBatch], frequent, threshold) -> Iterator[pa.RecordBatch]:
+def _in_order(x: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A set's shingles, the shortest lists first, and what is known of the lists' lengths (0: short)."""
+    keys, counts = frequent
+    if not len(keys):
+        return x, np.zeros(len(x), np.int64)
+    at = np.searchsorted(keys, x)
+    at[at == len(keys)] = 0
+    rank = np.where(keys[at] == x, counts[at], 0)
+    order = np.argsort(rank, kind="stable")
+    return x[order], rank[order]
+
+
+def _short_lists(batches: Iterator[pa.RecordBatch], frequent, threshold, step, list_rows) -> Iterator[pa.RecordBatch]:
     """Postings (shingle, set's first key, size and position, part) of each distinct set's short lists.
 
     A frequent list comes in parts, from 1 on; the others are part 0.
     """
-    keys, counts = frequent.value
     seen, size = set(), 0
     for batch in batches:
         out: list[list[np.ndarray]] = [[], [], [], []]
@@ -158,41 +188,51 @@ def _short_lists(batches: Iterator[pa.RecordBatch], frequent, threshold) -> Iter
                 continue
             seen.add(k)
             size += n
-            rank = np.zeros(n, np.int64)
-            if len(keys):
-                at = np.searchsorted(keys, x)
-                at[at == len(keys)] = 0
-                rank = np.where(keys[at] == x, counts[at], 0)
-                order = np.argsort(rank, kind="stable")
-                x, rank = x[order], rank[order]
-            x, rank = x[: n - required(n, threshold) + 1], rank[: n - required(n, threshold) + 1]
+            x, rank = (y[: short_lists(n, threshold, step)] for y in _in_order(x, frequent.value))
             out[0].append(x.view(np.int64))
             out[1].append(np.full(len(x), k[0], np.int64))
             out[2].append((n << 32) + np.arange(len(x), dtype=np.int64))
-            out[3].append(np.where(rank > LIST_ROWS, 1 + k[0] % (rank // LIST_ROWS + 1), 0))
+            out[3].append(np.where(rank > list_rows, 1 + k[0] % (rank // list_rows + 1), 0))
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in out], ["sh", "k1", "np", "part"])
         if size > BLOCK_SHINGLES:
             seen, size = set(), 0
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], frequent, threshold, step) -> Iterator[pa.RecordBatch]:
+    """Each text's shingles of short and of long lists, both sorted."""
     for batch in batches:
-        sets = [x.tobytes() for x in shingle_sets(batch.column(1))]
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sets, pa.binary())], ["node", "shingles"])
+        short, long = [], []
+        for x in shingle_sets(batch.column(1)):
+            ordered, cut = _in_order(x, frequent.value)[0], short_lists(len(x), threshold, step)
+            short.append(np.sort(ordered[:cut]).tobytes()), long.append(np.sort(ordered[cut:]).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(short, pa.binary()), pa.array(long, pa.binary())], ["node", "short", "long"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch], threshold) -> Iterator[pa.RecordBatch]:
+def t_occurrence(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], threshold: tuple[int, int] = THRESHOLD, step: int = STEP) -> bool:
+    """Whether two sets, each as its short and its long lists' shingles, link.
+
+    The short lists are merged, the pair leaves if it occurs in too few of them, and the long lists are probed.
+    """
     num, den = threshold
+    n, m = len(x[0]) + len(x[1]), len(y[0]) + len(y[1])
+    if not n or not m:
+        return False
+    least = -(-num * (n + m) // (num + den))
+    found = divide_skip_overlap(x[0], y[0])
+    if found < occurrences(min(n, m), step):
+        return False
+    found += divide_skip_overlap(x[0], y[1]) + divide_skip_overlap(x[1], y[0])
+    return found + min(len(x[1]), len(y[1])) >= least and found + divide_skip_overlap(x[1], y[1]) >= least
+
+
+def _verify(batches: Iterator[pa.RecordBatch], threshold, step) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-            shared = divide_skip_overlap(x, y)
-            keep.append(den * shared >= num * (len(x) + len(y) - shared))
+        sides = ([np.frombuffer(v.as_py(), np.uint64) for v in batch.column(name)] for name in ("xs", "xl", "ys", "yl"))
+        keep = [t_occurrence((a, b), (c, d), threshold, step) for a, b, c, d in zip(*sides, strict=True)]
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: tuple[int, int] = THRESHOLD, step: int = STEP, list_rows: int = LIST_ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``.
 
     component_id is the smallest id reachable by links, the row's own included.  A null or empty
@@ -210,7 +250,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sketches = described.where("kind = 0 and doc_id is not null and n > 0").select(F.col("doc_id").alias("node"), "sketch")
 
     frequent = spark.sparkContext.broadcast(_frequent(described))
-    lists = rows.where("doc_id is not null").select("text").mapInArrow(lambda it: _short_lists(it, frequent, threshold), "sh long, k1 long, np long, part long")
+    lists = rows.where("doc_id is not null").select("text").mapInArrow(lambda it: _short_lists(it, frequent, threshold, step, list_rows), "sh long, k1 long, np long, part long")
     by_list = W.partitionBy("sh", "part")  # parts of a frequent list stay whether or not another set is in the part
     shared = lists.select("*", F.min("k1").over(by_list).alias("low"), F.max("k1").over(by_list).alias("high")).where("low <> high or part > 0")
     shared = materialize(shared.select("sh", "k1", "np").distinct(), "lists")
@@ -226,11 +266,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if pairs.count() <= BROADCAST_PAIRS:
             wanted, pairs = F.broadcast(wanted), F.broadcast(pairs)  # else both meet the texts by a shuffle
         texts = rows.join(wanted, "doc_id", "left_semi").select("doc_id", "text")
-        sets = materialize(texts.mapInArrow(_sets, "node long, shingles binary"), "sets")
-        one = sets.join(pairs, F.col("node") == F.col("a")).select("a", "b", F.col("shingles").alias("x"))
-        two = sets.join(pairs, F.col("node") == F.col("b")).select("a", "b", F.col("shingles").alias("y"))
-        both = one.join(two, ["a", "b"]).select("a", "b", "x", "y")
-        return both.mapInArrow(lambda it: _verify(it, threshold), "a long, b long")
+        sets = materialize(texts.mapInArrow(lambda it: _sets(it, frequent, threshold, step), "node long, short binary, long binary"), "sets")
+        one = sets.join(pairs, F.col("node") == F.col("a")).select("a", "b", F.col("short").alias("xs"), F.col("long").alias("xl"))
+        two = sets.join(pairs, F.col("node") == F.col("b")).select("a", "b", F.col("short").alias("ys"), F.col("long").alias("yl"))
+        both = one.join(two, ["a", "b"]).select("a", "b", "xs", "xl", "ys", "yl")
+        return both.mapInArrow(lambda it: _verify(it, threshold, step), "a long, b long")
 
     def possible(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b, c, n, m) those that the sketches leave open."""
@@ -255,10 +295,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     placed = members.join(so_far, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
     placed = materialize(placed, "placed")
-    left = with_group(placed, "sh", "node", size, F.min("comp").alias("low"), F.max("comp").alias("high"), having="low <> high").drop("low", "high")
-    right = left.select("sh", F.col("node").alias("node_b"), F.col("n").alias("m"), F.col("pos").alias("pos_b"), F.col("comp").alias("comp_b"))
-    pairs = left.join(right, "sh").where((F.col("node") < F.col("node_b")) & (F.col("comp") != F.col("comp_b")) & fits("n", "m") & room("n", "m", "pos", "pos_b"))
-    pairs = pairs.groupBy(F.col("node").alias("a"), F.col("node_b").alias("b")).agg(F.count("*").alias("c"), F.max("n").alias("n"), F.max("m").alias("m"))
+    lists = with_group(placed, "sh", "node", size, F.min("comp").alias("low"), F.max("comp").alias("high"), F.ceil(F.count("*") / list_rows).cast("int").alias("parts"), having="low <> high").drop("low", "high")
+    # the smaller set of a pair comes from the left, which is dealt out; the right is copied for each part of a long list
+    c = lambda n: F.lit(1) + F.floor(F.col(n) / step)
+    posted = F.col("n") - F.ceil(F.col("n") * (2 * num) / (num + den)) + c("n")
+    left = lists.where(F.col("pos") < posted).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("parts")
+    right = lists.select("sh", F.col("node").alias("node_b"), F.col("n").alias("m"), F.col("pos").alias("pos_b"), F.col("comp").alias("comp_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    smaller = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("node") < F.col("node_b")))
+    enough = (F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("pos_b")) + c("n") - 1) * (num + den) >= (F.col("n") + F.col("m")) * num
+    pairs = left.join(right, ["sh", "part"]).where(smaller & (F.col("comp") != F.col("comp_b")) & fits("n", "m") & enough)
+    pairs = pairs.groupBy(F.col("node").alias("a"), F.col("node_b").alias("b")).agg(F.count("*").alias("c"), F.max("n").alias("n"), F.max("m").alias("m")).where(F.col("c") >= c("n"))
     rest = verified(possible(pairs).select("a", "b").distinct())
 
     same_id = base.where("doc_id is not null and n_shingles > 0").join(classes, ["k1", "k2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"), "k1", "k2")

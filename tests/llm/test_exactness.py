@@ -108,3 +108,39 @@ def test_packing_keeps_every_window_open(spark):
     assert not any(packer.place((k, 0, 33)) for k in range(10_000)) and packer.count[33] == 10_000
     sizes = [sum(x[2] for x in window) for window in packer.drain()]
     assert sum(sizes) == 330_000 and all(x == 64 or x & (x - 1) == 0 for x in sizes)
+
+
+@pytest.mark.parametrize(("step", "list_rows"), [(2, 3), (7, 1000), (50, 2)])
+def test_t_occurrence_with_more_short_lists(spark, step, list_rows):
+    """Whatever L is, and however lists are split, the links are those of brute force; many pairs lie near the threshold."""
+    r = random.Random(step)
+    vocabulary, rows = [f"v{k}" for k in range(900)], []
+    passage = r.choices(vocabulary, k=40)
+    for k in range(150):
+        if rows and r.random() < 0.75:
+            w = r.choice(rows)[1].split()
+            for _ in range(r.randint(0, max(1, len(w) // 45))):
+                w[r.randrange(len(w))] = r.choice(vocabulary)
+            w = w[r.randint(0, len(w) // 12) :]
+        else:
+            w = passage * r.randint(0, 1) + r.choices(vocabulary, k=r.randint(3, 400))
+        rows.append((k, " ".join(w)))
+    sets = {k: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} or {tuple(t.split())} for k, t in rows}
+    label = {k: k for k in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    for _ in sets:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    got = ngram_jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), step=step, list_rows=list_rows).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == {k: (len(s), label[k]) for k, s in sets.items()}
+    assert 20 < len(set(label.values())) < 140
+
+
+def test_t_occurrence_is_exact():
+    r = np.random.default_rng(5)
+    for _ in range(3000):
+        x = np.unique(r.integers(0, 2**63, r.integers(1, 200), dtype=np.uint64))
+        y = np.unique(np.concatenate([x[r.random(len(x)) < r.choice((0.85, 0.9, 1))], r.integers(0, 2**63, r.integers(1, 20), dtype=np.uint64)]))
+        shared = len(np.intersect1d(x, y))
+        cut = lambda s: (s[: ngram_jaccard.short_lists(len(s))], s[ngram_jaccard.short_lists(len(s)) :])
+        assert ngram_jaccard.t_occurrence(cut(x), cut(y)) == (100 * shared >= 80 * (len(x) + len(y) - shared))
