@@ -45,7 +45,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(_table(spark, sf_dir, "pages"))
+    return judge(_table(spark, sf_dir, "pages"), spark.createDataFrame([(x,) for x in BLOCKED_DOMAINS], "domain string"))
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +64,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"))
 
 
+#: The block list of op6's query.
+BLOCKED_DOMAINS = tuple(f"{name}.example.{top}" for name in ("spam-farm", "cheap-pills", "ads-track", "casino-win", "adult-x", "free-bets") for top in ("com", "net", "org"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_decontamination": op2_decontamination,

@@ -1,6 +1,8 @@
 """URL filters: host and path rules, and exact list membership by a cascade of Bloom filters.
 
-The cascade is built over the corpus's complete universe of keys.  Level 1 encodes the listed keys;
+The block list is a table of domains; a host is listed if it or a domain above it is.  The keys are hosts, and
+the corpus's complete universe of keys is that of all rows' hosts; which of them are listed is found once,
+over distinct hosts.  The cascade is built over that universe.  Level 1 encodes the listed keys;
 level 2 those unlisted keys that level 1 lets through by mistake; level 3 the listed keys that level 2
 lets through, and so on until no mistake is left.  A key of the universe is then listed exactly if the
 first level that it misses is even, or if it passes them all and the last is odd.  Judging a row is a
@@ -8,7 +10,7 @@ probe of a few words, without a join.
 
 Filters are built by the tasks as (word, bits) rows that Spark merges with bit_or; only filters of a
 bounded size come to the driver.  A universe whose filters would be larger is split into shards by the
-keys' hash, and the rows are judged shard by shard.
+keys' hash; the rows are then written once by shard, and each shard's filters judge its own rows.
 """
 
 from __future__ import annotations
@@ -40,10 +42,6 @@ class Rule(NamedTuple):
 
 
 RULES = (Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/"))
-#: A host is listed if one of its labels is one of these.
-LISTED_LABELS = ("spam-farm", "cheap-pills", "ads-track", "casino-win", "adult-x", "free-bets")
-
-
 class Level(NamedTuple):
     words: np.ndarray
     bits: int
@@ -138,35 +136,43 @@ def build_cascade(keys: DataFrame) -> list[Level]:
     return levels
 
 
-def judge(pages: DataFrame, is_listed: Column | None = None, id_col: str = "page_id", url_col: str = "url", rules: tuple[Rule, ...] = RULES, shard_bits: int = SHARD_BITS) -> DataFrame:
+def _domains(host: str) -> Column:
+    """A host's domains, the whole host first."""
+    labels = f"split({host}, '[.]')"
+    return F.expr(f"transform(sequence(1, size({labels})), k -> array_join(slice({labels}, k, size({labels})), '.'))")
+
+
+def judge(pages: DataFrame, block_list: DataFrame, id_col: str = "page_id", url_col: str = "url", domain_col: str = "domain", rules: tuple[Rule, ...] = RULES, shard_bits: int = SHARD_BITS) -> DataFrame:
     """(page_id, host, path, rule, verdict) for every row.
 
-    ``is_listed`` says of a key column ``host`` whether it is on the block list.  Where no rule fits, a
-    listed host is blocked, any other allowed.  A null url has an empty host and path; the empty host is
-    a key as any other.  Null and repeated ids are kept; other columns are ignored.
+    ``block_list`` is a table of domains; null ones list nothing, repeated ones and capitals do no harm.  Where no
+    rule fits, a host on the list, or below a domain on it, is blocked, any other allowed.  A null url has an empty
+    host and path; the empty host is a key as any other.  Null and repeated ids are kept; other columns are ignored.
     """
-    spark = pages.sparkSession
-    if is_listed is None:
-        is_listed = F.arrays_overlap(F.split("host", "\\."), F.array(*map(F.lit, LISTED_LABELS)))
+    spark, kind = pages.sparkSession, pages.schema[id_col].dataType.simpleString()
     host, path = host_and_path(F.coalesce(F.col(url_col).cast("string"), F.lit("")))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     rows = rows.withColumns({"h1": F.xxhash64("host"), "h2": F.xxhash64(F.lit(1), "host")})
-    keys = materialize(rows.select("host", "h1", "h2").distinct().select("h1", "h2", F.coalesce(is_listed, F.lit(False)).alias("is_listed")), "keys")
+    universe = materialize(rows.select("host", "h1", "h2").distinct(), "universe")
+    domains = block_list.select(F.lower(F.col(domain_col).cast("string")).alias("key")).where("key is not null").distinct()
+    hit = universe.select("host", F.explode(_domains("host")).alias("key")).join(domains, "key").select("host").distinct().withColumn("is_listed", F.lit(True))
+    keys = materialize(universe.join(hit, "host", "left").select("h1", "h2", F.coalesce("is_listed", F.lit(False)).alias("is_listed")), "keys")
     shards = max(1, math.ceil(keys.where("is_listed").count() * 30 / shard_bits))  # 30 bits a key at the least share of mistakes
-    out = None
-    for shard in range(shards):
-        mine = F.pmod("h1", F.lit(shards)) == shard
-        levels = spark.sparkContext.broadcast(build_cascade(keys.where(mine)))
+    shard = F.pmod("h1", F.lit(shards))
+    if shards > 1:
+        rows = materialize(rows.withColumn("shard", shard), "sharded", "shard")
+    judged = None
+    for k in range(shards):
+        levels = spark.sparkContext.broadcast(build_cascade(keys.where(shard == k)))
 
         def probe(batches: Iterator[pa.RecordBatch], levels=levels) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 found = listed(levels.value, _unsigned(batch.column("h1")), _unsigned(batch.column("h2")))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found)], ["page_id", "host", "path", "is_listed"])
 
-        kind = pages.schema[id_col].dataType.simpleString()
-        part = (rows.where(mine) if shards > 1 else rows).mapInArrow(probe, f"page_id {kind}, host string, path string, is_listed boolean")
-        out = part if out is None else out.unionByName(part)
-    ruled = out.withColumn("found", matching_rule(F.col("host"), F.col("path"), rules))
+        part = (rows.where(F.col("shard") == k).drop("shard") if shards > 1 else rows).mapInArrow(probe, f"page_id {kind}, host string, path string, is_listed boolean")
+        judged = part if judged is None else judged.unionByName(part)
+    ruled = judged.withColumn("found", matching_rule(F.col("host"), F.col("path"), rules))
     verdict = F.coalesce("found.verdict", F.when(F.col("is_listed"), "block").otherwise("allow"))
     return ruled.select("page_id", "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"))
 

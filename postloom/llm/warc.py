@@ -25,14 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import materialize, new_path, small_batches
+from .skew import with_group
 
 FRAME_BYTES = 1 << 18
 FRAME_RECORDS = 64
 BUNDLE_BYTES = 1 << 28
 LEVEL = 3
 DATE = "2024-01-01T00:00:00Z"
-#: Digests with several records that are broadcast at most (60 bytes each); beyond it they are joined by a shuffle.
+#: Digests with several records that are broadcast at most (60 bytes each); beyond it records meet them by a shuffle that splits hot digests.
 BROADCAST_DIGESTS = 500_000
+#: Uncompressed bytes of records that a task reads back, at most and, where tasks would be idle, at least.
+READ_BYTES, LEAST_READ_BYTES = 1 << 27, 1 << 22
 
 #: Fixed values of the seekable Zstandard format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -156,9 +159,12 @@ def write_bundles(pages: DataFrame, folder: str | None = None, id_col: str = "pa
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha1"))
     last = rows.groupBy("sha1").agg(F.max("page_id").alias("last"), F.count("page_id").alias("n")).where("n > 1").select("sha1", "last")
     last = materialize(last, "repeated")
+    refers_to = F.when(F.col("page_id") != F.col("last"), F.col("last")).alias("refers_to")
     if last.count() <= BROADCAST_DIGESTS:
-        last = F.broadcast(last)
-    typed = rows.join(last, "sha1", "left").select("page_id", "url", "html", F.when(F.col("page_id") != F.col("last"), F.col("last")).alias("refers_to"))
+        typed = rows.join(F.broadcast(last), "sha1", "left")
+    else:
+        typed = with_group(rows, "sha1", "page_id", rows.count(), F.max("page_id").alias("last"))
+    typed = typed.select("page_id", "url", "html", refers_to)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -189,7 +195,10 @@ def read_records(index: DataFrame, payloads: bool = False) -> DataFrame:
     payload (null for revisits).  Only the frames that hold wanted records are fetched.
     """
     kind = index.schema["page_id"].dataType.simpleString()
-    frames = index.groupBy("bundle", "frame").agg(F.collect_list(F.struct("at", "length")).alias("records"))  # at most FRAME_RECORDS
+    size = index.agg(F.sum(F.col("length").cast("long"))).first()[0] or 0
+    tasks = max(1, -(-size // READ_BYTES), min(index.sparkSession.sparkContext.defaultParallelism, -(-size // LEAST_READ_BYTES)))
+    # by range, so that a task opens few bundles; the number of tasks goes by the records' bytes, not by the index's
+    frames = index.repartitionByRange(tasks, "bundle", "frame").groupBy("bundle", "frame").agg(F.collect_list(F.struct("at", "length")).alias("records"))  # at most FRAME_RECORDS
     frames = frames.sortWithinPartitions("bundle", "frame")
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"] + ["url", "payload"] * payloads
     types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()] + [pa.string(), pa.binary()] * payloads

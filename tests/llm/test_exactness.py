@@ -144,3 +144,21 @@ def test_t_occurrence_is_exact():
         shared = len(np.intersect1d(x, y))
         cut = lambda s: (s[: ngram_jaccard.short_lists(len(s))], s[ngram_jaccard.short_lists(len(s)) :])
         assert ngram_jaccard.t_occurrence(cut(x), cut(y)) == (100 * shared >= 80 * (len(x) + len(y) - shared))
+
+
+def test_warc_reads_back_in_several_tasks_and_splits_hot_digests(spark, monkeypatch):
+    from postloom.llm import warc
+
+    rows = [(k, f"http://x/{k}", "" if k % 3 == 0 else f"<p>{k % 40}" * 200) for k in range(1500)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {tuple(x) for x in warc.round_trip(df).collect()}
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", 0)
+    monkeypatch.setattr(warc, "READ_BYTES", 50_000)
+    index = warc.write_bundles(df.repartition(3))
+    read = warc.read_records(index)
+    assert {tuple(x) for x in read.collect()} == want and len(want) == 1500
+    assert read.rdd.getNumPartitions() > 3
+    largest: dict = {}
+    for k, _, html in rows:
+        largest[html] = k
+    assert all((x[3], x[4]) == (("response", None) if largest[rows[x[0]][2]] == x[0] else ("revisit", largest[rows[x[0]][2]])) for x in want)

@@ -247,19 +247,24 @@ def test_pii_plan_is_native(spark):
 def test_url_filter(spark):
     urls = ["http://a.NET/x", "https://example.net/en/1", "https://www.example.net/en", "http://x.example.com/de/2?q", "http://b.org/fr/#f", "http://b.org/fr", "http://spam-farm.org/x", "http://SPAM-farm.org", "ftp://a.net", "no scheme", "", None, "http://[::1]/a\nb", "a://b://c/d", "http://notexample.com/de/"]
     df = spark.createDataFrame([*enumerate(urls), (None, "http://a.net/"), (3, urls[3])], "page_id long, url string").withColumns({"host": F.lit("x"), "rule": F.lit("x"), "is_listed": F.lit(True)})
-    got = {r.page_id: tuple(r)[1:] for r in url_filter.judge(df).collect()}
+    block_list = spark.createDataFrame([("Spam-Farm.org",), ("spam-farm.org",), (None,), ("b",), ("farm.org",)], "domain string").withColumn("host", F.lit("b.org"))
+    got = {r.page_id: tuple(r)[1:] for r in url_filter.judge(df, block_list).collect()}
     assert got[0] == ("a.net", "/x", "net/", "block") and got[1][2:] == ("example.net/en/", "allow") and got[2] == ("www.example.net", "/en", "net/", "block")
     assert got[3] == ("x.example.com", "/de/2", "example.com/de/", "block") and got[4] == ("b.org", "/fr/", "org/fr/", "allow") and got[5][2:] == (None, "allow")
     assert got[6][2:] == (None, "block") and got[7] == ("spam-farm.org", "", None, "block") and got[8] == ("a.net", "", None, "allow")
     assert got[9] == got[10] == got[11] == ("", "", None, "allow") and got[12][:2] == ("[::1]", "/a\nb") and got[14][2] is None
-    assert url_filter.judge(df).count() == len(urls) + 2 and url_filter.judge(df.limit(0)).count() == 0
+    assert url_filter.judge(df, block_list).count() == len(urls) + 2 and url_filter.judge(df.limit(0), block_list).count() == 0
+    assert {r.verdict for r in url_filter.judge(df.where("page_id in (6, 7)"), block_list.limit(0)).collect()} == {"allow"}
+    below = spark.createDataFrame([(1, "http://a.B.spam-farm.org/"), (2, "http://xspam-farm.org/")], "page_id long, url string")
+    assert {r.page_id: r.verdict for r in url_filter.judge(below, block_list).collect()} == {1: "block", 2: "allow"}
 
 
 @pytest.mark.parametrize("shard_bits", [1 << 27, 3000])
 def test_cascade_is_exact(spark, shard_bits):
     df = spark.range(4000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), (F.col("id") % 1500).cast("string"), F.lit(".x/")).alias("url"))
     listed = F.pmod(F.xxhash64("host", F.lit(5)), F.lit(7)) == 0
-    got = url_filter.judge(df, listed, shard_bits=shard_bits)
+    hosts = df.select(F.regexp_extract("url", "://(.*)/", 1).alias("host")).where(listed).select(F.col("host").alias("domain"))
+    got = url_filter.judge(df, hosts, shard_bits=shard_bits)
     assert got.count() == 4000 and got.where((F.col("verdict") == "block") != listed).count() == 0
 
 
