@@ -95,7 +95,7 @@ def listed(levels: list[Level], h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
     return out
 
 
-def _filter(keys: DataFrame, level: int, n: int, wrong: float) -> Level:
+def bloom_filter(keys: DataFrame, level: int, n: int, wrong: float) -> Level:
     """The Bloom filter of n keys with a share of wrong answers."""
     bits = max(64, -(-math.ceil(n * math.log(1 / wrong) / math.log(2) ** 2) // 64) * 64)
     hashes = max(1, round(bits / n * math.log(2)))
@@ -124,7 +124,7 @@ def build_cascade(keys: DataFrame) -> list[Level]:
         if k == MOST_LEVELS:
             raise ValueError("listed and unlisted keys share their hashes")
         wrong = 0.5 if k else min(0.5, max(1e-6, sizes[0] * 0.5**0.5 / max(sizes[1], 1)))
-        levels.append(_filter(sets[0], k, sizes[0], wrong))
+        levels.append(bloom_filter(sets[0], k, sizes[0], wrong))
         shared = spark.sparkContext.broadcast((k, levels[-1]))
 
         def through(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -162,3 +162,17 @@ def test_warc_reads_back_in_several_tasks_and_splits_hot_digests(spark, monkeypa
     for k, _, html in rows:
         largest[html] = k
     assert all((x[3], x[4]) == (("response", None) if largest[rows[x[0]][2]] == x[0] else ("revisit", largest[rows[x[0]][2]])) for x in want)
+
+
+def test_embeddings_that_repeat_an_id_and_filters_in_groups(spark, monkeypatch):
+    from postloom.llm import embedding_dedup
+
+    r = np.random.default_rng(4)
+    x, y, z = r.normal(size=(3, 64))
+    near = lambda v, k: (v + r.normal(size=64) * 0.02 * (k > 0)).tolist()
+    rows = [(7, near(x, 0), 1), (7, near(y, 0), 1), (7, near(x, 0), 1), (3, near(x, 1), 1), (9, near(y, 1), 1), (2**62, near(y, 1), 1), (5, near(z, 0), 1), (1, near(x, 0), 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    want = sorted([(7, 1, 3), (7, 2, 3), (7, 1, 3), (3, 1, 3), (9, 2, 3), (2**62, 2, 3), (5, 0, 5), (1, 0, 1)])
+    assert sorted((g.vec_id, g.n_links, g.component_id) for g in embedding_dedup.near_duplicates(df).collect()) == want
+    monkeypatch.setattr(embedding_dedup, "FILTER_BITS", 300)
+    assert sorted((g.vec_id, g.n_links, g.component_id) for g in embedding_dedup.near_duplicates(df).collect()) == want
