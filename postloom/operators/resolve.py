@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..components import connected_components
 from ..functions.dates import is_stale
-from ..llm.components import connected_components
-from ..llm.skew import with_group
 from ..session import cut
+from ..skew import with_group
 
 
 def first_by(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
