@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from postloom.llm import decontamination, ngram_jaccard, packing, pii, toxicity
 from postloom.llm.rows import without
-from postloom.llm.scratch import mark, materialize, release
+from postloom.scratch import mark, materialize, release
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize, small_batches
+from ..scratch import materialize, small_batches
 from .shingles import mix, shingle_sets
 
 CONTAINMENT = (80, 100)

@@ -28,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
-from .scratch import materialize
+from ..components import connected_components
+from ..scratch import materialize
 from .shingles import mix
-from .skew import with_group
+from ..skew import with_group
 from .url_filter import bloom_filter, passes
 
 THRESHOLD = 0.93

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .html_blocks import Block, Node, blocks
-from .scratch import small_batches
+from ..scratch import small_batches
 
 TRAINING_PAGES = 500
 PENALTY = 1e-4

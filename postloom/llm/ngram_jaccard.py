@@ -36,10 +36,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .components import connected_components
-from .scratch import materialize, small_batches
+from ..components import connected_components
+from ..scratch import materialize, small_batches
 from .shingles import shingle_sets
-from .skew import with_group
+from ..skew import with_group
 
 THRESHOLD = (80, 100)
 #: Shingles of a block of texts in which repeats are counted; bounds a worker's memory.

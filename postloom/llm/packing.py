@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import small_batches
+from ..scratch import small_batches
 from .shingles import text_buffer
 from .token_counts import TOKENIZER, tokenizer_path
 from .tokenizer_fst import compiled

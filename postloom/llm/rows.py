@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from ..scratch import materialize
 
 #: So many ids at most are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000

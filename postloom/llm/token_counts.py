@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import small_batches
+from ..scratch import small_batches
 from .shingles import text_buffer
 from .tokenizer_fst import compiled
 

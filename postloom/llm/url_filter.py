@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from ..scratch import materialize
 
 #: The largest filter of a shard, in bits (16 MB).
 SHARD_BITS = 1 << 27

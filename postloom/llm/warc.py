@@ -24,8 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize, new_path, small_batches
-from .skew import with_group
+from ..scratch import materialize, new_path, small_batches
+from ..skew import with_group
 
 FRAME_BYTES = 1 << 18
 FRAME_RECORDS = 64
