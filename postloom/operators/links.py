@@ -7,9 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.extract import board_slugs, company_host, is_interstitial
+from ..functions.pages import is_challenge
 
 # Fixed values.
-CHALLENGES = ("just a moment", "captcha", "access denied", "are you a robot", "unusual traffic", "verify you are human", "attention required", "checking your browser", "enable javascript", "request blocked", "403 forbidden", "pardon our interruption")
 LINK_BUDGET, HOST_BUDGET, MISS_DAYS = 400, 40, 30
 
 
@@ -20,8 +20,10 @@ def within_budget(df: DataFrame, most: int, order: str, *by: str) -> DataFrame:
     """
     if by:
         return df.withColumn("chosen", F.row_number().over(W.partitionBy(*by).orderBy(order)) <= most)
-    last = df.select(F.col(order).alias("_at")).orderBy("_at").limit(most).agg(F.max("_at").alias("_last"), F.count("*").alias("_n"))
-    return df.join(F.broadcast(last)).withColumn("chosen", (F.col("_n") > 0) & (F.col(order) <= F.col("_last"))).drop("_last", "_n")  # one row
+    # rows that share an order are told apart by all their columns, so no more than ``most`` are chosen
+    at = F.struct(F.col(order), F.xxhash64(*df.columns))
+    last = df.select(at.alias("_at")).orderBy("_at").limit(most).agg(F.max("_at").alias("_last"), F.count("*").alias("_n"))
+    return df.join(F.broadcast(last)).withColumn("chosen", (F.col("_n") > 0) & (at <= F.col("_last"))).drop("_last", "_n")  # one row
 
 
 def to_resolve(incoming: DataFrame, known: DataFrame, most: int = LINK_BUDGET) -> DataFrame:
@@ -50,12 +52,6 @@ def sniff_stored(pages: DataFrame) -> DataFrame:
     return board_slugs(rows, "html", "host").distinct()
 
 
-def is_challenge(title: Column, body: Column) -> Column:
-    """Whether a page is a bot check rather than the page asked for."""
-    said = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.left(F.coalesce(body, F.lit("")), F.lit(2000))))
-    return said.rlike("|".join(CHALLENGES))
-
-
 def describe_page(url: Column, title: Column, body: Column) -> Column:
     body = F.left(F.coalesce(body, F.lit("")), F.lit(2000))
     note = F.when(is_challenge(title, body), " (looks like a bot check or block, not a markup change)").otherwise("")

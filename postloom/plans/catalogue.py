@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, extract, regions, text
 from ..operators import applications, assemble, boards, cascade, compare, discovery, history, links, profile, resolve, score, search
+from . import source_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -102,10 +103,10 @@ def skill_match_counts(t):
 
 _CASCADE = r"""
 with d as (select doc_id, source, lang, split_part(text, chr(10), 1) as title, lower(text) as low, text from documents),
-m as (select *, list_has_any(regexp_extract_all(lower(title), '[a-z]+'), ['thing', 'ends', 'la', 'de', 'le']) as title_ok,
-  regexp_matches(lower(title), '(^|[^a-z])(senior|sr|staff|principal|lead|director|vp|head)($|[^a-z])') as senior,
+m as (select *, regexp_matches(lower(title), '(^|[^\p{L}\p{M}\p{N}_])(thing|ends|la|de|le)($|[^\p{L}\p{M}\p{N}_])') as title_ok,
+  regexp_matches(lower(title), '(^|[^\p{L}\p{M}\p{N}_])(senior|sr|staff|principal|lead|director|vp|head)($|[^\p{L}\p{M}\p{N}_])') as senior,
   cast(regexp_matches(low, 'that with') as int) + cast(contains(low, 'of the') as int) as n from d),
-r as (select doc_id, case when not title_ok then 'title_mismatch' when senior then 'seniority' when source = 'src3' then 'excluded_company' when n < 2 and trim(text) = '' then 'no_description' when n < 2 then 'few_skills' else 'passed' end as reason from m where regexp_matches(title, '^[\x00-\x7F]*$'))
+r as (select doc_id, case when not title_ok then 'title_mismatch' when senior then 'seniority' when source = 'src3' then 'excluded_company' when n < 2 and trim(text) = '' then 'no_description' when n < 2 then 'few_skills' else 'passed' end as reason from m)
 select reason, count(*) as n from r group by reason"""
 
 
@@ -113,7 +114,7 @@ select reason, count(*) as n from r group by reason"""
 def rule_cascade_reasons(t):
     docs = t.documents.select("doc_id", F.split("text", "\n")[0].alias("title"), F.col("source").alias("company"), F.lit("").alias("location"), F.lit(False).alias("is_remote"), F.col("text").alias("description"))
     p = cascade.Profile(target_roles=("thing of ends with", "la de le"), skills=("that with", "of the"), excluded_companies=("SRC3",))
-    out = cascade.evaluate(docs.where(F.col("title").rlike(r"^[\x00-\x7F]*$")), p)
+    out = cascade.evaluate(docs, p)
     return out.groupBy(F.coalesce("outcome.reason", F.lit("passed")).alias("reason")).agg(F.count("*").alias("n"))
 
 
@@ -231,11 +232,11 @@ def retention_prune(t):
 
 
 @query("stats_outcome_full_outer", """
-with a as (select source, count(*) as c from documents where doc_id % 2 = 0 and source < 'src5' group by 1), b as (select source, count(*) filter (n_chars > 1000) as inserted, count(*) filter (n_chars <= 1000) as merged from documents where source > 'src12' group by 1)
+with a as (select source, count(*) as c from documents where source < 'src5' group by 1), b as (select source, count(*) filter (n_chars > 1000) as inserted, count(*) filter (n_chars <= 1000) as merged from documents where source > 'src12' group by 1)
 select coalesce(a.source, b.source) as source, coalesce(a.c, coalesce(inserted, 0) + coalesce(merged, 0)) as fetched, coalesce(inserted, 0) as inserted, coalesce(merged, 0) as merged, case when coalesce(a.c, inserted + merged) > 0 then 'ok' else 'empty' end as status from a full outer join b on a.source = b.source""")
 def stats_outcome_full_outer(t):
     d = t.documents
-    stats = d.where("doc_id % 2 = 0 and source < 'src5'").groupBy("source").agg(F.count("*").alias("count")).withColumns({"n_errors": F.lit(0), "enabled": F.lit(True)})
+    stats = d.where("source < 'src5'").groupBy("source").agg(F.count("*").alias("count")).withColumns({"n_errors": F.lit(0), "enabled": F.lit(True)})
     tally = history.outcome_tally(d.where("source > 'src12'").select("source", F.when(F.col("n_chars") > 1000, "inserted").otherwise("merged").alias("outcome")))
     return history.source_facts(stats, tally).select("source", "fetched", "inserted", "merged", "status")
 
@@ -374,7 +375,7 @@ def title_fuzzy_ratio(t):
     return titles.where(~cascade.shares_word(F.col("p_name"), ("forest lace",))).where(cascade.resembles_role(("forest lace", "almond antique"), 0.5)("p_name"))
 
 
-@query("balanced_json", "select conv_id, turn, cast(turn * 10 as int) as score, 'ok' as status from conversations")
+@query("balanced_json", "select conv_id, turn, cast(least(100, turn * 10) as int) as score, 'ok' as status from conversations")
 def balanced_json(t):
     said = F.concat(F.lit("Sure! ```json {\"score\": "), (F.col("turn") * 10).cast("string"), F.lit(".5, \"reasoning\": \"ok\"} ``` done"))
     return t.conversations.select("conv_id", "turn", score.parse_reply(score.reply_object(said)).alias("r")).select("conv_id", "turn", "r.score", "r.status")
@@ -496,3 +497,7 @@ def slug_validation(t):
     cache = rows.where(key % 3 == 0).select("ats", "slug", F.when(key % 2 == 0, F.concat(F.lit("fixed"), key.cast("string"))).alias("resolved"))
     probed = rows.select("ats", "slug", (key % 5 != 0).alias("valid"))
     return discovery.validate(rows, cache, probed).select("slug", "resolved", "status")
+
+
+for _family, (_, _sql, _) in source_queries.FAMILIES.items():
+    query(f"source_{_family}", _sql)(lambda t, name=_family: source_queries.run(t, name))

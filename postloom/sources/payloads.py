@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import posted_at, relative_date
 from ..functions.extract import absolute, search_cards, tenant_parts, thread_header
+from ..functions.pages import is_challenge
 from ..functions.text import experience_level, html_to_lines, is_remote, strip_tags, text
 
 RAW_COLUMNS = ("source", "source_job_id", "title", "company", "location", "is_remote", "url", "description", "experience_level", "posted_at_raw")
@@ -151,13 +152,22 @@ def findwork(df: DataFrame) -> DataFrame:
     return raw(j, "findwork", id=c("j.id"), title=c("j.role"), company=c("j.company_name"), location=F.coalesce(F.nullif("j.location", F.lit("")), F.when(far, "Remote")), url=c("j.url"), description=strip_tags(c("j.text")), posted=c("j.date_posted"), remote=far)
 
 
-def linkedin(df: DataFrame, most: int = 200) -> DataFrame:
-    """Result pages (html, seq): cards with an id count once over all pages, those without all stay."""
+def linkedin(df: DataFrame, details: DataFrame | None = None, most: int = 200) -> DataFrame:
+    """Result pages (payload, seq): cards with an id count once over all pages, those without all stay.
+
+    Details (id, payload) as fetched supply the descriptions of the first ``most`` postings that have an id, in
+    page order; a page that is a bot check tells nothing.
+    """
     cards = search_cards(df.withColumnRenamed("payload", "html"), "html", "seq")
-    rank = F.row_number().over(W.partitionBy("source_job_id").orderBy("seq", "pos"))
-    j = cards.withColumn("_n", rank).where("source_job_id is null or _n = 1")
-    c = F.col
-    return raw(j, "linkedin", id=c("source_job_id"), title=c("title"), company=c("company"), location=c("location"), url=c("url"), description=F.lit(""), posted=c("posted_at_raw"))
+    named = cards.where("source_job_id is not null").groupBy("source_job_id").agg(F.min_by(F.struct(*(c for c in cards.columns if c != "source_job_id")), F.struct("seq", "pos")).alias("x"))
+    j = named.select("source_job_id", "x.*").unionByName(cards.where("source_job_id is null"))
+    c, told = F.col, F.lit("")
+    if details is not None:
+        body = F.regexp_extract("payload", r"(?is)<div[^>]*description__text[^>]*>(.*?)</(?:section|main|body)>", 1)
+        text_of = details.where(~is_challenge(F.lit(""), F.col("payload"))).select(F.col("id").alias("source_job_id"), F.trim(html_to_lines(body)).alias("_told"))
+        first = j.where("source_job_id is not null").select("source_job_id", "seq", "pos").orderBy("seq", "pos").limit(most).select("source_job_id").join(text_of, "source_job_id")
+        j, told = j.join(F.broadcast(first), "source_job_id", "left"), F.coalesce("_told", F.lit(""))  # at most ``most`` rows
+    return raw(j, "linkedin", id=c("source_job_id"), title=c("title"), company=c("company"), location=c("location"), url=c("url"), description=told, posted=c("posted_at_raw"))
 
 
 def remotive(df: DataFrame) -> DataFrame:
@@ -167,11 +177,22 @@ def remotive(df: DataFrame) -> DataFrame:
     return raw(j, "remotive", id=c("id"), title=c("j.title"), company=c("j.company_name"), location=c("j.candidate_required_location"), url=c("j.url"), description=strip_tags(c("j.description")), posted=c("j.publication_date"), remote=F.lit(True))
 
 
-def arbeitnow(df: DataFrame) -> DataFrame:
-    """The feed against searches: rows carry the searched location, which stands in for a missing one."""
+def arbeitnow(df: DataFrame, searches: DataFrame | None = None) -> DataFrame:
+    """The feed against searches (role, location), of which there are few: each posting once for each that it fits.
+
+    A posting fits if a word of the role is in its title or tags; the searched location stands in for a missing
+    one.  Postings that several searches give alike come out once.  Without searches, rows carry ``location``.
+    """
     j = items(df, "data array<struct<slug:string,title:string,company_name:string,location:string,remote:boolean,url:string,description:string,created_at:bigint,tags:array<string>>>", "data")
     c = F.col
-    return raw(j, "arbeitnow", id=c("j.slug"), title=c("j.title"), company=c("j.company_name"), location=F.coalesce(F.nullif("j.location", F.lit("")), "location"), url=c("j.url"), description=strip_tags(c("j.description")), posted=c("j.created_at"), remote=F.coalesce("j.remote", F.lit(False)))
+    if searches is not None:
+        said = F.lower(F.concat_ws(" ", "j.title", "j.tags"))
+        fits = F.exists(F.filter(F.split(F.lower("role"), r"\s+"), lambda w: w != ""), lambda w: said.contains(w)) | (F.trim("role") == "")
+        j = j.drop("location").join(F.broadcast(searches.select("role", "location").distinct()), fits)
+        j = j.withColumn("_place", F.coalesce(F.nullif("j.location", F.lit("")), "location")).dropDuplicates(["j", "_place"])
+    else:
+        j = j.withColumn("_place", F.coalesce(F.nullif("j.location", F.lit("")), "location"))
+    return raw(j, "arbeitnow", id=c("j.slug"), title=c("j.title"), company=c("j.company_name"), location=c("_place"), url=c("j.url"), description=strip_tags(c("j.description")), posted=c("j.created_at"), remote=F.coalesce("j.remote", F.lit(False)))
 
 
 def remoteok(df: DataFrame) -> DataFrame:
@@ -238,7 +259,7 @@ def json_ld(df: DataFrame, source: str = "jsonld") -> DataFrame:
     first = lambda name: F.coalesce(got(f"$.jobLocation[0].address.{name}"), got(f"$.jobLocation.address.{name}"))
     place = F.concat_ws(", ", first("addressLocality"), first("addressRegion"))
     link = F.coalesce(absolute(got("$.url"), F.col("url")), F.col("url"))
-    return raw(j, source, id=F.lit(None), title=got("$.title"), company=F.coalesce(got("$.hiringOrganization.name"), got("$.hiringOrganization")), location=place, url=link, description=strip_tags(got("$.description")), posted=got("$.datePosted"), remote=F.coalesce(got("$.jobLocationType") == "TELECOMMUTE", F.lit(False)) | F.lower(place).contains("remote"))
+    return raw(j, source, id=F.lit(None), title=got("$.title"), company=F.coalesce(got("$.hiringOrganization.name"), F.when(~got("$.hiringOrganization").rlike(r"^\s*[{\[]"), got("$.hiringOrganization"))), location=place, url=link, description=strip_tags(got("$.description")), posted=got("$.datePosted"), remote=F.coalesce(got("$.jobLocationType") == "TELECOMMUTE", F.lit(False)) | F.lower(place).contains("remote"))
 
 
 FAMILIES: dict[str, Projection] = {f.__name__: f for f in (adzuna, jsearch, greenhouse, lever, ashby, smartrecruiters, workable, recruitee, workday, jooble, careerjet, findwork, linkedin, remotive, arbeitnow, remoteok, indeed, weworkremotely, themuse, himalayas, jobicy, hnhiring)} | {"wellfound": lambda df: json_ld(df, "wellfound"), "dice": lambda df: json_ld(df, "dice")}
