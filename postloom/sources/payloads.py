@@ -23,11 +23,16 @@ RAW_COLUMNS = ("source", "source_job_id", "title", "company", "location", "is_re
 LEVELS = {"internship": "entry", "entry": "entry", "mid": "mid", "senior": "senior", "management": "senior"}
 LOCALES = {"united kingdom": "en_GB", "london": "en_GB", "canada": "en_CA", "india": "en_IN", "australia": "en_AU", "germany": "de_DE", "france": "fr_FR"}
 
+#: A column of landed rows that projections keep, with a posting's place in its payload, ``pos``.
+ARRIVAL = "_arrival"
+
 Projection = Callable[[DataFrame], DataFrame]
 
 
 def raw(df: DataFrame, source: str, *, id: Column, title: Column, company: Column, location: Column, url: Column, description: Column, posted: Column, remote: Column | None = None, level: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:  # noqa: A002
     """RawPosting rows; remote defaults to the word in place or title, the level to that of the text."""
+    if ARRIVAL in df.columns:
+        keep = (*keep, ARRIVAL, *(("pos",) if "pos" in df.columns else ()))
     rows = df.select(F.lit(source).alias("source"), id.cast("string").alias("source_job_id"), text(title).alias("title"), text(company).alias("company"), text(location).alias("location"), url.alias("url"), text(description).alias("description"), posted.cast("string").alias("posted_at_raw"), (remote if remote is not None else F.lit(None)).cast("boolean").alias("_remote"), (level if level is not None else F.lit(None)).cast("string").alias("_level"), *keep)
     rows = rows.withColumns({"is_remote": F.coalesce("_remote", is_remote("location", "title")), "experience_level": F.coalesce("_level", experience_level("title", "description"))})
     return rows.select(*RAW_COLUMNS, *keep)
@@ -40,6 +45,10 @@ def items(df: DataFrame, schema: str, path: str | None) -> DataFrame:
     return parsed.select(*(c for c in df.columns if c != "payload"), F.posexplode(listed).alias("pos", "j"))
 
 
+def _kept(df: DataFrame, *columns: str) -> list[str]:
+    return [c for c in (*columns, ARRIVAL) if c in df.columns]
+
+
 def _parts(*columns: str) -> Column:
     return F.concat_ws(", ", *(F.nullif(F.trim(F.col(c)), F.lit("")) for c in columns))
 
@@ -100,7 +109,7 @@ def smartrecruiters(df: DataFrame, details: DataFrame | None = None, most: int =
 
 def workable(df: DataFrame) -> DataFrame:
     parsed = df.withColumn("_p", F.from_json("payload", "name string, jobs array<struct<shortcode:string,title:string,city:string,state:string,country:string,telecommuting:boolean,url:string,description:string,published_on:string>>"))
-    j = parsed.select("slug", F.col("_p.name").alias("name"), F.posexplode("_p.jobs").alias("pos", "j"))
+    j = parsed.select(*_kept(df, "slug"), F.col("_p.name").alias("name"), F.posexplode("_p.jobs").alias("pos", "j"))
     c, place = F.col, _parts("j.city", "j.state", "j.country")
     return raw(j, "workable", id=c("j.shortcode"), title=c("j.title"), company=F.coalesce(F.nullif("name", F.lit("")), "slug"), location=place, url=c("j.url"), description=strip_tags(c("j.description")), posted=c("j.published_on"), remote=F.coalesce("j.telecommuting", F.lit(False)) | F.lower(place).contains("remote"))
 
@@ -134,7 +143,7 @@ def jooble(df: DataFrame) -> DataFrame:
 
 def careerjet(df: DataFrame) -> DataFrame:
     parsed = df.withColumn("_p", F.from_json("payload", "type string, jobs array<struct<title:string,company:string,locations:string,url:string,description:string,date:string>>")).where("_p.type = 'JOBS'")
-    j = parsed.select(F.posexplode("_p.jobs").alias("pos", "j"))
+    j = parsed.select(*_kept(df), F.posexplode("_p.jobs").alias("pos", "j"))
     c = F.col
     return raw(j, "careerjet", id=F.lit(None), title=c("j.title"), company=c("j.company"), location=c("j.locations"), url=c("j.url"), description=strip_tags(c("j.description")), posted=c("j.date"))
 
@@ -158,7 +167,7 @@ def linkedin(df: DataFrame, details: DataFrame | None = None, most: int = 200) -
     Details (id, payload) as fetched supply the descriptions of the first ``most`` postings that have an id, in
     page order; a page that is a bot check tells nothing.
     """
-    cards = search_cards(df.withColumnRenamed("payload", "html"), "html", "seq")
+    cards = search_cards(df.withColumnRenamed("payload", "html"), "html", *_kept(df, "seq"))
     named = cards.where("source_job_id is not null").groupBy("source_job_id").agg(F.min_by(F.struct(*(c for c in cards.columns if c != "source_job_id")), F.struct("seq", "pos")).alias("x"))
     j = named.select("source_job_id", "x.*").unionByName(cards.where("source_job_id is null"))
     c, told = F.col, F.lit("")
@@ -205,7 +214,7 @@ RSS = "channel struct<item:array<struct<title:string,link:string,description:str
 
 
 def _feed(df: DataFrame) -> DataFrame:
-    return df.select(F.posexplode(F.from_xml("payload", RSS)["channel"]["item"]).alias("pos", "j"))
+    return df.select(*_kept(df), F.posexplode(F.from_xml("payload", RSS)["channel"]["item"]).alias("pos", "j"))
 
 
 def indeed(df: DataFrame) -> DataFrame:
@@ -252,9 +261,9 @@ def hnhiring(df: DataFrame) -> DataFrame:
 def json_ld(df: DataFrame, source: str = "jsonld") -> DataFrame:
     """JobPosting objects of pages' JSON-LD scripts: single, listed, or inside @graph; broken blobs are skipped."""
     body = F.regexp_extract_all("payload", F.lit(r"""(?is)<script[^>]+type=["']application/ld\+json["'][^>]*>(.*?)</script>"""), F.lit(1))
-    v = df.select("url", F.explode(body).alias("b")).select("url", F.try_parse_json("b").alias("v")).where("v is not null")
+    v = df.select(*_kept(df, "url"), F.explode(body).alias("b")).select(*_kept(df, "url"), F.try_parse_json("b").alias("v")).where("v is not null")
     several = F.coalesce(F.try_variant_get("v", "$['@graph']", "array<variant>"), F.try_variant_get("v", "$", "array<variant>"), F.array("v"))
-    j = v.select("url", F.posexplode(several).alias("pos", "o")).where(F.try_variant_get("o", "$['@type']", "string") == "JobPosting")
+    j = v.select(*_kept(df, "url"), F.posexplode(several).alias("pos", "o")).where(F.try_variant_get("o", "$['@type']", "string") == "JobPosting")
     got = lambda path: F.try_variant_get("o", path, "string")
     first = lambda name: F.coalesce(got(f"$.jobLocation[0].address.{name}"), got(f"$.jobLocation.address.{name}"))
     place = F.concat_ws(", ", first("addressLocality"), first("addressRegion"))

@@ -1,4 +1,8 @@
-"""The fetch cycle as a stream: what lands in a folder is conformed and merged once, batch by batch."""
+"""The fetch cycle as a stream: what lands in a folder is conformed and merged, batch by batch, into known postings.
+
+Outcomes and the postings known after a batch are written to folders of the batch's number, which a replayed
+batch overwrites; so an outcome is written once and a posting seen in an earlier batch is found again.
+"""
 
 from __future__ import annotations
 
@@ -8,21 +12,59 @@ from pyspark.sql import functions as F
 from ..functions.dates import posted_at
 from ..functions.text import dedupe_hash
 from ..operators.resolve import merge
-from ..sources.payloads import FAMILIES
+from ..sources.payloads import ARRIVAL, FAMILIES
+
+#: A known posting: the key and the place in arrival that it has kept, its fields, and every url that it was seen at.
+POSTING = ("key", "seq", "source", "source_job_id", "title", "company", "location", "is_remote", "url", "apply_url", "description", "experience_level", "posted_at", "dedupe_hash", "source_urls")
+
+
+def conform(df: DataFrame, family: str, batch: int = 0) -> DataFrame:
+    """Landed payloads of a family as postings with key, hash, date and ``seq``, their order of arrival.
+
+    That is the batch, the landed row's own ``seq`` (rows without one in the order of the files), and the place in its payload.
+    """
+    landed = df.withColumn(ARRIVAL, F.coalesce("seq", F.monotonically_increasing_id()) if "seq" in df.columns else F.monotonically_increasing_id())
+    rows = FAMILIES[family](landed)
+    seq = F.struct(F.lit(batch).cast("long").alias("batch"), F.col(ARRIVAL).alias("landed"), F.coalesce("pos", F.lit(0)).alias("pos"))
+    key = F.sha2(F.concat_ws("|", F.to_json(seq), "source", "url", F.coalesce("source_job_id", F.lit("")), "title", "company", "location"), 256)
+    rows = rows.withColumns({"key": key, "seq": seq, "dedupe_hash": dedupe_hash("company", "title", "location"), "posted_at": posted_at(F.col("posted_at_raw")), "apply_url": F.lit(None).cast("string"), "source_urls": F.array("url")})
+    return rows.select(*POSTING)
+
+
+def known_after(existing: DataFrame | None, incoming: DataFrame, merged: DataFrame) -> DataFrame:
+    """The postings known after a batch: existing and inserted ones, with what merged rows added to them."""
+    changed = merged.where("keeper is not null").groupBy("keeper").agg(*(F.any_value(c).alias(f"_{c}") for c in ("source_urls", "description", "apply_url")))
+    fresh = incoming.join(merged.where("outcome = 'inserted'").select("key"), "key", "left_semi")
+    rows = (fresh if existing is None else existing.unionByName(fresh)).join(changed, F.col("key") == F.col("keeper"), "left")
+    return rows.withColumns({c: F.coalesce(f"_{c}", c) for c in ("source_urls", "description", "apply_url")}).select(*POSTING)
+
 
+def _latest(spark: SparkSession, folder: str, before: int) -> DataFrame | None:
+    """The newest complete snapshot of an earlier batch."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return None
+    found = [x.getPath() for x in fs.listStatus(path)]
+    done = [int(x.getName()[6:]) for x in found if x.getName().startswith("batch=") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))]
+    done = [k for k in done if k < before]
+    return spark.read.parquet(f"{folder}/batch={max(done)}").select(*POSTING) if done else None
 
-def conform(df: DataFrame, family: str) -> DataFrame:
-    """Landed payloads of a family as postings with key, hash, date and arrival order."""
-    rows = FAMILIES[family](df)
-    key = F.sha2(F.concat_ws("|", "source", "url", F.coalesce("source_job_id", F.lit("")), "title", "company", "location"), 256)
-    return rows.withColumns({"key": key, "dedupe_hash": dedupe_hash("company", "title", "location"), "posted_at": posted_at(F.col("posted_at_raw")), "apply_url": F.lit(None).cast("string"), "seq": F.col("source_job_id")})
 
+def run_available(spark: SparkSession, landing: str, family: str, out: str, checkpoint: str, now: F.Column, max_age_days: int = 30, known: str | None = None) -> None:
+    """Process all files that have landed since the last call; outcomes go to ``out``/batch=N, known postings to ``known``/batch=N.
 
-def run_available(spark: SparkSession, landing: str, family: str, out: str, checkpoint: str, now: F.Column, max_age_days: int = 30) -> None:
-    """Process all files that have landed since the last call and append their outcomes to ``out``."""
+    ``known`` is beside ``out`` by default.  A snapshot is read only when it is complete, and only by later batches.
+    """
     files = spark.readStream.schema("payload string, slug string, location string, url string, seq long").json(landing)
+    known = known or out.rstrip("/") + "-known"
 
     def cycle(batch: DataFrame, batch_id: int) -> None:
-        merge(conform(batch, family), now, max_age_days).withColumn("batch", F.lit(batch_id)).write.mode("append").parquet(out)
+        incoming = conform(batch.persist(), family, batch_id)
+        existing = _latest(spark, known, batch_id)
+        merge(incoming, now, max_age_days, existing).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        merged = spark.read.parquet(f"{out}/batch={batch_id}")
+        known_after(existing, incoming, merged).write.mode("overwrite").parquet(f"{known}/batch={batch_id}")
+        batch.unpersist()
 
     files.writeStream.foreachBatch(cycle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

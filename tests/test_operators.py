@@ -228,6 +228,27 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {r.outcome: r["count"] for r in out.collect()} == {"inserted": 2, "merged": 2}
 
 
+def test_stream_finds_postings_of_earlier_batches(spark, tmp_path):
+    from postloom.streaming import cycle
+
+    def land(name, *jobs):
+        jobs = {"jobs": [{"id": i, "title": t, "company": "Acme", "location": "Rome", "link": u, "snippet": s} for i, t, u, s in jobs]}
+        (tmp_path / f"in/{name}.json").write_text(json.dumps({"payload": json.dumps(jobs), "slug": "", "location": "", "url": "", "seq": 1}))
+        cycle.run_available(spark, str(tmp_path / "in"), "jooble", str(tmp_path / "out"), str(tmp_path / "cp"), now(), 30)
+
+    (tmp_path / "in").mkdir()
+    land("a", ("z", "Dev", "u1", "short"), ("a", "Dev", "u2", "a longer text"), ("b", "Cook", "u3", ""))
+    land("b", ("y", "Dev", "u4", "the longest text of all"), ("b", "Chef", "u5", ""), ("q", "Nurse", "u6", ""), ("n", "Other", "u1", ""))
+    out = {(r.batch, r.outcome): r["count"] for r in spark.read.parquet(str(tmp_path / "out")).groupBy("batch", "outcome").count().collect()}
+    assert out == {(0, "inserted"): 2, (0, "merged"): 1, (1, "merged"): 1, (1, "skipped"): 2, (1, "inserted"): 1}
+    known = {r.title: r for r in spark.read.parquet(str(tmp_path / "out-known/batch=1")).collect()}
+    assert set(known) == {"Dev", "Cook", "Nurse"} and known["Dev"].source_urls == ["u1", "u2", "u4"] and known["Dev"].description == "the longest text of all"
+    assert known["Dev"].source_job_id == "z"  # it came first, though its id sorts last
+    batch = spark.read.schema("payload string, slug string, location string, url string, seq long").json(str(tmp_path / "in/b.json"))
+    again = cycle.conform(batch, "jooble", 1)  # a replayed batch has the same keys
+    assert {r.key for r in again.collect()} == {r.key for r in spark.read.parquet(str(tmp_path / "out/batch=1")).collect()}
+
+
 def test_title_matches_by_word_or_ratio(spark):
     df = spark.createDataFrame([("Software Engineer",), ("Sofware Enginer",), ("Nurse",), (None,), ("Nurse",)], "title string")
     got = cascade.title_matches(df, ("software engineer",)).collect()
