@@ -121,7 +121,8 @@ def held_out(id_col: F.Column | str) -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
     """Fit on labelled rows that are not held out.
 
-    Rows with a null id or label are left out; an id with several labels counts as its largest.  With
+    Rows with a null id or label are left out; an id with several labels counts as its largest, one with several
+    texts as the least.  With
     no rows of one label the model has no features and scores everything at the labels' share.
     """
     spark = docs.sparkSession
@@ -133,7 +134,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(share / (1 - share))))
     share = F.when(F.col("label") == 1, min(1.0, sample / totals[1])).otherwise(min(1.0, sample / totals[0]))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("label", "text")  # at most about 2 * sample ids
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # at most about 2 * sample ids
+    rows = rows.groupBy("doc_id").agg(F.first("label").alias("label"), F.min("text").alias("text")).select("label", "text")  # rows that repeat an id count once, so the bound holds
     rows = materialize(rows, "labelled").repartition(6)
 
     counts = rows.mapInArrow(_count, "bucket long, q long, p long").groupBy("bucket").agg(F.sum("q").alias("q"), F.sum("p").alias("p"))

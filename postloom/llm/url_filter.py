@@ -101,11 +101,12 @@ def bloom_filter(keys: DataFrame, level: int, n: int, wrong: float) -> Level:
     hashes = max(1, round(bits / n * math.log(2)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.zeros(bits // 64, np.uint64)  # one task's share of the filter, merged before it is sent
         for batch in batches:
-            place = np.unique(np.concatenate([np.zeros(0, np.uint64), *_places(_unsigned(batch.column(0)), _unsigned(batch.column(1)), level, bits, hashes)]))
-            word, start = np.unique(place >> np.uint64(6), return_index=True)
-            value = np.bitwise_or.reduceat(np.left_shift(np.uint64(1), place & np.uint64(63)), start) if len(start) else place
-            yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(value.view(np.int64))], ["word", "value"])
+            for place in _places(_unsigned(batch.column(0)), _unsigned(batch.column(1)), level, bits, hashes):
+                np.bitwise_or.at(words, (place >> np.uint64(6)).astype(np.int64), np.left_shift(np.uint64(1), place & np.uint64(63)))
+        some = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(words[some].view(np.int64))], ["word", "value"])
 
     rows = keys.select("h1", "h2").mapInArrow(run, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).toArrow()
     words = np.zeros(bits // 64, np.uint64)
