@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +18,13 @@ ENTRY_PATTERN = r"\bjunior\b|\bjr\b|\bentry[\s\-]level\b|\b0[\s\-]?[-–][\s\-]?
 STOP_WORDS = ("a", "an", "the", "and", "or", "of", "in", "at", "for", "to", "with", "as", "is", "be", "are", "was", "were", "it", "on", "by", "from")
 
 
+# LaTeX for characters that are special there, and for punctuation beyond ASCII.
+LATEX = {
+    "\\": r"\textbackslash{}", "&": r"\&", "%": r"\%", "#": r"\#", "$": r"\$", "_": r"\_", "{": r"\{", "}": r"\}", "^": r"\^{}", "~": r"\textasciitilde{}",
+    "\u2014": "---", "\u2013": "--", "\u2018": "`", "\u2019": "'", "\u201c": "``", "\u201d": "''", "\u2022": r"\textbullet{}", "\u2026": "...", "\u2192": " to ", "\u00d7": "x", "\u00a0": " ",
+}
+
+
 def text(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
@@ -127,3 +137,21 @@ def age(seconds: Column) -> Column:
     return F.when(seconds < 60, F.concat(seconds.cast("int").cast("string"), F.lit("s"))).when(seconds < 3600, F.concat(F.floor(seconds / 60).cast("string"), F.lit("m"))).otherwise(
         F.concat(F.floor(seconds / 3600).cast("string"), F.lit("h "), F.floor(seconds % 3600 / 60).cast("string"), F.lit("m"))
     )
+
+
+def latex_escape(c: Column | str) -> Column:
+    """A text as LaTeX: special characters escaped, others folded to ASCII or left out; null is empty.
+
+    Folding needs Unicode's decompositions, which no built-in function has, so Arrow batches go through Python.
+    """
+    class Table(dict):
+        def __missing__(self, code: int) -> str:
+            folded = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode() if code > 127 else chr(code)
+            self[code] = folded if code < 128 else "".join(LATEX.get(x, x) for x in folded)
+            return self[code]
+
+    def escape(said: pd.Series) -> pd.Series:
+        table = Table({ord(k): v for k, v in LATEX.items()})
+        return said.fillna("").map(lambda x: x.translate(table))
+
+    return F.pandas_udf(escape, "string")(text(c))

@@ -54,3 +54,9 @@ def next_version(documents: DataFrame, *by: str) -> DataFrame:
 
 def trim_level(bullets: Column, level: int) -> Column:
     return F.slice(bullets, 1, max(1, 5 - level))
+
+
+def grounded_selection(chosen: Column, known: Column) -> Column:
+    """What a reply chose of the known ids, in the profile's order; null where it chose none, so that a fallback can stand in."""
+    kept = F.filter(F.array_distinct(known), lambda x: F.array_contains(F.coalesce(chosen, F.array().cast("array<string>")), x))
+    return F.when(F.size(kept) > 0, kept)

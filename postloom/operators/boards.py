@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -10,6 +10,20 @@ from pyspark.sql import functions as F
 PROTECTED_ORIGINS = ("configured", "seed")
 MAX_EMPTY = 8
 TOTAL_CAP, CAPS = 300, {"workday": 30, "smartrecruiters": 80}
+# Boards that are polled from the start, by family.
+SEEDS = {
+    "greenhouse": (
+        "stripe", "airbnb", "robinhood", "coinbase", "databricks", "gitlab", "cloudflare", "doordashusa", "instacart", "pinterest", "reddit", "lyft",
+        "twitch", "mongodb", "datadog", "elastic", "asana", "figma", "brex", "affirm", "flexport", "samsara", "vercel", "airtable", "discord",
+        "duolingo", "gusto", "okta", "pagerduty", "scaleai", "sofi", "squarespace", "zscaler", "chime", "checkr",
+    ),
+    "lever": ("netflix", "palantir", "plaid", "voleon", "mistral", "zoox", "matchgroup", "spotify", "kraken", "octoenergy", "highspot", "outreach", "veeva"),
+    "ashby": (
+        "openai", "linear", "notion", "ramp", "deel", "replit", "supabase", "posthog", "cursor", "perplexity", "vanta", "mercury", "clever", "zip",
+        "hightouch", "sierra", "docker", "modal", "elevenlabs",
+    ),
+    "workday": ("nvidia:wd5:NVIDIAExternalCareerSite", "salesforce:wd12:External_Career_Site", "adobe:wd5:external_experienced", "workday:wd5:Workday"),
+}
 
 
 def upsert(boards: DataFrame, found: DataFrame, now: Column, revive: bool = False) -> DataFrame:
@@ -79,3 +93,8 @@ def leaderboard(boards: DataFrame, most: int = 25) -> DataFrame:
 def reactivate(boards: DataFrame, ats: str, slug: str) -> DataFrame:
     hit = (F.col("ats") == ats) & (F.col("slug") == slug)
     return boards.withColumns({"active": F.col("active") | hit, "consecutive_empty": F.when(hit, 0).otherwise(F.col("consecutive_empty"))})
+
+
+def seeds(spark: SparkSession) -> DataFrame:
+    """(ats, slug, pos) of the seeds, a layer for ``assemble``."""
+    return spark.createDataFrame([(ats, slug, k) for ats, slugs in SEEDS.items() for k, slug in enumerate(slugs)], "ats string, slug string, pos int")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.extract import BOARD_PATTERNS, board_slugs, candidate_slugs
@@ -10,6 +10,7 @@ from .boards import assemble
 
 # How many slugs a family may have by discovery.
 DISCOVERED_CAP, DISCOVERED_CAPS = 100, {"workday": 15, "smartrecruiters": 30}
+BACKFILL_ATTEMPTS = 3
 
 
 def merge_found(existing: DataFrame, found: DataFrame) -> DataFrame:
@@ -71,3 +72,13 @@ def backfill_report(scanned: DataFrame, found: DataFrame) -> DataFrame:
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("ats", "n")))).alias("per_ats"),
     )
     return of_postings.crossJoin(F.broadcast(of_boards))  # one row each
+
+
+def backfill_due(done: Column, attempts: Column, most: int = BACKFILL_ATTEMPTS) -> Column:
+    """Whether the one-time backfill of a profile is to run: not yet done, and not failed too often."""
+    return ~F.coalesce(done, F.lit(False)) & (F.coalesce(attempts, F.lit(0)) < most)
+
+
+def backfill_record(done: Column, attempts: Column, error: Column) -> Column:
+    """(done, attempts, error) after an attempt: without an error it is done, with one it counts."""
+    return F.struct((F.coalesce(done, F.lit(False)) | error.isNull()).alias("done"), (F.coalesce(attempts, F.lit(0)) + error.isNotNull().cast("int")).alias("attempts"), F.left(error, F.lit(200)).alias("error"))

@@ -95,3 +95,9 @@ def empty_runs(polls: DataFrame) -> DataFrame:
     since = polls.join(last, ["ats", "slug"]).where("_last is null or at > _last")
     counted = since.groupBy("ats", "slug").agg(F.count("*").alias("n"))
     return last.join(counted, ["ats", "slug"], "left").select("ats", "slug", F.coalesce("n", F.lit(0)).alias("consecutive_empty"))
+
+
+def empty_reasons(stats: DataFrame, errors: DataFrame) -> DataFrame:
+    """(source, reasons): enabled sources of (source, count, enabled) that gave nothing, with the first messages logged for them."""
+    empty = stats.where(F.coalesce("enabled", F.lit(True)) & (F.coalesce("count", F.lit(0)) == 0)).select("source")
+    return empty.join(capped_errors(errors).withColumnRenamed("errors", "reasons"), "source", "left").withColumn("reasons", F.coalesce("reasons", F.array().cast("array<string>")))

@@ -121,3 +121,9 @@ def cycle_counters(results: DataFrame, result: str = "result") -> DataFrame:
         F.count_if(~error & ~F.coalesce(r.isin("matched", "rate_limited"), F.lit(False))).alias("filtered_out"),
         F.count_if(r == "rate_limited").alias("rate_limited"), F.count_if(error).alias("errors"),
     )
+
+
+def patch_section(sections: Column, name: str, value: Column) -> Column:
+    """A profile's sections (a map of name to JSON text) with one replaced or added; the others stay as they are."""
+    rest = F.map_filter(F.coalesce(sections, F.expr("cast(map() as map<string, string>)")), lambda k, _: k != name)
+    return F.map_concat(rest, F.create_map(F.lit(name), value))

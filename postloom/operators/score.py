@@ -67,3 +67,32 @@ def run_scorer(jobs: DataFrame, scorer: Callable[[str], str], budget: int = 0) -
             yield pd.DataFrame({"id": pdf["id"], "reply": [scorer(p) for p in pdf["prompt"]]})
 
     return jobs.select("id", "prompt").mapInPandas(run, "id string, reply string")
+
+
+def run_scorers(jobs: DataFrame, free: list[Callable[[str], str | None]], paid: list[Callable[[str], str | None]] = (), budget: int = 0) -> DataFrame:
+    """(id, reply, scorer) for (id, prompt): the first of the injected scorers that answers, free ones before paid ones.
+
+    A scorer that raises or gives None is passed over.  A budget above 0 lets only the first so many ids go on to
+    paid scorers, whether they answer or not; a row that no scorer answers has a null reply and is left for the next cycle.
+    """
+    may_pay = F.lit(True)
+    if budget > 0:
+        first = jobs.select(F.col("id").alias("_id")).orderBy("_id").limit(budget)
+        jobs, may_pay = jobs.join(F.broadcast(first), F.col("id") == F.col("_id"), "left"), F.col("_id").isNotNull()  # at most ``budget`` ids
+
+    def answer(prompt: str, pays: bool) -> tuple[str | None, str | None]:
+        for name, scorer in [*((f"free{k}", s) for k, s in enumerate(free)), *((f"paid{k}", s) for k, s in enumerate(paid) if pays)]:
+            try:
+                reply = scorer(prompt)
+            except Exception:  # noqa: BLE001 - whatever a provider raises, the next one is asked
+                continue
+            if reply is not None:
+                return reply, name
+        return None, None
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            said = [answer(p, bool(may)) for p, may in zip(pdf["prompt"], pdf["may_pay"], strict=True)]
+            yield pd.DataFrame({"id": pdf["id"], "reply": pd.Series([r for r, _ in said], dtype=object), "scorer": pd.Series([n for _, n in said], dtype=object)})
+
+    return jobs.select(F.col("id").cast("string").alias("id"), "prompt", may_pay.alias("may_pay")).mapInPandas(run, "id string, reply string, scorer string")

@@ -61,3 +61,9 @@ def total(postings: DataFrame, q: Query) -> int:
 
 def sources(postings: DataFrame) -> DataFrame:
     return postings.where("source <> ''").select("source").distinct().orderBy("source")
+
+
+def latest_or_given(postings: DataFrame, given) -> DataFrame:
+    """At most one row with a description: that with the given id, else the one fetched last (no time counts as latest; then by id)."""
+    described = postings.where("description <> ''")
+    return described.orderBy((F.col("id") != F.lit(given)).asc_nulls_last(), F.desc_nulls_first("fetched_at"), "id").limit(1)

@@ -173,7 +173,7 @@ def linkedin(df: DataFrame, details: DataFrame | None = None, most: int = 200) -
     c, told = F.col, F.lit("")
     if details is not None:
         body = F.regexp_extract("payload", r"(?is)<div[^>]*description__text[^>]*>(.*?)</(?:section|main|body)>", 1)
-        text_of = details.where(~is_challenge(F.lit(""), F.col("payload"))).select(F.col("id").alias("source_job_id"), F.trim(html_to_lines(body)).alias("_told"))
+        text_of = details.where(~is_challenge(F.lit(""), F.col("payload"))).select(F.col("id").alias("source_job_id"), F.regexp_replace(html_to_lines(body), r"^\s+|\s+$", "").alias("_told"))
         first = j.where("source_job_id is not null").select("source_job_id", "seq", "pos").orderBy("seq", "pos").limit(most).select("source_job_id").join(text_of, "source_job_id")
         j, told = j.join(F.broadcast(first), "source_job_id", "left"), F.coalesce("_told", F.lit(""))  # at most ``most`` rows
     return raw(j, "linkedin", id=c("source_job_id"), title=c("title"), company=c("company"), location=c("location"), url=c("url"), description=told, posted=c("posted_at_raw"))

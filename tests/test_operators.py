@@ -305,3 +305,34 @@ def test_report_and_walk(spark):
     blob = json.dumps({"a": [{"title": "Dev", "url": "https://x.example/1", "startup": {"name": "Acme"}, "inner": {"title": "no", "url": "https://x.example/2"}}, {"name": "n", "url": "https://other/"}]})
     got = json_walk.walk(spark.createDataFrame([(blob,), ("{broken",), (None,)], "payload string"), "x.example", "s").collect()
     assert [(r.title, r.company) for r in got] == [("Dev", "Acme")]
+
+
+def test_scorers_fail_over_within_a_budget(spark):
+    def refuses(prompt):
+        raise TimeoutError(prompt)
+
+    jobs = spark.createDataFrame([(str(k), "ok" if k % 2 else "hard") for k in range(6)], "id string, prompt string")
+    got = {r.id: (r.reply, r.scorer) for r in score.run_scorers(jobs, [refuses, lambda p: "free" if p == "ok" else None], [lambda p: "paid"], 3).collect()}
+    assert got == {"0": ("paid", "paid0"), "1": ("free", "free1"), "2": ("paid", "paid0"), "3": ("free", "free1"), "4": (None, None), "5": ("free", "free1")}
+    assert all(r.reply for r in score.run_scorers(jobs, [refuses], [lambda p: p]).collect())
+
+
+def test_linkedin_details_and_cards_without_an_id(spark):
+    card = '<li><a href="https://www.linkedin.com/jobs/view/{}?x">a</a><h3 class="base-search-card__title x">T <b>{}</b></h3></li>'
+    pages = spark.createDataFrame([(2, card.format("a-10000001", 1) + card.format("b", 2)), (1, card.format("a-10000001", 0) + card.format("b", 3) + card.format("c-10000002", 4))], "seq long, payload string")
+    details = spark.createDataFrame([("10000001", "<main><div class='description__text'>One<br>two</div></main>"), ("10000002", "<div class='description__text'>late</div></main>")], "id string, payload string")
+    got = sorted((r.source_job_id or "", r.title, r.description) for r in payloads.linkedin(pages, details, 1).collect())
+    assert got == [("", "T 2", ""), ("", "T 3", ""), ("10000001", "T 0", "One\ntwo"), ("10000002", "T 4", "")]
+
+
+def test_backfill_from_stored_postings(spark, tmp_path):
+    from postloom import backfill
+
+    rows = [("jooble", "https://jooble.org/away/1", "https://jobs.lever.co/acme/1", ""), ("lever", "https://jobs.lever.co/own/2", None, ""), ("x", "https://a.example/1", None, "see https://jobs.lever.co/known")]
+    spark.createDataFrame(rows, "source string, url string, apply_url string, description string").write.parquet(str(tmp_path / "postings"))
+    spark.createDataFrame([("lever", "known", 0)], "ats string, slug string, pos int").write.parquet(str(tmp_path / "boards"))
+    paths = [str(tmp_path / x) for x in ("postings", "boards", "out")]
+    report = backfill.main([*paths, "--dry-run"], spark)
+    assert report["boards_found"] == 1 and report["jobs_scanned"] == 3 and not (tmp_path / "out").exists()
+    backfill.main(paths, spark)
+    assert {(r.ats, r.slug) for r in spark.read.parquet(paths[2]).collect()} == {("lever", "known"), ("lever", "acme")}
