@@ -48,3 +48,29 @@ def test_run(spark, tmp_path):
     planted(spark, str(tmp_path))
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.columns[0] == "doc_id" and out.count() > 400
+
+
+def test_run_as_by_brute_force(spark, tmp_path):
+    """Every stage redone in plain Python from the whole documents; only the fitted classifier's decisions are taken over."""
+    from test_training_operators import base_spans, components_of, library, shingled
+
+    from postloom.llm import toxicity
+
+    folder = str(tmp_path)
+    planted(spark, folder)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    clean = {r.doc_id for r in toxicity.score(docs, model).where("predicted = 0").collect()}
+    kept = {r.doc_id: r.text for r in docs.collect() if r.doc_id in clean}
+    components = components_of(sorted(kept.items()))
+    kept = {i: t for i, t in kept.items() if components[i][1] == i}
+    items = [shingled(r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    kept = {i: t for i, t in kept.items() if not any(100 * len(shingled(t) & x) >= 80 * len(x) for x in items)}
+    lib, want = library(), {}
+    for i, t in kept.items():
+        for a, kind, b in reversed(base_spans(t or "")):
+            t = t[:a] + f"[{('EMAIL', 'IP', 'CARD', 'PHONE')[kind - 1]}]" + t[b:]
+        want[i] = [*lib.encode(t or "", add_special_tokens=False).ids, 1]
+    pieces = corpus_pipeline.run(spark, folder).collect()
+    assert {x.doc_id: x.doc_tokens for x in pieces} == {i: len(x) for i, x in want.items()}
+    assert sum(x.length for x in pieces) == sum(map(len, want.values()))  # each id in one piece
