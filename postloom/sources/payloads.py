@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.dates import posted_at, relative_date
-from ..functions.extract import absolute, search_cards, tenant_parts, thread_header
+from ..functions.extract import absolute, anchors, search_cards, tenant_parts, thread_header
 from ..functions.pages import is_challenge
 from ..functions.text import experience_level, html_to_lines, is_remote, strip_tags, text
 
@@ -271,7 +271,21 @@ def json_ld(df: DataFrame, source: str = "jsonld") -> DataFrame:
     return raw(j, source, id=F.lit(None), title=got("$.title"), company=F.coalesce(got("$.hiringOrganization.name"), F.when(~got("$.hiringOrganization").rlike(r"^\s*[{\[]"), got("$.hiringOrganization"))), location=place, url=link, description=strip_tags(got("$.description")), posted=got("$.datePosted"), remote=F.coalesce(got("$.jobLocationType") == "TELECOMMUTE", F.lit(False)) | F.lower(place).contains("remote"))
 
 
-FAMILIES: dict[str, Projection] = {f.__name__: f for f in (adzuna, jsearch, greenhouse, lever, ashby, smartrecruiters, workable, recruitee, workday, jooble, careerjet, findwork, linkedin, remotive, arbeitnow, remoteok, indeed, weworkremotely, themuse, himalayas, jobicy, hnhiring)} | {"wellfound": lambda df: json_ld(df, "wellfound"), "dice": lambda df: json_ld(df, "dice")}
+def result_pages(df: DataFrame, source: str, origin: str, path: str, once: str) -> DataFrame:
+    """Pages' JSON-LD postings; a page (url, payload) without any gives its links into a path, each once by title or href."""
+    bare = df.where(~F.coalesce(F.col("payload").rlike(r"[\"']@type[\"']\s*:\s*[\"']JobPosting"), F.lit(False)))
+    j = bare.select(*_kept(df, "url"), F.posexplode(anchors(F.col("payload"), path)).alias("pos", "j"))
+    j = _first_of(j.withColumn("_once", F.col(f"j.{once}")), "url", "_once")
+    link = F.when(F.col("j.href").startswith("http"), F.col("j.href")).otherwise(F.concat(F.lit(origin), "j.href"))
+    blank = F.lit("")
+    linked = raw(j, source, id=F.lit(None), title=F.col("j.title"), company=blank, location=blank, url=link, description=blank, posted=F.lit(None), remote=F.lit(False))
+    return json_ld(df, source).unionByName(linked)
+
+
+FAMILIES: dict[str, Projection] = {f.__name__: f for f in (adzuna, jsearch, greenhouse, lever, ashby, smartrecruiters, workable, recruitee, workday, jooble, careerjet, findwork, linkedin, remotive, arbeitnow, remoteok, indeed, weworkremotely, themuse, himalayas, jobicy, hnhiring)} | {
+    "wellfound": lambda df: result_pages(df, "wellfound", "https://wellfound.com", "/jobs/", "title"),
+    "dice": lambda df: result_pages(df, "dice", "https://www.dice.com", "/job-detail/", "href"),
+}
 
 
 def matches_query(title: Column, tags: Column, query: str) -> Column:

@@ -336,3 +336,12 @@ def test_backfill_from_stored_postings(spark, tmp_path):
     assert report["boards_found"] == 1 and report["jobs_scanned"] == 3 and not (tmp_path / "out").exists()
     backfill.main(paths, spark)
     assert {(r.ats, r.slug) for r in spark.read.parquet(paths[2]).collect()} == {("lever", "known"), ("lever", "acme")}
+
+
+def test_pages_without_structured_data_give_their_links(spark):
+    ld = '<script type="application/ld+json">{"@type":"JobPosting","title":"Dev","url":"/jobs/9"}</script><a href="/jobs/1">Not this</a>'
+    bare = '<a class=x href="/jobs/1-dev"><b>Data</b>\n Dev</a><a href="/jobs/2">Data Dev</a><a href="/about">About us</a><a href="/jobs/3">ab</a><A HREF=\'/job-detail/4\'>Cook</A>'
+    pages = spark.createDataFrame([("https://p.example/1", ld), ("https://p.example/2", bare), ("https://p.example/3", None)], "url string, payload string")
+    got = sorted((r.title, r.url) for r in payloads.FAMILIES["wellfound"](pages).collect())
+    assert got == [("Data Dev", "https://wellfound.com/jobs/1-dev"), ("Dev", "https://p.example/jobs/9")]
+    assert [(r.title, r.url) for r in payloads.FAMILIES["dice"](pages.where("url like '%2'")).collect()] == [("Cook", "https://www.dice.com/job-detail/4")]
