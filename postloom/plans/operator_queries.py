@@ -8,9 +8,15 @@ from ..functions import dates, extract, regions, text
 from ..operators import applications, assemble, boards, cascade, compare, discovery, history, links, profile, resolve, search
 from ..sources import payloads
 
-_DAY = F.lit("2024-02-01").cast("date")
-_NOW = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
-_POSTING = "p_partkey as k, p_name, p_brand, p_type, p_size"
+
+def _day() -> F.Column:
+    return F.lit("2024-02-01").cast("date")
+
+
+def _now() -> F.Column:
+    return F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+
+
 _PREFERENCES = ((("uk", "europe"), ("Bath",), True), ((), (), True), (("india",), (), False))
 
 
@@ -30,7 +36,7 @@ def register(query) -> None:  # noqa: PLR0915
     def relative_dates(t):
         k, n = F.col("p_partkey"), F.col("p_size").cast("string")
         said = F.when(k % 4 == 0, "Posted Today").when(k % 4 == 1, "posted yesterday").when(k % 4 == 2, F.concat(F.lit("Posted "), n, F.lit(" Days Ago"))).otherwise(F.concat(n, F.lit("+ days ago")))
-        return t.part.select(k.alias("k"), F.date_format(dates.relative_date(said, _DAY), "yyyy-MM-dd").alias("day"))
+        return t.part.select(k.alias("k"), F.date_format(dates.relative_date(said, _day()), "yyyy-MM-dd").alias("day"))
 
     @query("free_text_months", """
     with r as (select p_partkey as k, 2000 + cast(p_partkey % 20 as int) as y, 1 + cast(p_partkey % 12 as int) as m from part)
@@ -41,8 +47,8 @@ def register(query) -> None:  # noqa: PLR0915
         y, m = (k % 20 + 2000).cast("string"), (k % 12 + 1).cast("int")
         name = F.element_at(F.array(*map(F.lit, ("January", "feb", "Mar.", "April,", "may", "June", "jul", "aug", "Sept", "October", "nov", "December"))), m)
         said = F.when(k % 5 == 0, F.concat(name, F.lit(" "), y)).when(k % 5 == 1, F.concat(y, F.lit("-"), F.lpad(m.cast("string"), 2, "0"))).when(k % 5 == 2, F.concat(m.cast("string"), F.lit("/"), y)).when(k % 5 == 3, F.concat(F.upper(name), F.lit("  "), y)).otherwise("2020")
-        start = dates.month(said, _DAY)
-        return t.part.select(k.alias("k"), F.date_format(start, "yyyy-MM-dd").alias("month"), dates.entry_years(F.lit(None).cast("double"), start, dates.month(F.lit("Present"), _DAY, True)).alias("years"))
+        start = dates.month(said, _day())
+        return t.part.select(k.alias("k"), F.date_format(start, "yyyy-MM-dd").alias("month"), dates.entry_years(F.lit(None).cast("double"), start, dates.month(F.lit("Present"), _day(), True)).alias("years"))
 
     @query("query_words", "select p_partkey as k from part where contains(lower(p_name), 'bolt') or contains(lower(p_name), 'cold') or contains(lower(p_type), 'bolt') or contains(lower(p_type), 'cold')")
     def query_words(t):
@@ -176,12 +182,12 @@ def register(query) -> None:  # noqa: PLR0915
         hosts = rows.select(extract.company_host(F.col("url")).alias("host")).distinct()
         n = F.row_number().over(W.orderBy("host"))  # a dimension: one row a host
         cache = hosts.select("host", (n % 4 == 0).alias("found"), F.when(n % 4 == 1, F.lit("2024-01-20")).otherwise("2023-01-01").cast("timestamp_ntz").alias("at"))
-        return links.hosts_to_sniff(rows, cache, _NOW, 12).select("host", "seq", "chosen")
+        return links.hosts_to_sniff(rows, cache, _now(), 12).select("host", "seq", "chosen")
 
     @query("stalled_records", "select event_id, event_type in ('click', 'view') and not (date_diff('second', ts, timestamp '2024-02-01 00:00:00') > 1296000) as active, event_type in ('click', 'view') and date_diff('second', ts, timestamp '2024-02-01 00:00:00') > 1296000 as stalled from events")
     def stalled_records(t):
         status = F.when(F.col("event_type").isin("click", "view"), "running").otherwise("done")
-        return t.events.select("event_id", compare.progress(status, F.col("ts"), _NOW, 1296000).alias("p")).select("event_id", "p.active", "p.stalled")
+        return t.events.select("event_id", compare.progress(status, F.col("ts"), _now(), 1296000).alias("p")).select("event_id", "p.active", "p.stalled")
 
     @query("run_totals", "select count(*) as fetched, count(*) filter (n_chars > 1000) as inserted, count(*) filter (n_chars <= 1000) as merged, cast(0 as bigint) as skipped, 'partial' as status, (select count(*) from supplier where s_suppkey % 3 > 0) as boards_polled from documents")
     def run_totals(t):

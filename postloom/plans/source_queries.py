@@ -49,15 +49,14 @@ def _markup(t, item: str, before: str, after: str, *keys: str) -> DataFrame:
 
 
 _BOARD = "slug"
-_TODAY = F.lit("2024-02-01").cast("date")
-#: By family: (payloads, SQL of what they come out as, the projection's further arguments).
+#: By family: (payloads, SQL of what they come out as, the projection's further arguments; a pair of a text and a type is a literal).
 FAMILIES: dict[str, tuple] = {
     "adzuna": (lambda t: _pages(t, "struct(k as id, title, struct(company as display_name) as company, struct(place as display_name) as location, url as redirect_url, html as description, day as created)", "results"), expected("adzuna", description="html"), {}),
     "jsearch": (
         lambda t: _pages(t, "struct(k as job_id, title as job_title, company as employer_name, place as job_city, 'XY' as job_state, 'us' as job_country, far as job_is_remote, url as job_apply_link, html as job_description, day as job_posted_at_datetime_utc)", "data"),
         expected("jsearch", description="html", location="case when place is null then 'XY' else concat(place, ', XY') end", remote="far"), {},
     ),
-    "greenhouse": (lambda t: _pages(t, "struct(k as id, title, struct(place as name) as location, url as absolute_url, html as content, day as updated_at)", "jobs", "", _BOARD), expected("greenhouse", company="slug", where="day >= '2024-01-05'"), {"now": F.lit("2024-02-04 00:00:00").cast("timestamp"), "max_days": 30}),
+    "greenhouse": (lambda t: _pages(t, "struct(k as id, title, struct(place as name) as location, url as absolute_url, html as content, day as updated_at)", "jobs", "", _BOARD), expected("greenhouse", company="slug", where="day >= '2024-01-05'"), {"now": ("2024-02-04 00:00:00", "timestamp"), "max_days": 30}),
     "lever": (lambda t: _pages(t, "struct(k as id, title as text, html as descriptionPlain, struct(place as location) as categories, url as hostedUrl, 1704067200000 + 500 * k as createdAt)", None, "", _BOARD), expected("lever", company="slug", description="html", posted="1704067200 + 0.5 * k"), {}),
     "ashby": (
         lambda t: _pages(t, "struct(k as id, title, place as location, far as isRemote, size <> 7 as isListed, day as publishedAt, if(k % 3 = 0, null, url) as jobUrl, url as applyUrl, html as descriptionPlain)", "jobs", "", _BOARD),
@@ -74,7 +73,7 @@ FAMILIES: dict[str, tuple] = {
     "recruitee": (lambda t: _pages(t, "struct(k as id, title, company as company_name, place as location, 'Delft' as city, far as remote, url as careers_url, html as description, day as published_at)", "offers", "", _BOARD), expected("recruitee", company="coalesce(company, slug)", location="coalesce(place, 'Delft')", remote="far"), {}),
     "workday": (
         lambda t: _pages(t, "struct(title, concat('/job/', k) as externalPath, place as locationsText, concat('Posted ', k % 9 + 1, if(far, '+', ''), ' Days Ago') as postedOn)", "jobPostings", "", _BOARD).withColumn("slug", F.concat("slug", F.lit(":wd5:Site"))),
-        expected("workday", id="concat(slug, '/job/', cast(k as string))", company="slug", description="''", url="concat('https://', slug, '.wd5.myworkdayjobs.com/Site/job/', cast(k as string))", posted="strftime(date '2024-02-01' - cast(k % 9 + 1 + cast(far as int) as int), '%Y-%m-%d')"), {"today": _TODAY},
+        expected("workday", id="concat(slug, '/job/', cast(k as string))", company="slug", description="''", url="concat('https://', slug, '.wd5.myworkdayjobs.com/Site/job/', cast(k as string))", posted="strftime(date '2024-02-01' - cast(k % 9 + 1 + cast(far as int) as int), '%Y-%m-%d')"), {"today": ("2024-02-01", "date")},
     ),
     "jooble": (lambda t: _pages(t, "struct(k as id, title, company, place as location, url as link, html as snippet, day as updated)", "jobs"), expected("jooble"), {}),
     "careerjet": (lambda t: _pages(t, "struct(title, company, place as locations, url, html as description, day as date)", "jobs", "'type', if(page % 2 = 0, 'JOBS', 'LOCATIONS'), "), expected("careerjet", id="cast(null as string)", where="(k // 50) % 2 = 0"), {}),
@@ -125,6 +124,7 @@ def run(t, name: str) -> DataFrame:
     """The postings of one family's payloads."""
     rows, _, more = FAMILIES[name]
     pages = rows(t)
+    more = {k: F.lit(v[0]).cast(v[1]) if isinstance(v, tuple) else v for k, v in more.items()}
     if "searches" in more:
         more = {"searches": t.spark.createDataFrame(more["searches"], "role string, location string")}
     out = payloads.FAMILIES[name](pages, **more)
