@@ -12,6 +12,8 @@ from .html_extraction import extract
 from .ngram_jaccard import jaccard_components
 from .packing import pack
 from .pii import find
+from .source_divergence import ORACLE_SQL as SOURCE_DIVERGENCE_SQL
+from .source_divergence import divergences
 from .token_counts import count_tokens
 from .toxicity import score, train
 from .url_filter import ORACLE_SQL as URL_FILTER_SQL
@@ -64,6 +66,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergences(_table(spark, sf_dir, "documents"))
+
+
 #: The block list of op6's query.
 BLOCKED_DOMAINS = tuple(f"{name}.example.{top}" for name in ("spam-farm", "cheap-pills", "ads-track", "casino-win", "adult-x", "free-bets") for top in ("com", "net", "org"))
 
@@ -79,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
     "op10_token_counts": op10_token_counts,
+    "op11_source_divergence": op11_source_divergence,
 }
 
 _SHINGLES = """
@@ -113,4 +120,5 @@ ORACLE: dict[str, str] = {
     "op4_ngram_jaccard": JACCARD_SQL,
     "op6_url_filter": URL_FILTER_SQL,
     "op7_embedding_dedup": EMBEDDING_SQL,
+    "op11_source_divergence": SOURCE_DIVERGENCE_SQL,
 }
