@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import leaks
 from .embedding_dedup import near_duplicates
+from .hard_negatives import ORACLE_SQL as HARD_NEGATIVES_SQL
+from .hard_negatives import mine
 from .html_extraction import extract
 from .ngram_jaccard import jaccard_components
 from .packing import pack
@@ -70,6 +72,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergences(_table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine(_table(spark, sf_dir, "embeddings"))
+
+
 #: The block list of op6's query.
 BLOCKED_DOMAINS = tuple(f"{name}.example.{top}" for name in ("spam-farm", "cheap-pills", "ads-track", "casino-win", "adult-x", "free-bets") for top in ("com", "net", "org"))
 
@@ -86,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_token_counts": op10_token_counts,
     "op11_source_divergence": op11_source_divergence,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 _SHINGLES = """
@@ -121,4 +128,5 @@ ORACLE: dict[str, str] = {
     "op6_url_filter": URL_FILTER_SQL,
     "op7_embedding_dedup": EMBEDDING_SQL,
     "op11_source_divergence": SOURCE_DIVERGENCE_SQL,
+    "op13_hard_negatives": HARD_NEGATIVES_SQL,
 }
