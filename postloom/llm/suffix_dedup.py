@@ -240,7 +240,8 @@ def _repeated(texts: DataFrame) -> DataFrame:
         found.append(with_group(keyed, "hs", "row", shared.count(), F.count("*").alias("copies"), having="copies > 1").select("row", "at", "n"))
         differ = with_group(same, "h", "s", same.count(), F.count("*").alias("kinds"), having="kinds > 1")
         differ = materialize(differ.select("first.*", "h", "kinds"), "differ")
-        few, many = differ.where(F.col("kinds") <= HOT_SEGMENTS), differ.where(F.col("kinds") > HOT_SEGMENTS)
+        most = 0 if grain == GRAINS[0] else HOT_SEGMENTS
+        few, many = differ.where(F.col("kinds") <= most), differ.where(F.col("kinds") > most)
         size = few.agg(F.sum(F.col("n") + LEAST - 1)).first()[0] or 0
         if size:
             shards = max(-(-size // SHARD_BYTES), spark.sparkContext.defaultParallelism)
