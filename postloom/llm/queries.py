@@ -16,6 +16,7 @@ from .packing import pack
 from .pii import find
 from .source_divergence import ORACLE_SQL as SOURCE_DIVERGENCE_SQL
 from .source_divergence import divergences
+from .suffix_dedup import dedupe
 from .token_counts import count_tokens
 from .toxicity import score, train
 from .url_filter import ORACLE_SQL as URL_FILTER_SQL
@@ -72,6 +73,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergences(_table(spark, sf_dir, "documents"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe(_table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine(_table(spark, sf_dir, "embeddings"))
 
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_token_counts": op10_token_counts,
     "op11_source_divergence": op11_source_divergence,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
