@@ -73,7 +73,7 @@ class Store:
             if self.filed.get(key):
                 yield self._read(*self.filed[key].pop(0))
             else:
-                rows = self.held[key].pop(0)
+                rows = np.concatenate(self.held.pop(key))
                 self.size -= rows.nbytes
                 yield rows
 
@@ -327,24 +327,29 @@ def suffixes_downwards(text: np.ndarray, alphabet: int, new_store) -> Iterator[t
     tape.close()
 
 
-def repeated_starts(segments: list[bytes], least: int, memory: int = 1 << 28, fs: pyarrow.fs.FileSystem | None = None, folder: str = "") -> list[np.ndarray]:
-    """For each segment, which of its strings of ``least`` bytes start anywhere else in the segments.
+def repeated_starts(segments: list[bytes], least: int, memory: int = 1 << 28, fs: pyarrow.fs.FileSystem | None = None, folder: str = "", middles: tuple[np.ndarray, np.ndarray] | None = None) -> list[np.ndarray]:
+    """For each segment, which of its strings of ``least`` characters start anywhere else in the segments.
 
+    Characters are bytes; ``middles`` may insert one more in each segment, a number before its byte of some place.
     Every segment ends in a character of its own, so nothing common reaches beyond it.  ``memory`` bounds each of the
     queues, tapes included.
     """
     if not 0 < least <= CAP:
-        raise ValueError(f"strings of 1 to {CAP} bytes can be found")
-    sizes = np.array([len(s) for s in segments], np.int64)
+        raise ValueError(f"strings of 1 to {CAP} characters can be found")
+    sizes = np.array([len(s) for s in segments], np.int64) + (middles is not None)
     begin = np.cumsum(sizes + 1) - sizes - 1
     text = np.zeros(int((sizes + 1).sum()) + 1, np.int32)
     ends = begin + sizes
     inside = np.ones(len(text), bool)
     inside[ends], inside[-1] = False, False
-    text[inside] = np.frombuffer(b"".join(segments), np.uint8).astype(np.int32) + (1 + len(segments))
-    text[ends] = 1 + np.arange(len(segments))
+    text[ends], numbers = 1 + np.arange(len(segments)), 1 + len(segments)
+    if middles is not None:
+        inside[begin + middles[0]] = False
+        distinct, number = np.unique(middles[1], return_inverse=True)
+        text[begin + middles[0]], numbers = numbers + number, numbers + len(distinct)
+    text[inside] = np.frombuffer(b"".join(segments), np.uint8).astype(np.int32) + numbers
     found, last = np.zeros(len(text), bool), -1
-    for suffix, common in suffixes_downwards(text, 1 + len(segments) + 256, lambda: Store(memory, fs, folder)):
+    for suffix, common in suffixes_downwards(text, numbers + 256, lambda: Store(memory, fs, folder)):
         again = np.flatnonzero(common >= least)
         found[suffix[again]] = True
         found[np.where(again > 0, suffix[again - 1], last)] = True

@@ -4,12 +4,13 @@ A string that repeats has the same characters wherever it starts, so also the sa
 parts the one of the least hash, the leftmost of equal ones.  The starts that share an anchor lie side by side, and with the bytes
 that their strings cover they make a segment.  Segments go by their anchor's hash, so each shard has all
 segments that could share a string, and no start is in two.  Anchors that are found once are dropped, and equal segments become
-one with a count.  What is left, segments that share an anchor and differ, is sorted suffix by suffix, shard
-by shard, by external induced sorting (``induced_sorting``), whose common prefixes of neighbours tell which starts repeat.
+one with a count.  Segments that share an anchor and differ are cut into pieces of starts that lie less than 32 bytes apart; all
+strings of a piece share the bytes in its middle, which join the key, and for sorting are one character.  Pieces that share the key and
+differ are sorted suffix by suffix, shard by shard, by external induced sorting (``induced_sorting``), whose common
+prefixes of neighbours tell which starts repeat.
 
-An anchor with very many different segments would make one large shard.  Its segments are cut finer instead, into starts that
-lie at most 32, then 8, then one byte apart; all strings of such a piece share the bytes in its middle, which
-join the key.  In pieces of one start these are the whole string, so the cutting always ends.
+A key with very many different pieces would make one large shard.  Its pieces are cut finer, into starts less than 8 bytes apart and then
+into single ones; in those the middle is the whole string, so the cutting always ends.
 
 Texts are never shuffled: they are written once with a number for each row, whose upper bits tell the part; segments to cut
 and starts to remove are written by part, and a task reads those of its own part.
@@ -37,12 +38,12 @@ from .warc import _filesystem
 #: Strings of so many bytes are removed where they repeat.
 LEAST = 200
 ANCHOR = 64
-#: Starts of a piece of a hot anchor's segments, in turn.
+#: Starts of a piece, in turn.
 GRAINS = (32, 8, 1)
-#: Different segments of an anchor that are sorted in one shard.
+#: Different pieces of a key that are sorted in one shard.
 HOT_SEGMENTS = HOT_ROWS
-#: Bytes of a shard, and of each of its queues in memory; bytes that are hashed at a time.
-SHARD_BYTES, QUEUE_BYTES, REGION = 4 << 20, 64 << 20, 1 << 20
+#: Characters of a shard, bytes of each of its queues in memory, and bytes that are hashed at a time.
+SHARD, QUEUE_BYTES, REGION = 1 << 20, 32 << 20, 1 << 20
 _ROW_BITS = 33  # of monotonically_increasing_id, the row in its part
 _BASE = 0x5851F42D4C957F2D
 _SEED = 20240511
@@ -186,8 +187,11 @@ def _finer(texts: DataFrame, path: str, grain: int) -> DataFrame:
     return texts.mapInArrow(run, SEGMENT)
 
 
-def _sorted(texts: DataFrame, path: str, shards: int) -> DataFrame:
-    """(row, at, n): the starts of the segments that were written to ``path`` whose strings repeat in their shard."""
+def _sorted(texts: DataFrame, path: str, grain: int, shards: int) -> DataFrame:
+    """(row, at, n): the starts of the pieces that were written to ``path`` whose strings repeat in their shard.
+
+    Of a string of 200 bytes the shared middle leaves ``grain`` - 1 on both sides together, so strings are of ``grain`` characters.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         beside = _Beside(path)
@@ -196,40 +200,41 @@ def _sorted(texts: DataFrame, path: str, shards: int) -> DataFrame:
             if table is None:
                 continue
             raw, bounds = text_buffer(batch.column(1))
-            at, n = _numbers(table, "at", "n")
-            first, data = at + bounds[place], raw.tobytes()
-            held = pa.array([data[a : a + m - 1 + LEAST] for a, m in zip(first.tolist(), n.tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([table.column(c).combine_chunks() for c in ("h", "row", "at")] + [held], ["h", "row", "at", "bytes"])
+            at, n, ahead = _numbers(table, "at", "n", "ahead")
+            first, left, data = at + bounds[place], ahead % grain, raw.tobytes()
+            middle = LEAST - grain + 1
+            held = [data[a : a + m] + data[a + m + middle : a + k - 1 + LEAST] for a, m, k in zip(first.tolist(), left.tolist(), n.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks() for c in ("h", "row", "at")), pa.array(left, pa.int32()), pa.array(held, pa.binary())], ["h", "row", "at", "left", "bytes"])
 
     spill = new_path(texts.sparkSession, "queues")
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, at, held = [], [], []
+        columns, held = [], []
         for batch in batches:
-            row.append(batch.column(1).to_numpy())
-            at.append(batch.column(2).to_numpy())
-            held += batch.column(3).to_pylist()
+            columns.append([c.to_numpy() for c in batch.columns[:4]])
+            held += batch.column(4).to_pylist()
         if not held:
             return
+        key, row, at, left = (np.concatenate(c) for c in zip(*columns, strict=True))
         fs, folder = _filesystem(spill)
         fs.create_dir(folder, recursive=True)
-        repeated = repeated_starts(held, LEAST, QUEUE_BYTES, fs, folder)
+        repeated = repeated_starts(held, grain, QUEUE_BYTES, fs, folder, (left, key))
         which = np.repeat(np.arange(len(held)), [len(r) for r in repeated])
         flat = np.concatenate(repeated)
         begin = np.flatnonzero(flat & ~(np.r_[False, flat[:-1]] & np.r_[False, which[1:] == which[:-1]]))
         end = np.flatnonzero(flat & ~(np.r_[flat[1:], False] & np.r_[which[1:] == which[:-1], False]))
         first = np.searchsorted(which, which[begin])
-        columns = np.concatenate(row)[which[begin]], np.concatenate(at)[which[begin]] + begin - first, end - begin + 1
+        columns = row[which[begin]], at[which[begin]] + begin - first, end - begin + 1
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int32()), strict=True)], ["row", "at", "n"])
 
-    return texts.mapInArrow(cut, "h long, row long, at int, bytes binary").repartition(shards, "h").mapInArrow(order, "row long, at int, n int")
+    return texts.mapInArrow(cut, "h long, row long, at int, left int, bytes binary").repartition(shards, "h").mapInArrow(order, "row long, at int, n int")
 
 
 def _repeated(texts: DataFrame) -> DataFrame:
     """(row, at, n): runs of n starts in a text whose strings start anywhere else too."""
     spark = texts.sparkSession
     rows, found = texts.mapInArrow(_find, SEGMENT), []
-    for grain in (*GRAINS, None):
+    for grain, finer in zip((None, *GRAINS), (*GRAINS, None), strict=True):
         began = mark()
         rows = materialize(rows, "segments")
         shared = with_group(rows, "h", "row", rows.count(), F.count("*").alias("copies"), having="copies > 1")
@@ -240,15 +245,15 @@ def _repeated(texts: DataFrame) -> DataFrame:
         found.append(with_group(keyed, "hs", "row", shared.count(), F.count("*").alias("copies"), having="copies > 1").select("row", "at", "n"))
         differ = with_group(same, "h", "s", same.count(), F.count("*").alias("kinds"), having="kinds > 1")
         differ = materialize(differ.select("first.*", "h", "kinds"), "differ")
-        most = 0 if grain == GRAINS[0] else HOT_SEGMENTS
+        most = HOT_SEGMENTS if grain else 0
         few, many = differ.where(F.col("kinds") <= most), differ.where(F.col("kinds") > most)
-        size = few.agg(F.sum(F.col("n") + LEAST - 1)).first()[0] or 0
+        size = few.agg(F.sum(F.col("n") + (grain or 0))).first()[0] or 0
         if size:
-            shards = max(-(-size // SHARD_BYTES), spark.sparkContext.defaultParallelism)
-            found.append(_sorted(texts, _by_part(few.drop("kinds"), "few"), shards))
-        if many.isEmpty():
+            shards = max(-(-size // SHARD), spark.sparkContext.defaultParallelism)
+            found.append(_sorted(texts, _by_part(few.drop("kinds"), "few"), grain, shards))
+        if finer is None or many.isEmpty():
             break
-        rows = _finer(texts, _by_part(many.drop("kinds"), "many"), grain)
+        rows = _finer(texts, _by_part(many.drop("kinds"), "many"), finer)
     runs = found[0]
     for f in found[1:]:
         runs = runs.unionByName(f)
