@@ -2,8 +2,13 @@
 
 A posting is the same as another by url, by (source, id), or by content hash.  The merge's outcome depends
 on arrival order, so postings that any key connects are first gathered into components (large-star and
-small-star steps over joins).  Only the first row of each combination of keys can make a key known, so a component's
-first rows are replayed in order by one small grouped function; all other rows follow by joins.
+small-star steps over joins).  Only the first row of each combination of keys can make a key known, so a small component's
+first rows are replayed in order by one grouped function; all other rows follow by joins.
+
+A large component is settled in waves instead: a row is settled once none of the rows before it that share a key with it,
+and could still make that key known, is open.  In a random order of arrival a few waves settle nearly all rows.
+Where a wave settles little, as on a chain in which each row waits for the one before, the first open rows in order of arrival are
+replayed, a bounded number at a time; so no task ever holds a whole large component.
 Blank keys connect nothing, so they cannot make one giant component.
 """
 
@@ -16,9 +21,15 @@ from pyspark.sql import functions as F
 
 from ..components import connected_components
 from ..functions.dates import is_stale
+from ..scratch import materialize
 from ..session import cut
 from ..skew import with_group
 
+#: First rows of a component that one task replays, and open rows that are replayed at a time.
+REPLAY_ROWS = 50_000
+#: The share of the open rows that a wave must settle, or else the first of them are replayed.
+WAVE_SHARE = 0.1
+
 
 def first_by(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """One row for each key, the first in order."""
@@ -78,15 +89,91 @@ def settle(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["via", "seq", "key", "keeper"])
 
 
-def outcomes(rows: DataFrame) -> DataFrame:
+_SETTLED = "via string, seq {kind}, key string, keeper string"
+
+
+def _wave(rows: DataFrame, fresh: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(open rows, settled keys (via, at, keeper)) of one wave.
+
+    ``rows`` are open first rows (at, key, u, i, h, old_u, old_i, old_h); ``fresh`` are the keys that were settled
+    since the last wave.  A row sees a key as known only if it was made known before the row; a row that has found
+    its url or id makes nothing known, whichever it turns out to follow, and so keeps no other row waiting.
+    """
+    found = [F.col(f"old_{c}").isNotNull() for c in "uih"]
+    makes = {"u": ~(found[0] | found[1]), "i": ~(found[0] | found[1] | found[2]), "h": ~(found[0] | found[1] | found[2])}
+    holds = F.explode(F.array(*(F.struct(F.lit(c).alias("kind"), F.col(c).alias("via"), makes[c].alias("makes")) for c in "uih"))).alias("e")
+    kept, none = F.lit(None).cast("string").alias("keeper"), F.lit(None).cast("string").alias("key")
+    edges = rows.select("key", "at", holds).select("key", "e.kind", "e.via", "at", "e.makes", kept).where("via is not null")
+    if fresh is not None:
+        edges = edges.unionByName(fresh.select(none, F.lit(None).cast("string").alias("kind"), "via", "at", F.lit(None).cast("boolean").alias("makes"), "keeper"))
+    edges = materialize(edges, "edges")
+    made = F.col("keeper").isNotNull()
+    sums = [F.min(F.when(made, F.col("at"))).alias("known_at"), F.min_by("keeper", F.when(made, F.col("at"))).alias("known"), F.min(F.when(F.col("makes"), F.col("at"))).alias("first")]
+    met = with_group(edges, "via", "at", edges.count(), *sums).where("key is not null")
+    seen = met.select("key", "kind", F.when(F.col("known_at") < F.col("at"), F.col("known")).alias("known"), (F.col("first") < F.col("at")).alias("waits"))
+    told = seen.groupBy("key").agg(*(F.max(F.when(F.col("kind") == c, F.col("known"))).alias(f"by_{c}") for c in "uih"), *(F.max(F.when(F.col("kind") == c, F.col("waits"))).alias(f"waits_{c}") for c in "uih"))
+    told = rows.join(told, "key", "left").select("at", "key", *"uih", *(F.coalesce(f"old_{c}", f"by_{c}").alias(f"old_{c}") for c in "uih"), *((F.coalesce(f"waits_{c}", F.lit(False)) & F.col(f"old_{c}").isNull()).alias(f"waits_{c}") for c in "uih"))
+    outcome = (
+        F.when(F.col("old_u").isNotNull() | (~F.col("waits_u") & F.col("old_i").isNotNull()), "skipped")
+        .when(F.expr("waits_u or waits_i"), None)
+        .when(F.col("old_h").isNotNull() & F.col("old_i").isNull(), "merged")
+        .when(F.expr("not waits_h and old_i is null"), "inserted")
+    )
+    told = materialize(told.withColumn("outcome", outcome), "wave")
+    vias = F.when(F.col("outcome") == "inserted", F.array(*"uih")).when(F.col("outcome") == "merged", F.array("u"))
+    settled = told.select(F.explode(vias).alias("via"), "at", F.when(F.col("outcome") == "merged", F.col("old_h")).otherwise(F.col("key")).alias("keeper")).where("via is not null")
+    return told.where("outcome is null").select(*rows.columns), settled
+
+
+def settle_in_waves(rows: DataFrame) -> DataFrame:
+    """(via, seq, key, keeper) as ``settle`` gives them, of first rows of components of any size, all together."""
+    kind = dict(rows.dtypes)["seq"]
+    rows = materialize(rows.select(F.struct("seq", "key").alias("at"), "key", *"uih", *(f"old_{c}" for c in "uih")), "open")
+    left, fresh, settled = rows.count(), None, []
+    while left:
+        if left > REPLAY_ROWS:
+            rows, made = _wave(rows, fresh)
+            now = rows.count()
+        else:
+            made, now = None, left
+        if now and now > left * (1 - WAVE_SHARE):
+            rows = _known_before(rows, made if made is not None else fresh)
+            first = materialize(rows.orderBy("at").limit(REPLAY_ROWS).select("at.seq", "key", *"uih", *(f"old_{c}" for c in "uih")), "first")
+            replayed = first.withColumn("_all", F.lit("all")).groupBy("_all").applyInPandas(lambda pdf: settle(pdf), _SETTLED.format(kind=kind))
+            replayed = materialize(replayed.select("via", F.struct("seq", "key").alias("at"), "keeper"), "replayed")
+            rows = materialize(rows.join(F.broadcast(first.select("key")), "key", "left_anti"), "open")  # at most REPLAY_ROWS keys
+            made = replayed if made is None else made.unionByName(replayed)
+            now = rows.count()
+        settled.append(made)
+        left, fresh = now, made
+    out = settled[0] if settled else rows.select(F.col("u").alias("via"), "at", F.col("old_u").alias("keeper")).limit(0)
+    for s in settled[1:]:
+        out = out.unionByName(s)
+    return out.select("via", "at.seq", "at.key", "keeper")
+
+
+def _known_before(rows: DataFrame, fresh: DataFrame | None) -> DataFrame:
+    """Open rows with the keepers of the keys that ``fresh`` made known before them."""
+    if fresh is None:
+        return rows
+    for c in "uih":
+        known = fresh.select(F.col("via").alias(c), F.col("at").alias("_at"), F.col("keeper").alias("_keeper"))
+        rows = rows.join(known, c, "left").withColumn(f"old_{c}", F.coalesce(f"old_{c}", F.when(F.col("_at") < F.col("at"), F.col("_keeper")))).drop("_at", "_keeper")
+    return materialize(rows.select("at", "key", *"uih", *(f"old_{c}" for c in "uih")), "open")
+
+
+def outcomes(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(key, outcome, keeper) of rows (key, seq, url, source, source_job_id, dedupe_hash, is_existing), for each that is not existing.
 
-    Keys are only ever added, and only the first row of a combination of keys can add any, so only those first
+    ``known`` may give keys that are known already as (via, keeper), each once.  Keys are only ever added, and only the first row of a combination of keys can add any, so only those first
     rows are replayed; every other row's outcome follows from when its keys became known.  A key that one row
     alone has finds nothing and is left out, so rows that share just a hash or a url are one combination.
     """
     order = F.struct("seq", "key")
-    edges = cut(_edges(rows, "seq", "is_existing"))
+    edges = _edges(rows, "seq", "is_existing")
+    if known is not None:
+        edges = edges.unionByName(known.select(F.col("keeper").alias("key"), "via", F.lit(None).cast(edges.schema["seq"].dataType).alias("seq"), F.lit(True).alias("is_existing")))
+    edges = cut(edges)
     old = F.min_by(F.when(F.col("is_existing"), F.col("key")), F.when(F.col("is_existing"), order)).alias("old")
     shared = with_group(edges, "via", "key", edges.count(), old, F.count("*").alias("n"), having="n > 1").where("not is_existing")
     kinds = {c: F.col("via").startswith(f"{c}:") for c in "uih"}
@@ -97,7 +184,10 @@ def outcomes(rows: DataFrame) -> DataFrame:
     links = firsts.select("key", F.explode(F.array(*(F.when(F.col(f"old_{c}").isNull(), F.col(c)) for c in "uih"))).alias("via")).where("via is not null")
     labelled = cut(firsts.join(_labels(links).withColumnRenamed("node", "key"), "key", "left"))
     kind = dict(labelled.dtypes)["seq"]
-    mixed = labelled.where("component is not null").groupBy("component").applyInPandas(lambda _, pdf: settle(pdf), f"via string, seq {kind}, key string, keeper string")
+    sized = materialize(with_group(labelled, "component", "key", labelled.count(), F.count("*").alias("size")), "sized")
+    small = sized.where(F.col("size") <= REPLAY_ROWS)
+    mixed = small.groupBy("component").applyInPandas(lambda _, pdf: settle(pdf), _SETTLED.format(kind=kind))
+    mixed = mixed.unionByName(settle_in_waves(sized.where(F.col("size") > REPLAY_ROWS)))
     alone = labelled.where("component is null and old_u is null and old_i is null")
     sets = F.when(F.col("old_h").isNull(), F.array(*"uih")).otherwise(F.array("u"))
     alone = alone.select(F.explode(sets).alias("via"), "seq", "key", F.coalesce("old_h", "key").alias("keeper")).where("via is not null")

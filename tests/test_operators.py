@@ -78,6 +78,30 @@ def test_merge_of_hot_and_mixed_keys_with_existing_rows(spark):
         assert len(got) == 400 and {x.key: (x.outcome, x.keeper, x.source_urls, x.description, x.apply_url) for x in got} == want
 
 
+def tangled(seed, n, spread):
+    """Postings whose keys tie them into one component, in a random order of arrival."""
+    r = random.Random(seed)
+    pick = lambda c: f"{c}{r.randrange(n // spread)}"
+    return [(f"k{i:06d}", i, r.choice("ab"), r.choice(["", pick("j"), pick("j")]), r.choice(["", pick("u"), pick("u"), pick("u")]), None, "d" * r.randint(0, 9), r.choice([pick("h"), f"own{i}"]), None) for i in range(n)]
+
+
+def test_waves_and_bounded_replays_settle_a_large_component(spark, monkeypatch):
+    rows = tangled(3, 150, 2)
+    chain = [(f"c{i:03d}", 1000 + i, "s", f"c{i // 2}", f"c{(i + 1) // 2}", None, "", f"c{i}", None) for i in range(40)]
+    monkeypatch.setattr(resolve, "REPLAY_ROWS", 60)
+    got = resolve.merge(spark.createDataFrame(rows + chain, POSTING).repartition(3), now(), 30)
+    assert {x.key: (x.outcome, x.keeper) for x in got.collect()} == {k: v[:2] for k, v in replayed([(*x[:8], None) for x in rows + chain]).items()}
+
+
+def test_waves_see_existing_rows(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "REPLAY_ROWS", 60)
+    rows = tangled(5, 150, 3)
+    old = [(*x[:4], None, *x[5:8], [x[4], f"u{k}"]) for k, x in enumerate((f"e{y[0]}", y[1] - 1000, *y[2:]) for y in tangled(6, 30, 1))]
+    existing = spark.createDataFrame([x[:8] + (None, x[8]) for x in old], POSTING + ", source_urls array<string>")
+    got = resolve.merge(spark.createDataFrame(rows, POSTING).repartition(3), now(), 30, existing).collect()
+    assert {x.key: (x.outcome, x.keeper) for x in got} == {k: v[:2] for k, v in replayed([(*x[:8], None) for x in rows], old).items()}
+
+
 def test_merge_replays_only_first_rows_of_key_combinations(spark, monkeypatch):
     whole = resolve.settle
 
