@@ -204,21 +204,50 @@ def outcomes(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return out.select("key", outcome.alias("outcome"), F.coalesce("by_u", "by_i", "by_h", "key").alias("keeper"))
 
 
-def merge(incoming: DataFrame, now: F.Column, max_age_days: int, existing: DataFrame | None = None) -> DataFrame:
-    """The outcome of each incoming posting, and its keeper's merged fields.
-
-    Incoming rows need key, seq, source, source_job_id, url, apply_url, description, dedupe_hash and
-    posted_at; existing ones key, source_urls and the rest.  Stale rows take no part.
-    """
+def _told(incoming: DataFrame, now: F.Column, max_age_days: int, existing: DataFrame | None, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame, int]:
+    """Incoming rows with a ``_stale`` mark; fresh and existing rows with outcome and keeper; the number of fresh rows."""
     stale = F.coalesce(is_stale(F.col("posted_at"), now, max_age_days), F.lit(False))
     marked = incoming.withColumn("_stale", stale)
     columns = ["key", "seq", "source", "source_job_id", "url", "apply_url", "description", "dedupe_hash"]
     rows = marked.where("not _stale").select(*columns, F.array("url").alias("source_urls"), F.lit(False).alias("is_existing"))
     if existing is not None:
         rows = rows.unionByName(existing.select(*columns, "source_urls", F.lit(True).alias("is_existing")))
-    found = cut(outcomes(rows.withColumn("url", F.explode_outer("source_urls"))))
+    found = cut(outcomes(rows.withColumn("url", F.explode_outer("source_urls")), known))
     told = rows.join(found, "key", "left").withColumns({"outcome": F.coalesce("outcome", F.lit("existing")), "keeper": F.coalesce("keeper", "key")})
+    return marked, told, found.count()
 
+
+def replay(incoming: DataFrame, now: F.Column, max_age_days: int, existing: DataFrame | None = None, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Outcomes (key, outcome, keeper), keepers (keeper, description, apply_url), and urls (keeper, url, seq, pos).
+
+    The same merge as ``merge``, with a keeper's fields in a row of its own and each of its urls in another, so all three grow
+    with the rows only, whatever the share of one keeper.  Sorted by ``seq`` and ``pos`` a keeper's urls stand as its
+    ``source_urls``; those of existing rows are among them, with a null ``seq``.  ``known`` may give known keys
+    (via, keeper) in place of existing rows; the fields are then those of the incoming rows alone.
+    """
+    marked, told, _ = _told(incoming, now, max_age_days, existing, known)
+    told = materialize(told, "told")
+    first = F.struct(F.col("key") != F.col("keeper"), "seq", "key")
+    text, length = F.col("outcome").isin("existing", "inserted", "merged"), F.length(F.coalesce("description", F.lit("")))
+    fields = [
+        F.min_by(F.when(text, F.col("description")), F.when(text, F.struct(-length, first))).alias("description"),
+        F.coalesce(F.min_by("apply_url", F.when(F.col("apply_url") != "", first)), F.max_by("apply_url", first)).alias("apply_url"),
+    ]
+    keepers = told.groupBy("keeper").agg(*fields)
+    each = told.where(text).select("keeper", F.when(F.col("outcome") != "existing", F.struct("seq", "key")).alias("seq"), F.posexplode("source_urls").alias("pos", "url"))
+    urls = each.groupBy("keeper", "url").agg(F.min(F.struct("seq", "pos")).alias("_at")).select("keeper", "url", "_at.*")
+    old = marked.where("_stale").select("key", F.lit("stale").alias("outcome"), F.lit(None).cast("string").alias("keeper"))
+    return told.where("outcome <> 'existing'").select("key", "outcome", "keeper").unionByName(old), keepers, urls
+
+
+def merge(incoming: DataFrame, now: F.Column, max_age_days: int, existing: DataFrame | None = None) -> DataFrame:
+    """The outcome of each incoming posting beside its keeper's merged fields, all of the keeper's urls among them.
+
+    Incoming rows need key, seq, source, source_job_id, url, apply_url, description, dedupe_hash and
+    posted_at; existing ones key, source_urls and the rest.  Stale rows take no part.  A keeper of many rows has its urls repeated
+    on each; where that is too much, ``replay`` gives them once.
+    """
+    marked, told, total = _told(incoming, now, max_age_days, existing)
     first, base = F.struct(F.col("key") != F.col("keeper"), "seq", "key"), F.col("key") == F.col("keeper")
     texts, length = base | (F.col("outcome") == "merged"), F.length(F.coalesce("description", F.lit("")))
     own = F.max(F.when(base, F.col("source_urls")))
@@ -228,7 +257,7 @@ def merge(incoming: DataFrame, now: F.Column, max_age_days: int, existing: DataF
         F.min_by(F.when(texts, F.col("description")), F.when(texts, F.struct(-length, first))).alias("_description"),
         F.coalesce(F.min_by("apply_url", F.when(F.col("apply_url") != "", first)), F.max_by("apply_url", first)).alias("_apply_url"),
     ]
-    merged = with_group(told, "keeper", "key", found.count(), *fields).where("outcome <> 'existing'")
+    merged = with_group(told, "keeper", "key", total, *fields).where("outcome <> 'existing'")
     merged = merged.select("key", "outcome", "keeper", F.col("_urls").alias("source_urls"), F.col("_description").alias("description"), F.col("_apply_url").alias("apply_url"))
     old = marked.where("_stale").select("key", F.lit("stale").alias("outcome"), F.lit(None).cast("string").alias("keeper"), F.array().cast("array<string>").alias("source_urls"), "description", "apply_url")
     return merged.unionByName(old)

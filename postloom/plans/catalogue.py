@@ -387,6 +387,43 @@ def merge_replay_outcomes(t):
     return resolve.merge(rows, F.current_timestamp(), 30).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
+_REPLAY = """
+with recursive o as (select o_custkey as c, o_orderkey as k, o_orderkey % 10 = 0 as old, row_number() over (partition by o_custkey order by o_orderkey % 10 <> 0, o_orderkey) as n,
+    'u:' || o_custkey || '-' || o_orderkey % 7 as u, case when o_orderkey % 5 = 0 then null else 'i:' || o_custkey || '-' || o_orderkey % 5 end as i, 'h:' || o_custkey || o_orderpriority as h from orders),
+r as (select distinct o_custkey as c, 0::bigint as n, map([]::varchar[], []::bigint[]) as known, null::bigint as k, null::varchar as outcome, null::bigint as keeper from orders
+  union all select r.c, o.n, case when o.old or coalesce(known[o.u], known[o.i], known[o.h]) is null then map_concat(case when o.i is null then map([o.u, o.h], [o.k, o.k]) else map([o.u, o.i, o.h], [o.k, o.k, o.k]) end, known)
+      when coalesce(known[o.u], known[o.i]) is null then map_concat(map([o.u], [known[o.h]]), known) else known end, o.k,
+    case when o.old then 'existing' when coalesce(known[o.u], known[o.i]) is not null then 'skipped' when known[o.h] is not null then 'merged' else 'inserted' end,
+    coalesce(known[o.u], known[o.i], known[o.h], o.k) from r join o on o.c = r.c and o.n = r.n + 1)
+select k as o_orderkey, outcome, keeper from r where n > 0 and outcome <> 'existing'"""
+
+
+def _order_postings(t):
+    """Orders as postings of a customer: urls, ids (blank ones too) and hashes recur among a customer's orders."""
+    cust = F.col("o_custkey").cast("string")
+    job = F.when(F.col("o_orderkey") % 5 == 0, "").otherwise(F.concat_ws("-", cust, F.col("o_orderkey") % 5))
+    return t.orders.select(
+        F.col("o_orderkey").cast("string").alias("key"), F.col("o_orderkey").alias("seq"), F.lit("orders").alias("source"), job.alias("source_job_id"), F.concat_ws("-", cust, F.col("o_orderkey") % 7).alias("url"),
+        F.lit(None).cast("string").alias("apply_url"), F.col("o_orderpriority").alias("description"), F.concat(cust, "o_orderpriority").alias("dedupe_hash"), F.lit(None).cast("timestamp").alias("posted_at"),
+    )
+
+
+@query("merge_replay_layers", _REPLAY)
+def merge_replay_layers(t):
+    rows = _order_postings(t)
+    existing = rows.where("seq % 10 = 0").withColumn("source_urls", F.array("url"))
+    found, _, _ = resolve.replay(rows.where("seq % 10 <> 0"), F.current_timestamp(), 30, existing)
+    return found.select(F.col("key").cast("bigint").alias("o_orderkey"), "outcome", F.col("keeper").cast("bigint").alias("keeper"))
+
+
+@query("merge_keeper_urls", f"with x as ({_REPLAY}) select keeper, count(distinct o_custkey || '-' || o_orderkey % 7) as urls from (select keeper, o_orderkey from x where outcome <> 'skipped' union all select o_orderkey, o_orderkey from orders where o_orderkey % 10 = 0) join orders using (o_orderkey) group by keeper")
+def merge_keeper_urls(t):
+    rows = _order_postings(t)
+    existing = rows.where("seq % 10 = 0").withColumn("source_urls", F.array("url"))
+    _, _, urls = resolve.replay(rows.where("seq % 10 <> 0"), F.current_timestamp(), 30, existing)
+    return urls.groupBy(F.col("keeper").cast("bigint").alias("keeper")).agg(F.count("*").alias("urls"))
+
+
 @query("posting_application_join", "with a as (select o_custkey as job_id, min_by(o_orderkey, (o_orderdate, o_orderkey)) as application_id from orders group by 1) select c_custkey, application_id from customer left join a on job_id = c_custkey")
 def posting_application_join(t):
     made = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("job_id"), F.col("o_orderdate").alias("created_at"))

@@ -78,6 +78,17 @@ def test_merge_of_hot_and_mixed_keys_with_existing_rows(spark):
         assert len(got) == 400 and {x.key: (x.outcome, x.keeper, x.source_urls, x.description, x.apply_url) for x in got} == want
 
 
+def test_replay_gives_fields_and_urls_once(spark):
+    rows = [(f"k{i:03d}", i, "s", "", f"u{i // 2}", "apply" if i == 7 else None, "d" * (i % 11), "hot", None) for i in range(400)]
+    old = spark.createDataFrame([("e", -1, "t", "9", None, None, "dd", "hot", None, ["x1", "x0"])], POSTING + ", source_urls array<string>")
+    for existing, own in ((None, []), (old, ["x1", "x0"])):
+        found, keepers, urls = resolve.replay(spark.createDataFrame(rows, POSTING).repartition(3), now(), 30, existing)
+        keeper = "e" if own else "k000"
+        assert {x.outcome: x.n for x in found.groupBy("outcome").agg(F.count("*").alias("n")).collect()} == ({"merged": 200, "skipped": 200} if own else {"inserted": 1, "merged": 199, "skipped": 200})
+        assert [tuple(x) for x in keepers.collect()] == [(keeper, "d" * 10, "apply")]
+        assert [x.url for x in urls.orderBy("seq", "pos").collect()] == own + [f"u{i}" for i in range(200)]
+
+
 def tangled(seed, n, spread):
     """Postings whose keys tie them into one component, in a random order of arrival."""
     r = random.Random(seed)
