@@ -52,7 +52,7 @@ def probe(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     return out.select(*incoming.columns, F.coalesce("by_url", "by_id", "by_hash").alias("match_id"), layer.alias("layer"))
 
 
-def _edges(postings: DataFrame, *columns: str) -> DataFrame:
+def vias(postings: DataFrame, *columns: str) -> DataFrame:
     """(key, via, columns) for each key that a row may be found by; blank ones are left out."""
     keys = F.array(F.concat(F.lit("u:"), F.nullif("url", F.lit(""))), F.concat(F.lit("i:"), F.col("source"), F.lit(":"), F.nullif("source_job_id", F.lit(""))), F.concat(F.lit("h:"), F.col("dedupe_hash")))
     return postings.select("key", F.explode(keys).alias("via"), *columns).where("via is not null").distinct()
@@ -67,7 +67,7 @@ def _labels(edges: DataFrame) -> DataFrame:
 
 def components(postings: DataFrame) -> DataFrame:
     """Adds ``component``: the least row key among rows that urls, ids or hashes connect, over any number of links."""
-    label = _labels(cut(_edges(postings))).withColumnRenamed("node", "key")
+    label = _labels(cut(vias(postings))).withColumnRenamed("node", "key")
     return postings.join(label, "key", "left").withColumn("component", F.coalesce("component", "key")).where("key is not null")
 
 
@@ -170,7 +170,7 @@ def outcomes(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
     alone has finds nothing and is left out, so rows that share just a hash or a url are one combination.
     """
     order = F.struct("seq", "key")
-    edges = _edges(rows, "seq", "is_existing")
+    edges = vias(rows, "seq", "is_existing")
     if known is not None:
         edges = edges.unionByName(known.select(F.col("keeper").alias("key"), "via", F.lit(None).cast(edges.schema["seq"].dataType).alias("seq"), F.lit(True).alias("is_existing")))
     edges = cut(edges)
