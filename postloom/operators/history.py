@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..prefix import before, in_ranges
+
 OUTCOMES = ("inserted", "merged", "skipped", "stale")
 RETAINED = 200
 
@@ -62,6 +64,16 @@ def merge_spans(spans: DataFrame, *by: str, start: str = "start", end: str = "en
     return rows.groupBy(*by, "_span").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_span")
 
 
+def merge_hot_spans(spans: DataFrame, *by: str, start: str = "start", end: str = "end") -> DataFrame:
+    """As ``merge_spans``, where a group may hold a large share of all spans: groups are split by ranges of their spans."""
+    keys, order = list(by), [start, end]
+    rows = spans.where(F.col(start).isNotNull() & (F.col(end) >= F.col(start))).select(*by, start, end).distinct()
+    rows = before(in_ranges(rows, keys, order), keys, order, _reached=("max", F.col(end)))
+    rows = rows.withColumn("_opens", (F.col("_reached").isNull() | (F.col(start) > F.col("_reached"))).cast("long"))
+    rows = before(rows, keys, order, _span=("sum", F.col("_opens"))).withColumn("_span", F.col("_span") + F.col("_opens"))
+    return rows.groupBy(*by, "_span").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_span")
+
+
 def total_years(spans: DataFrame, *by: str, start: str = "start", end: str = "end") -> DataFrame:
     merged = merge_spans(spans, *by, start=start, end=end)
     return merged.groupBy(*by).agg(F.round(F.sum(F.datediff(end, start)) / 365.25, 1).alias("years"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, extract, regions, text
 from ..operators import applications, assemble, boards, cascade, compare, discovery, history, links, profile, resolve, score, search
-from . import operator_queries, source_queries
+from . import operator_queries, ordered_queries, source_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -540,3 +540,4 @@ for _family, (_, _sql, _) in source_queries.FAMILIES.items():
     query(f"source_{_family}", _sql)(lambda t, name=_family: source_queries.run(t, name))
 
 operator_queries.register(query)
+ordered_queries.register(query)
