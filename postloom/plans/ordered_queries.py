@@ -1,4 +1,4 @@
-"""Queries that follow an order over very large groups, and state that grows by changes; each with its SQL."""
+"""Queries that follow an order over very large groups, state that grows by changes, and JSON of any shape; each with its SQL."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import history, pacing
 from ..scratch import new_path
+from ..sources import json_levels, payloads
 from ..streaming.state import KeyedTable
 
 _PLACED = """
@@ -58,3 +59,29 @@ def register(query) -> None:
             price = F.max_by("o_totalprice", "o_orderkey").cast("double").alias("o_totalprice")
             table.apply(rows.groupBy(F.col("o_custkey").cast("long").alias("o_custkey")).agg(F.max("o_orderkey").cast("long").alias("o_orderkey"), price), version)
         return table.read()
+
+    @query("json_walk_levels", """
+    select p_partkey as k, n, case n when 0 then p_name else p_type end as title, case when n = 0 then p_brand else 'Acme' end as company, case when n = 0 then 'https://x.example/' || p_partkey else 'https://x.example/b' || p_partkey end as url
+    from part, (values (0), (1)) v(n) where case when n = 0 then p_size % 10 <= 8 else p_size % 3 = 0 end""")
+    def json_walk_levels(t):
+        text = lambda c: F.to_json(F.struct(F.col(c).alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col(c).alias("v")))) - 6)
+        url = lambda mark: F.concat(F.lit('"https://x.example/' + mark), F.col("p_partkey").cast("string"), F.lit('"'))
+        # the first posting lies below p_size % 10 lists and an object each second one is in; the other one is two levels deep
+        inner = F.concat(F.lit('{"name":'), text("p_name"), F.lit(',"company":'), text("p_brand"), F.lit(',"url":'), url(""), F.lit(',"deep":{"title":"hidden","url":"https://x.example/no"}}'))
+        deep = F.concat(F.repeat(F.lit("["), F.col("p_size") % 10), inner, F.repeat(F.lit("]"), F.col("p_size") % 10))
+        other = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit('{"job":{"title":'), text("p_type"), F.lit(',"startup":{"name":"Acme"},"jobUrl":'), url("b"), F.lit("}}"))).otherwise(F.lit('{"title":"elsewhere","url":"https://y.example/1"}'))
+        blobs = t.part.select(F.col("p_partkey").alias("k"), F.concat(F.lit('{"a":['), deep, F.lit("],"), F.lit('"b":'), other, F.lit("}")).alias("payload"))
+        found = json_levels.postings_in(blobs, "x.example", "s", ("k",))
+        return found.select("k", F.when(F.col("url").contains("/b"), 1).otherwise(0).alias("n"), "title", "company", "url")
+
+    @query("app_state_pages", """
+    select 'https://www.dice.com/job-detail/' || p_partkey as url, p_name as title, p_brand as company from part where p_size % 3 = 0
+    union all select 'https://www.dice.com/job-detail/b' || p_partkey, p_type, 'Acme' from part where p_size % 3 = 0
+    union all select 'https://www.dice.com/job-detail/' || p_partkey, 'Role ' || p_partkey, '' from part where p_size % 3 <> 0""")
+    def app_state_pages(t):
+        key = F.col("p_partkey").cast("string")
+        nested = F.to_json(F.struct(F.struct(F.array(F.struct(F.col("p_name").alias("jobTitle"), key.alias("guid"), F.col("p_brand").alias("companyName"), F.struct(F.col("p_type").alias("title"), F.concat(F.lit("b"), key).alias("id"), F.struct(F.lit("Acme").alias("name")).alias("company")).alias("more"))).alias("list")).alias("props")))
+        links = F.concat(F.lit('<a href="/job-detail/'), key, F.lit('">Role '), key, F.lit("</a>"))
+        state = F.when(F.col("p_size") % 3 == 0, nested).otherwise('{"props":{"list":[]}}')
+        pages = t.part.select(F.concat(F.lit("https://www.dice.com/p"), key).alias("url"), F.concat(F.lit('<html><script id="__NEXT_DATA__" type="application/json">'), state, F.lit("</script>"), links, F.lit("</html>")).alias("payload"))
+        return payloads.FAMILIES["dice"](pages).select("url", "title", "company")

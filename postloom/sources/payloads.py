@@ -17,6 +17,8 @@ from ..functions.dates import posted_at, relative_date
 from ..functions.extract import absolute, anchors, search_cards, tenant_parts, thread_header
 from ..functions.pages import is_challenge
 from ..functions.text import experience_level, html_to_lines, is_remote, strip_tags, text
+from ..scratch import materialize
+from .json_levels import app_state
 
 RAW_COLUMNS = ("source", "source_job_id", "title", "company", "location", "is_remote", "url", "description", "experience_level", "posted_at_raw")
 #: Levels of one family, locales of another.
@@ -282,9 +284,21 @@ def result_pages(df: DataFrame, source: str, origin: str, path: str, once: str)
     return json_ld(df, source).unionByName(linked)
 
 
+def state_pages(df: DataFrame, source: str, origin: str, path: str, once: str) -> DataFrame:
+    """As ``result_pages``, where a page without JSON-LD postings may embed them as app state, which comes before its links."""
+    pages = df.withColumn("_page", F.xxhash64("url", "payload"))
+    has_ld = F.coalesce(F.col("payload").rlike(r"[\"']@type[\"']\s*:\s*[\"']JobPosting"), F.lit(False))
+    keep = _kept(pages, "_page")
+    stated = materialize(app_state(pages.where(~has_ld & F.col("payload").contains("__NEXT_DATA__")), origin, path, keep), "stated")
+    rest = pages.join(stated.select("_page").distinct(), "_page", "left_anti").drop("_page")
+    got = {c: F.col(c) for c in ("title", "company", "location", "url", "description")}
+    rows = raw(stated, source, id=F.lit(None), posted=F.lit(None), remote=F.lower("location").contains("remote"), **got)
+    return result_pages(rest, source, origin, path, once).unionByName(rows)
+
+
 FAMILIES: dict[str, Projection] = {f.__name__: f for f in (adzuna, jsearch, greenhouse, lever, ashby, smartrecruiters, workable, recruitee, workday, jooble, careerjet, findwork, linkedin, remotive, arbeitnow, remoteok, indeed, weworkremotely, themuse, himalayas, jobicy, hnhiring)} | {
     "wellfound": lambda df: result_pages(df, "wellfound", "https://wellfound.com", "/jobs/", "title"),
-    "dice": lambda df: result_pages(df, "dice", "https://www.dice.com", "/job-detail/", "href"),
+    "dice": lambda df: state_pages(df, "dice", "https://www.dice.com", "/job-detail/", "href"),
 }
 
 
