@@ -60,10 +60,16 @@ def cap_of(ats: Column, caps: dict[str, int] = CAPS, default: int = TOTAL_CAP) -
     return out.otherwise(F.lit(default))
 
 
+def _capped(rows: DataFrame, caps: dict[str, int], default: int) -> DataFrame:
+    """Rows up to their family's cap; the greatest cap is a number, so tasks cut each family to it before rows are shuffled."""
+    return rows.where(F.col("rank") <= max([default, *caps.values()])).where(F.col("rank") <= cap_of(F.col("ats"), caps, default))
+
+
 def ranked(boards: DataFrame, caps: dict[str, int] = CAPS, default: int = TOTAL_CAP) -> DataFrame:
     """Active boards of each family by yield, up to its cap; adds ``rank``."""
     order = W.partitionBy("ats").orderBy(F.desc("last_job_count"), F.desc("total_job_count"), F.desc_nulls_last("last_seen_at"), "slug")
-    return boards.where("active").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cap_of(F.col("ats"), caps, default))
+    rows = boards.where("active").withColumn("rank", F.row_number().over(order))
+    return _capped(rows, caps, default)
 
 
 def assemble(layers: list[DataFrame], caps: dict[str, int] = CAPS, default: int = TOTAL_CAP) -> DataFrame:
@@ -74,7 +80,7 @@ def assemble(layers: list[DataFrame], caps: dict[str, int] = CAPS, default: int
     first = W.partitionBy("ats", F.lower("slug")).orderBy("layer", "pos", "slug")
     kept = rows.where("slug <> ''").withColumn("_n", F.row_number().over(first)).where("_n = 1")
     kept = kept.withColumn("rank", F.row_number().over(W.partitionBy("ats").orderBy("layer", "pos", "slug")))
-    return kept.where(F.col("rank") <= cap_of(F.col("ats"), caps, default)).select("ats", "slug", "rank")
+    return _capped(kept, caps, default).select("ats", "slug", "rank")
 
 
 def summary(boards: DataFrame) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import history, pacing
+from ..functions import preferences
+from ..operators import boards, history, pacing
 from ..scratch import new_path
 from ..sources import json_levels, payloads
 from ..streaming.state import KeyedTable
@@ -85,3 +86,32 @@ def register(query) -> None:
         state = F.when(F.col("p_size") % 3 == 0, nested).otherwise('{"props":{"list":[]}}')
         pages = t.part.select(F.concat(F.lit("https://www.dice.com/p"), key).alias("url"), F.concat(F.lit('<html><script id="__NEXT_DATA__" type="application/json">'), state, F.lit("</script>"), links, F.lit("</html>")).alias("payload"))
         return payloads.FAMILIES["dice"](pages).select("url", "title", "company")
+
+    @query("customer_preferences", """
+    with c as (select c_custkey, case when c_custkey % 3 = 0 then 's' || c_custkey % 2 || case when c_custkey % 5 = 0 then 'n' else 'y' end else 'l' || c_custkey % 5 end as kind from customer),
+    d(kind, places, countries, geos, said) as (values
+      ('s0y', 'London, United Kingdom|Europe|Bath|Remote|United Kingdom|Berlin, Germany|Amsterdam, Netherlands', 'gb,de,nl,fr,es,it,pl', 'uk,europe', 'United Kingdom, Europe, Bath, Remote'),
+      ('s0n', 'London, United Kingdom|Europe|Bath|United Kingdom|Berlin, Germany|Amsterdam, Netherlands', 'gb,de,nl,fr,es,it,pl', 'uk,europe', 'United Kingdom, Europe, Bath'),
+      ('s1y', 'Bath|Remote', 'us', '-', 'Bath, Remote'), ('s1n', 'Bath', 'us', '-', 'Bath'), ('l0', 'Remote|United States', 'us', '-', 'No restriction'),
+      ('l1', 'Bengaluru, India|India', 'in', 'india', 'India'), ('l2', 'Bengaluru, India|Oslo|India', 'in', 'india', 'India, Oslo'), ('l3', 'Bengaluru, India|Oslo|India', 'in', 'india', 'India, Oslo'),
+      ('l4', 'Bengaluru, India|Oslo|Remote|India', 'in', 'india', 'India, Oslo, Remote'))
+    select c_custkey, places, countries, geos, said from c join d using (kind)""")
+    def customer_preferences(t):
+        k, texts = F.col("c_custkey"), lambda *x: F.array(*map(F.lit, x))
+        own = k % 3 == 0
+        regions = F.when(own & (k % 2 == 0), texts("uk", "europe", "nowhere", "uk"))
+        legacy = F.when(~own, F.slice(texts(" India ", "Oslo ", "Anywhere", "Remote (EU)"), 1, (k % 5).cast("int")))
+        p = preferences.normalized(regions, F.when(own, texts(" Bath ", "")), F.when(own & (k % 5 == 0), False), legacy)
+        rows = t.customer.select("c_custkey", p.alias("p"))
+        said = [preferences.search_places(F.col("p")), preferences.countries(F.col("p")), F.transform(preferences.geos(F.col("p")), lambda g: F.coalesce(g, F.lit("-")))]
+        return rows.select("c_custkey", F.array_join(said[0], "|").alias("places"), F.array_join(said[1], ",").alias("countries"), F.array_join(said[2], ",").alias("geos"), preferences.describe(F.col("p")).alias("said"))
+
+    @query("seeds_over_suppliers", """
+    with d as (select case s_suppkey % 3 when 0 then 'lever' when 1 then 'workday' else 'other' end as ats, 's' || s_suppkey as slug, s_suppkey as pos from supplier),
+    n as (select ats, count(*) as found from d group by ats)
+    select 'lever' as ats, 13 + least(287, (select found from n where ats = 'lever')) as n union all select 'workday', 4 + least(26, (select found from n where ats = 'workday'))
+    union all select 'other', least(300, (select found from n where ats = 'other')) union all select 'ashby', 19 union all select 'greenhouse', 35""")
+    def seeds_over_suppliers(t):
+        k = F.col("s_suppkey")
+        found = t.supplier.select(F.when(k % 3 == 0, "lever").when(k % 3 == 1, "workday").otherwise("other").alias("ats"), F.concat(F.lit("s"), k.cast("string")).alias("slug"), k.cast("int").alias("pos"))
+        return boards.assemble([boards.seeds(t.spark), found]).groupBy("ats").agg(F.count("*").alias("n"))
