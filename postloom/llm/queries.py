@@ -16,6 +16,7 @@ from .packing import pack
 from .pii import find
 from .source_divergence import ORACLE_SQL as SOURCE_DIVERGENCE_SQL
 from .source_divergence import divergences
+from .suffix_dedup import ORACLE_SQL as SUFFIX_DEDUP_SQL
 from .suffix_dedup import dedupe
 from .token_counts import count_tokens
 from .toxicity import score, train
@@ -134,5 +135,6 @@ ORACLE: dict[str, str] = {
     "op6_url_filter": URL_FILTER_SQL,
     "op7_embedding_dedup": EMBEDDING_SQL,
     "op11_source_divergence": SOURCE_DIVERGENCE_SQL,
+    "op12_suffix_dedup": SUFFIX_DEDUP_SQL,
     "op13_hard_negatives": HARD_NEGATIVES_SQL,
 }

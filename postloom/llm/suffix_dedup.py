@@ -301,3 +301,19 @@ def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
             yield pa.RecordBatch.from_arrays(columns + [pa.array(left, pa.binary())] * keep_text, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text)
 
     return texts.mapInArrow(remove, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
+
+
+#: Texts as hexadecimal; windows are read from stretches of 256 starts, as reading from a long text's middle is slow.
+ORACLE_SQL = """
+with d as (select row_number() over () as id, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+c as (select id, length(h) // 2 - 199 as n, unnest(range(0, (length(h) // 2 - 199 + 255) // 256)) as c, h from d where length(h) >= 400),
+b as (select id, 256 * c as off, least(256, n - 256 * c) as n, substr(h, 512 * c + 1, 910) as h from c),
+w as (select id, off, unnest(range(0, n)) as j, h from b),
+m as (select id, off + j as i, md5(substr(h, 2 * j + 1, 400)) as m from w),
+r as (select id, i from m where m in (select m from m group by m having count(*) > 1)),
+n as (select *, coalesce(i > lag(i) over (partition by id order by i) + 200, true) as opens from r),
+g as (select *, sum(cast(opens as int)) over (partition by id order by i) as k from n),
+s as (select id, min(i) as a, max(i) + 200 as b from g group by id, k),
+p as (select *, coalesce(lag(b) over (partition by id order by a), 0) as before from s),
+k as (select d.id, any_value(d.doc_id) as doc_id, any_value(d.h) as h, coalesce(sum(b - a), 0) as n_removed, count(p.a) as n_spans, coalesce(max(b), 0) as last, coalesce(string_agg(substr(d.h, 2 * before + 1, 2 * (a - before)), '' order by a), '') as kept from d left join p using (id) group by d.id)
+select doc_id, cast(length(h) // 2 as bigint) as n_bytes, cast(n_removed as bigint) as n_removed, cast(n_spans as bigint) as n_spans, sha256(unhex(kept || substr(h, 2 * last + 1))) as kept_sha256 from k"""
