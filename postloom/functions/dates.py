@@ -54,5 +54,5 @@ def month(said: Column, today: Column, is_end: bool = False) -> Column:
 
 
 def entry_years(years: Column, start: Column, end: Column) -> Column:
-    """Stated years win; otherwise days between the dates over 365.25, to one decimal (half up)."""
-    return F.coalesce(years, F.round(F.greatest(F.datediff(end, start), F.lit(0)) / 365.25, 1))
+    """Stated years win; otherwise days between the dates over 365.25, to one decimal (half up); null without a span."""
+    return F.coalesce(years, F.when(end >= start, F.round(F.datediff(end, start) / 365.25, 1)))

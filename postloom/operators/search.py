@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.regions import search_location
+from ..scratch import new_path
 
 VISIBLE = ("new", "matched", "filtered_out", "docs_generated")
 PAGE = 50
@@ -55,6 +56,34 @@ def page(postings: DataFrame, q: Query, size: int = PAGE) -> DataFrame:
     return matching(postings, q).orderBy(*order(q.sort)).offset(q.page * size).limit(size)
 
 
+class Pages:
+    """Any page of a search, read from its own range of the order alone.
+
+    The matching rows are written once, by ranges of the order; a histogram of the ranges (a number for each, kept on the driver)
+    tells which of them a page lies in.  A page then sorts those ranges only, however deep it is.
+    """
+
+    def __init__(self, postings: DataFrame, q: Query, ranges: int = 200, size: int = PAGE):
+        self.spark, self.order, self.size, self.path = postings.sparkSession, order(q.sort), size, new_path(postings.sparkSession, "pages")
+        rows = matching(postings, q).repartitionByRange(ranges, *self.order).withColumn("_range", F.spark_partition_id())
+        self.schema = rows.drop("_range").schema
+        rows.write.parquet(self.path, partitionBy="_range")
+        written = self.spark.read.schema(rows.schema).parquet(self.path)
+        self.counts = sorted((r["_range"], r["n"]) for r in written.groupBy("_range").agg(F.count("*").alias("n")).collect())
+
+    def page(self, number: int) -> DataFrame:
+        """The rows of a page, in order; none beyond the last one."""
+        low, high, before, paths, skipped = number * self.size, (number + 1) * self.size, 0, [], 0
+        for part, n in self.counts:
+            if before < high and before + n > low:
+                skipped = skipped if paths else low - before
+                paths.append(f"{self.path}/_range={part}")
+            before += n
+        if not paths:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*paths).orderBy(*self.order).offset(skipped).limit(self.size)
+
+
 def total(postings: DataFrame, q: Query) -> int:
     return matching(postings, q).count()
 

@@ -1,11 +1,12 @@
-"""Queries that follow an order over very large groups, state that grows by changes, and JSON of any shape; each with its SQL."""
+"""Queries that follow an order over very large groups, state that grows by changes, JSON of any shape, boards and previews; each with its SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..backfill import backfill
 from ..functions import preferences
-from ..operators import boards, history, pacing
+from ..operators import applications, boards, discovery, history, pacing, profile, search
 from ..scratch import new_path
 from ..sources import json_levels, payloads
 from ..streaming.state import KeyedTable
@@ -115,3 +116,54 @@ def register(query) -> None:
         k = F.col("s_suppkey")
         found = t.supplier.select(F.when(k % 3 == 0, "lever").when(k % 3 == 1, "workday").otherwise("other").alias("ats"), F.concat(F.lit("s"), k.cast("string")).alias("slug"), k.cast("int").alias("pos"))
         return boards.assemble([boards.seeds(t.spark), found]).groupBy("ats").agg(F.count("*").alias("n"))
+
+    @query("deep_result_page", "select l_orderkey * 10 + l_linenumber as id, l_extendedprice as score from lineitem where l_quantity > 5 order by l_extendedprice desc nulls last, l_orderkey * 10 + l_linenumber limit 50 offset 20000")
+    def deep_result_page(t):
+        none = F.lit(None).cast("timestamp")
+        rows = t.lineitem.where("l_quantity > 5").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_extendedprice").alias("llm_score"), F.lit("new").alias("status"), none.alias("posted_at"), none.alias("fetched_at"))
+        return search.Pages(rows, search.Query()).page(400).select("id", F.col("llm_score").alias("score"))
+
+    @query("documents_by_type", "select l_orderkey, l_returnflag, l_linenumber from lineitem")
+    def documents_by_type(t):
+        papers = t.lineitem.select(F.col("l_orderkey").alias("application_id"), F.col("l_returnflag").alias("type"), F.col("l_linenumber").alias("version"))
+        return applications.documents_by_type(papers).select(F.col("application_id").alias("l_orderkey"), F.col("type").alias("l_returnflag"), F.col("version").alias("l_linenumber"))
+
+    @query("role_previews", """
+    select p_partkey as id, 0 as pos, p_name || ' @ ' || p_brand as label, 'Jan 2020 – 2021-01' as dates, 1.0::double as years from part
+    union all select p_partkey, 1, '? @ ' || p_type, case when p_size % 2 = 0 then '03/2022' else '' end, case when p_size % 2 = 0 then round(date_diff('day', date '2022-03-01', date '2024-02-01') / 365.25, 1) end from part""")
+    def role_previews(t):
+        texts = "role string, title string, company string, start_date string, end_date string, years double"
+        none = F.lit(None).cast("string")
+        first = F.struct(none.alias("role"), F.col("p_name").alias("title"), F.col("p_brand").alias("company"), F.lit("Jan 2020").alias("start_date"), F.lit("2021-01").alias("end_date"), F.lit(None).cast("double").alias("years"))
+        second = F.struct(none.alias("role"), F.lit("").alias("title"), F.col("p_type").alias("company"), F.when(F.col("p_size") % 2 == 0, "03/2022").alias("start_date"), none.alias("end_date"), F.lit(None).cast("double").alias("years"))
+        held = t.part.select(F.col("p_partkey").alias("id"), F.array(first, second).cast(f"array<struct<{texts.replace(' ', ':').replace(',:', ',')}>>").alias("experience"))
+        return profile.role_previews(held, F.lit("2024-02-01").cast("date"))
+
+    @query("community_lists", "select distinct case p_partkey % 3 when 0 then 'lever' when 1 then 'greenhouse' else 'ashby' end as ats, 'b' || p_size as slug from part union select 'lever', 'known'")
+    def community_lists(t):
+        k, n = F.col("p_partkey") % 3, F.col("p_size").cast("string")
+        base = F.when(k == 0, "https://jobs.lever.co/B").when(k == 1, "https://boards.greenhouse.io/B").otherwise("https://jobs.ashbyhq.com/B")
+        lists = t.part.select(F.concat(F.lit("| Acme | [apply]("), base, n, F.lit("/1) |\n| old | https://jobs.lever.co/ |")).alias("value"))
+        known = t.spark.createDataFrame([("lever", "known", 0)], "ats string, slug string, pos int")
+        return discovery.harvest(lists, known).select("ats", "slug")
+
+    @query("offline_backfill", "select (select count(*) from part) as jobs_scanned, (select count(*) from part where p_partkey % 5 = 0) as jobs_given_apply_url, (select count(distinct p_size) from part where p_partkey % 2 = 0) as boards_found")
+    def offline_backfill(t):
+        k = F.col("p_partkey")
+        link = F.concat(F.lit("https://jobs.lever.co/b"), F.col("p_size").cast("string"), F.lit("/1"))
+        postings = t.part.select(F.lit("adzuna").alias("source"), F.when(k % 5 == 0, "https://www.adzuna.com/details/1").otherwise("https://acme.example/x").alias("url"), F.when(k % 5 == 0, "https://acme.example/y").alias("apply_url"), F.when(k % 2 == 0, link).otherwise("no link").alias("description"))
+        known = t.spark.createDataFrame([], "ats string, slug string, pos int")
+        return backfill(postings, known)[1].select("jobs_scanned", "jobs_given_apply_url", "boards_found")
+
+    @query("all_adapters", "select 'jooble' as source, p_name as title, 'https://x.example/a' || p_partkey as url from part union all select 'greenhouse', p_type, 'https://x.example/b' || p_partkey from part")
+    def all_adapters(t):
+        key = F.col("p_partkey").cast("string")
+        blank = F.lit("")
+        one = t.part.select(F.to_json(F.struct(F.array(F.struct(key.alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("company"), blank.alias("location"), F.concat(F.lit("https://x.example/a"), key).alias("link"), blank.alias("snippet"))).alias("jobs"))).alias("payload"))
+        two = t.part.select(F.to_json(F.struct(F.array(F.struct(F.col("p_partkey").alias("id"), F.col("p_type").alias("title"), F.concat(F.lit("https://x.example/b"), key).alias("absolute_url"), blank.alias("content"), F.struct(blank.alias("name")).alias("location"))).alias("jobs"))).alias("payload"), F.lit("s").alias("slug"))
+        return payloads.union_all([payloads.FAMILIES["jooble"](one), payloads.FAMILIES["greenhouse"](two)]).select("source", "title", "url")
+
+    @query("scorer_prompts", "select doc_id, 'Posting: ' || coalesce(source, '') || chr(10) || 'Company: ' || coalesce(lang, '') || chr(10) || 'Place: ' || chr(10) || 'Wanted roles: dev, cook' || chr(10) || 'Skills: sql' || chr(10) || 'Description:' || chr(10) || left(coalesce(text, ''), 4000) as prompt from documents")
+    def scorer_prompts(t):
+        texts = lambda *x: F.array(*map(F.lit, x))
+        return t.documents.select("doc_id", profile.prompt(F.col("source"), F.col("lang"), F.lit(""), F.col("text"), texts("dev", "cook"), texts("sql")).alias("prompt"))

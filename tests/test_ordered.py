@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from postloom import prefix
-from postloom.operators import history, pacing
+from postloom.operators import history, pacing, search
 
 
 def test_running_aggregates_cross_ranges(spark):
@@ -48,3 +48,19 @@ def test_hot_spans_equal_the_window(spark):
     key = lambda x: tuple((v is None, v) for v in x)
     assert sorted(map(tuple, history.merge_hot_spans(df, "g").collect()), key=key) == sorted(map(tuple, history.merge_spans(df, "g").collect()), key=key)
     assert history.merge_hot_spans(df.limit(0), "g").count() == 0
+
+
+def test_pages_read_only_their_ranges(spark):
+    r = random.Random(4)
+    rows = [(f"{k:04d}", r.choice((None, 1.0, 2.0, float(r.randrange(50)))), "matched", None, None) for k in range(1000)]
+    df = spark.createDataFrame(rows, "id string, llm_score double, status string, posted_at timestamp, fetched_at timestamp").repartition(5)
+    for sort in ("score_desc", "score_asc", "unknown"):
+        q = search.Query(sort=sort)
+        pages = search.Pages(df, q, ranges=16, size=30)
+        assert len(pages.counts) > 8
+        for k in (0, 1, 17, 33, 34, 500):
+            q_k = search.Query(sort=sort, page=k)
+            page = pages.page(k)
+            assert [x.id for x in page.collect()] == [x.id for x in search.page(df, q_k, 30).collect()]
+            assert len({f.split("_range=")[1].split("/")[0] for f in page.inputFiles()}) <= 3
+    assert search.Pages(df.limit(0), search.Query()).page(0).count() == 0
