@@ -1,10 +1,12 @@
 """Toxicity: a linear classifier of character n-grams scaled by naive Bayes log-count ratios.
 
-A text's features are the distinct n-grams (three to five characters, lower-cased, white space as one
-kind of character) that it holds, hashed to buckets.  Over labelled rows each bucket's documents are
-counted for both labels; its log-count ratio r = log((p + a) / (P + 2a)) - log((q + a) / (N + 2a))
-scales it.  The buckets that tell the labels apart best are kept, and a logistic regression is fitted on
-the scaled features.  Every whole text is scored, in one pass with no shuffle.
+A text's n-grams (three to five characters, lower-cased, white space as one kind of character) are hashed
+to buckets.  Its features are the pairs of a bucket and a level that it reaches: the bucket occurs at least
+once, twice, four or eight times, as a word that toxic texts repeat can be a chance word of clean ones.  Over labelled
+rows each feature's documents are counted for both labels; its log-count ratio
+r = log((p + a) / (P + 2a)) - log((q + a) / (N + 2a)) scales it.  The features that tell the labels apart best
+are kept, and a logistic regression, in which both labels weigh the same, is fitted on the scaled features
+until it stands still.  Every whole text is scored, in one pass with no shuffle.
 
 Only the fit works on a sample: at most SAMPLE rows of each label, taken by a hash of the id.
 """
@@ -23,24 +25,28 @@ from ..scratch import materialize, small_batches
 
 ORDERS = (3, 4, 5)
 BUCKET_BITS = 22
+#: Occurrences of a bucket that are a feature each.
+LEVELS = (1, 2, 4, 8)
 #: The most labelled rows of each label that are fitted on.
 SAMPLE = 4000
-#: The most buckets that are kept.
+#: The most features that are kept, and the fewest rows that one must be in.
 FEATURES = 6000
+SUPPORT = 2
 SMOOTHING = 1.0
-PENALTY = 0.02
+#: Chosen on folds of the fitted rows of sf0.1, as LEVELS was.
+PENALTY = 10.0
 THRESHOLD = 0.7
 SPAN = 1 << 18  # characters that are hashed at a time
 
 
 class Model(NamedTuple):
-    buckets: np.ndarray  # sorted
-    weights: np.ndarray  # of the buckets, with the ratios in them
+    features: np.ndarray  # sorted: a level's place and a bucket
+    weights: np.ndarray  # of the features, with the ratios in them
     bias: float
 
 
 def _hashed(texts: list[str], wanted: np.ndarray | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, n-grams' rows, n-grams' buckets) of the wanted buckets, for spans of rows; a long text comes in overlapping parts."""
+    """(first row, n-grams' rows, n-grams' buckets) of the wanted buckets, for spans of rows; a long text comes in parts, each with the n-grams that begin in it."""
     at = 0
     while at < len(texts):
         part, size, first = [], 0, at
@@ -64,16 +70,27 @@ def _hashed(texts: list[str], wanted: np.ndarray | None) -> Iterator[tuple[int,
                     buckets = mixed >> np.uint32(32 - BUCKET_BITS)
                     hit = np.arange(len(h)) if wanted is None else np.flatnonzero(wanted[buckets])
                     hit = hit[rows[hit] == rows[hit + n - 1]]
+                    if len(cuts) > len(part):
+                        hit = hit[hit < step]
                     yield first, rows[hit], buckets[hit]
 
 
-def _distinct(texts: list[str], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) pairs, each once; of the wanted buckets only, if given."""
-    found = [np.zeros(0, np.int64)]
-    for first, rows, buckets in _hashed(texts, wanted):
-        found.append(np.unique((rows.astype(np.int64) + first) << BUCKET_BITS | buckets))
-    pairs = np.unique(np.concatenate(found))
-    return pairs >> BUCKET_BITS, pairs & (1 << BUCKET_BITS) - 1
+def _features(texts: list[str], features: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, feature) pairs, each once; of the given features only, as places among them, if given."""
+    keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for first, rows, buckets in _hashed(texts, None if features is None else _table(features)):
+        key, count = np.unique((rows.astype(np.int64) + first) << BUCKET_BITS | buckets, return_counts=True)
+        keys.append(key)
+        counts.append(count)
+    key, place = np.unique(np.concatenate(keys), return_inverse=True)
+    count = np.bincount(place, np.concatenate(counts), len(key))
+    level, at = np.nonzero(count >= np.array(LEVELS)[:, None])
+    rows, found = key[at] >> BUCKET_BITS, level << BUCKET_BITS | key[at] & (1 << BUCKET_BITS) - 1
+    if features is None:
+        return rows, found
+    place = np.searchsorted(features, found)
+    there = features[np.minimum(place, len(features) - 1)] == found if len(features) else np.zeros(0, bool)
+    return rows[there], place[there]
 
 
 def _texts(column: pa.Array) -> list[str]:
@@ -81,36 +98,65 @@ def _texts(column: pa.Array) -> list[str]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros((2, 1 << BUCKET_BITS), np.int32)
+    counts = np.zeros((2, len(LEVELS) << BUCKET_BITS), np.int32)
     for batch in batches:
         labels = batch.column(0).to_numpy(zero_copy_only=False)
-        rows, buckets = _distinct(_texts(batch.column(1)))
-        for label in (0, 1):
-            counts[label] += np.bincount(buckets[labels[rows] == label], minlength=1 << BUCKET_BITS).astype(np.int32)
+        rows, found = _features(_texts(batch.column(1)))
+        np.add.at(counts, (labels[rows], found), 1)
     some = np.flatnonzero(counts.any(axis=0))
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[0, some].astype(np.int64)), pa.array(counts[1, some].astype(np.int64))], ["bucket", "q", "p"])
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[0, some].astype(np.int64)), pa.array(counts[1, some].astype(np.int64))], ["feature", "q", "p"])
 
 
-def _table(buckets: np.ndarray) -> np.ndarray:
+def _table(features: np.ndarray) -> np.ndarray:
     wanted = np.zeros(1 << BUCKET_BITS, bool)
-    wanted[buckets] = True
+    wanted[features & (1 << BUCKET_BITS) - 1] = True
     return wanted
 
 
 def _fit(rows: np.ndarray, features: np.ndarray, scale: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression of the scaled features by accelerated gradient descent."""
-    n, weights, bias = len(labels), np.zeros(len(scale)), 0.0
-    value, ahead, ahead_bias, turn = scale[features].astype(np.float32), weights, bias, 1.0
-    norm = np.bincount(rows, value**2, n).max(initial=0) + 1
-    rate = 1 / (norm / 4 / 16 + PENALTY)
-    for _ in range(200):
-        miss = 1 / (1 + np.exp(-np.clip(np.bincount(rows, value * ahead[features], n) + ahead_bias, -30, 30))) - labels
-        step = ahead - rate * (np.bincount(features, value * miss[rows], len(scale)) / n + PENALTY / n * ahead)
-        step_bias = ahead_bias - rate * miss.mean()
-        after = (1 + (1 + 4 * turn * turn) ** 0.5) / 2
-        ahead, ahead_bias = step + (turn - 1) / after * (step - weights), step_bias + (turn - 1) / after * (step_bias - bias)
-        weights, bias, turn = step, step_bias, after
-    return weights, bias
+    """Logistic regression of the scaled features by Newton steps, whose equations conjugate gradients solve.
+
+    Both labels weigh the same in all, so a score of 0.5 is even odds between them.
+    """
+    n, most, value = len(labels), len(scale), scale[features]
+    weigh = np.where(labels == 1, (n - labels.sum()) / max(labels.sum(), 1), 1.0)
+    penalty = np.append(np.full(most, PENALTY), 1e-6)
+
+    def margin(theta: np.ndarray) -> np.ndarray:
+        return np.bincount(rows, value * theta[features], n) + theta[-1]
+
+    def gather(of_rows: np.ndarray) -> np.ndarray:
+        return np.append(np.bincount(features, value * of_rows[rows], most), of_rows.sum())
+
+    def loss(theta: np.ndarray, m: np.ndarray) -> float:
+        return float(weigh @ (np.logaddexp(0, m) - labels * m) + penalty @ theta**2 / 2)
+
+    theta = np.zeros(most + 1)
+    m = margin(theta)
+    now = loss(theta, m)
+    for _ in range(50):
+        likely = 1 / (1 + np.exp(-np.clip(m, -40, 40)))
+        slope = gather(weigh * (likely - labels)) + penalty * theta
+        bend = weigh * likely * (1 - likely)
+        step, rest = np.zeros(most + 1), -slope
+        along, size = rest, rest @ rest
+        goal = 1e-6 * size
+        for _ in range(100):
+            if size <= goal:
+                break
+            bent = gather(bend * (np.bincount(rows, value * along[features], n) + along[-1])) + penalty * along
+            far = size / (along @ bent)
+            step, rest = step + far * along, rest - far * bent
+            along, size = rest + rest @ rest / size * along, rest @ rest
+        part = 1.0
+        while part > 1e-6 and loss(theta + part * step, margin(theta + part * step)) > now:
+            part /= 2
+        theta = theta + part * step
+        m = margin(theta)
+        before, now = now, loss(theta, m)
+        if before - now <= 1e-9 * before:
+            break
+    return theta[:-1], float(theta[-1])
 
 
 def held_out(id_col: F.Column | str) -> F.Column:
@@ -138,32 +184,31 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = rows.groupBy("doc_id").agg(F.first("label").alias("label"), F.min("text").alias("text")).select("label", "text")  # rows that repeat an id count once, so the bound holds
     rows = materialize(rows, "labelled").repartition(max(1, min(64, spark.sparkContext.defaultParallelism)))
 
-    counts = rows.mapInArrow(_count, "bucket long, q long, p long").groupBy("bucket").agg(F.sum("q").alias("q"), F.sum("p").alias("p"))
+    counts = rows.mapInArrow(_count, "feature long, q long, p long").groupBy("feature").agg(F.sum("q").alias("q"), F.sum("p").alias("p"))
     size = {r["label"]: r["c"] for r in rows.groupBy("label").agg(F.count("*").alias("c")).collect()}
     n, m, a = size.get(0, 0), size.get(1, 0), SMOOTHING
     p, q = F.col("p"), F.col("q")
     off = p * n - q * m
     apart = off * off / ((p + q) * (n + m - p - q) + 1)
-    best = counts.where(p + q >= 2).withColumn("apart", apart).orderBy(F.desc("apart"), "bucket").limit(FEATURES).toPandas().sort_values("bucket")
-    buckets = best["bucket"].to_numpy()
+    best = counts.where(p + q >= SUPPORT).withColumn("apart", apart).orderBy(F.desc("apart"), "feature").limit(FEATURES).toPandas().sort_values("feature")
+    kept = best["feature"].to_numpy()
     ratio = np.log((best["p"].to_numpy() + a) / (m + 2 * a)) - np.log((best["q"].to_numpy() + a) / (n + 2 * a))
 
-    shared = spark.sparkContext.broadcast(buckets)
+    shared = spark.sparkContext.broadcast(kept)
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = _table(shared.value)
         for batch in batches:
-            at, found = _distinct(_texts(batch.column(1)), wanted)
-            found = np.searchsorted(shared.value, found).astype(np.int32)
+            at, found = _features(_texts(batch.column(1)), shared.value)
+            order = np.argsort(at, kind="stable")
+            at, found = at[order], found[order].astype(np.int32)
             edges = np.searchsorted(at, np.arange(batch.num_rows + 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([found[i:j].tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], ["label", "found"])
 
-    fitted = rows.mapInArrow(sparse, "label int, found binary").toPandas()  # at most 2 * sample rows of kept buckets
+    fitted = rows.mapInArrow(sparse, "label int, found binary").toPandas()  # at most 2 * sample rows of kept features
     found = [np.frombuffer(x, np.int32) for x in fitted["found"]]
     at = np.repeat(np.arange(len(found)), [len(x) for x in found])
     weights, bias = _fit(at, np.concatenate([np.zeros(0, np.int32), *found]), ratio, fitted["label"].to_numpy(float))
-    bias += float(np.log(totals[1] / totals[0]) - np.log(max(m, 1) / max(n, 1)))  # the sample's share of labels is not the table's
-    return Model(buckets, weights * ratio, bias)
+    return Model(kept, weights * ratio, bias)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -202,12 +247,11 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold:
 
 
 def _scorer(model: Model) -> Callable[[pa.Array], np.ndarray]:
-    buckets, weights, bias = model
-    wanted = _table(buckets)
+    features, weights, bias = model
 
     def score_column(column: pa.Array) -> np.ndarray:
-        rows, found = _distinct(_texts(column), wanted)
-        total = np.bincount(rows, weights[np.searchsorted(buckets, found)], len(column)) if len(found) else np.zeros(len(column))
+        rows, found = _features(_texts(column), features)
+        total = np.bincount(rows, weights[found], len(column)) if len(found) else np.zeros(len(column))
         return 1 / (1 + np.exp(-np.clip(total + bias, -40, 40)))
 
     return score_column
