@@ -30,7 +30,7 @@ _BOGUS = re.compile(r"<!\[CDATA\[.*?\]\]>|<[!?/][^>]*+>", re.S)
 _ATTRIBUTE = re.compile(r"""[\s/]*+([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+)))?+""")
 _RAW_END = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*>", re.I) for x in RAW}
 _SPACE = re.compile(r"\s+")
-_WORD = re.compile(r"[a-z]+")
+_WORD = re.compile(r"[A-Z]*[a-z]+|[A-Z]+")  # a change of case begins a word
 
 
 class Node:
@@ -57,7 +57,7 @@ def _words(attributes: str) -> tuple[str, ...]:
     out: list[str] = []
     for m in _ATTRIBUTE.finditer(attributes):
         if m[1].lower() in ("class", "id", "role"):
-            out += _WORD.findall((m[2] or m[3] or m[4] or "").lower())
+            out += [w.lower() for w in _WORD.findall(m[2] or m[3] or m[4] or "")]
     return tuple(out)
 
 
@@ -76,7 +76,8 @@ def blocks(page: str) -> list[Block]:
 
     A missing head or body tag, attribute values with stray quotes, tags that close themselves, and comments
     and tags without an end are read as browsers do or, where those would show nothing, as little
-    markup as possible.
+    markup as possible.  Text that a browser would hide (``hidden``, ``display:none``) is text like any other, as
+    pages show such parts later.
     """
     out: list[Block] = []
     path: list[Node] = []

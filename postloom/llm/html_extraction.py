@@ -1,6 +1,7 @@
 """Main text of web pages by a linear-chain conditional random field over DOM leaf blocks.
 
-Each block has binary features of its ancestors' tags and class words and of its text; a form that holds
+Each block has binary features of its ancestors' tags and class words and of its text; a compound word counts as the
+known word that it begins with; a form that holds
 most of the page counts as a wrapper, and standing outside an article counts only on pages that have one.  The chain has
 weights for features and for neighbouring labels.  It is trained by maximum likelihood
 (forward-backward) on labelled pages and decoded by Viterbi.  The tables hold no labelled pages, so the
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from .html_blocks import Block, Node, blocks
 from ..scratch import small_batches
 
-TRAINING_PAGES = 500
-PENALTY = 1e-4
+TRAINING_PAGES = 1000
+PENALTY = 2e-5
 STEPS = 250
 
 #: Words in class, id and role attributes that are features, as found in common page designs.
@@ -43,6 +44,13 @@ _PARENT = {x: _AT[f"at {x}"] for x in PARENTS}
 _WORDS = {x: _AT[f"word {x}"] for x in (*MAIN_WORDS, *OTHER_WORDS)}
 
 
+@lru_cache(1 << 14)
+def _word(word: str) -> int:
+    """The feature of a class word, or of the longest known word of three letters or more that it begins with, as a bit; 0 if none."""
+    known = max((x for x in _WORDS if x == word or (len(x) > 2 and x != "ads" and word.startswith(x))), key=len, default=None)
+    return 0 if known is None else 1 << _WORDS[known]
+
+
 def _of_node(node: Node | None) -> tuple[int, bool]:
     """A bit for each feature of an element and its ancestors, and whether one of them is an article."""
     chain = []
@@ -55,8 +63,7 @@ def _of_node(node: Node | None) -> tuple[int, bool]:
             bits |= 1 << _IN[x.tag]
         if x.tag not in ("html", "body"):  # their words speak of the whole page
             for w in x.words:
-                if w in _WORDS:
-                    bits |= 1 << _WORDS[w]
+                bits |= _word(w)
         article = article or x.tag in ("article", "main") or "main" in x.words
         x.known = bits, article
     return bits, article
@@ -155,6 +162,9 @@ class Designer:
 
     mark = ""
 
+    #: How a page writes its paragraphs.
+    leaf = "p"
+
     def __init__(self, seed: int):
         self.r = random.Random(seed)
 
@@ -171,33 +181,49 @@ class Designer:
     def named(self, tag: str, words: tuple[str, ...], inner: str) -> str:
         r = self.r
         name = r.choice(words)
-        how = r.choice((f' class="{name}"', f' id="{name}"', f' class="box {name}-wrap"', f" class='{name}'"))
+        how = r.choice((f' class="{name}"', f' id="{name}"', f' class="box {name}-wrap"', f" class='{name}'", f' class="{name}Box"', f' id="{name}bar"'))
         return f"<{tag}{how}>{inner}</{tag}>"
 
     def aside(self) -> str:
         """A part of the page that is not main text."""
         r = self.r
         kind = r.randrange(9)
-        text = lambda: f"<p>{self.words(3, 40)}</p>"
+        leaf = r.choice(("p", "p", "div", "li"))
+        text = lambda: f"<{leaf}>{self.words(3, 40)}</{leaf}>"
         if kind == 0:
-            return r.choice(("<nav>{}</nav>", '<div class="menu">{}</div>', '<div role="navigation">{}</div>')).format(self.links(r.randint(2, 9)))
+            inner = r.choice((self.links(r.randint(2, 9)),) * 3 + (f"<span>{self.words(1, 2)}</span> <span>{self.words(1, 3)}</span>",))
+            return r.choice((f"<nav>{inner}</nav>", f'<div role="navigation">{inner}</div>', self.named("div", ("nav", "menu", "header", "search", "login"), inner)))
         if kind == 1:
             return self.named(r.choice(("div", "aside", "section")), ("ad", "ads", "advert", "advertisement", "sponsored", "promo", "banner"), r.choice((self.words(3, 30), text())))
         if kind == 2:
             return self.named(r.choice(("aside", "div")), ("sidebar", "widget", "related", "complementary"), f"<h3>{self.words(1, 4)}</h3>" + r.choice((self.links(r.randint(2, 7)), text(), text() + self.links(3))))
         if kind == 3:
-            return self.named("div", ("cookie-notice", "consent", "notice", "alert", "popup", "modal", "newsletter", "subscribe"), text() + r.choice(("", "<button>Ok</button>")))
+            return self.named("div", ("cookie", "cookie-notice", "consent", "notice", "alert", "popup", "modal", "newsletter", "subscribe"), r.choice((text(), self.words(3, 30))) + r.choice(("", "<button>Ok</button>")))
         if kind == 4:
             return f"<form><label>{self.words(1, 4)}</label><input name=q><button>{self.words(1, 2)}</button>" + r.choice(("", text())) + "</form>"
         if kind == 5:
-            who = "".join(self.named("div", ("comment", "reply"), f"<b>{self.words(1, 2)}</b>" + "".join(text() for _ in range(r.randint(1, 3)))) for _ in range(r.randint(1, 4)))
-            return self.named(r.choice(("div", "section")), ("comments", "replies", "disqus", "comment-list"), f"<h3>{self.words(1, 3)}</h3>" + who)
+            return self.comments()
         if kind == 6:
             return self.named("div", ("share", "social", "tags", "breadcrumb", "pagination"), self.links(r.randint(1, 5)))
         if kind == 7:
             return f"<header><a href=/>{self.words(1, 3)}</a><p>{self.words(2, 9)}</p></header>"
         return f"<aside>{r.choice((text(), self.links(3)))}</aside>"
 
+    def comments(self) -> str:
+        """What readers wrote."""
+        r = self.r
+        leaf = r.choice(("p", "p", "div", "li"))
+        said = ["".join(f"<{leaf}>{self.words(3, 40)}</{leaf}>" for _ in range(r.randint(1, 3))) for _ in range(r.randint(1, 4))]
+        if r.random() < 0.6:
+            said = [self.named("div", ("comment", "reply"), f"<b>{self.words(1, 2)}</b>" + x) for x in said]
+        return self.named(r.choice(("div", "section", "ul", "ol")), ("comments", "replies", "disqus", "comment-list", "user-comments"), r.choice(("", f"<h3>{self.words(1, 3)}</h3>")) + "".join(said))
+
+    def paragraph(self, inner: str) -> str:
+        """A paragraph of main text, as the page writes them."""
+        if self.leaf == "p":
+            return f"<p>{inner}</p>"
+        return {"div": f"<div>{inner}</div>", "span": f"<div><span>{inner}</span></div>", "br": f"{inner}<br><br>"}[self.leaf]
+
     def part(self) -> str:
         """A part of the main text."""
         r, m = self.r, self.mark
@@ -206,6 +232,8 @@ class Designer:
             inner = self.words(*r.choice(((1, 3), (4, 14), (15, 60), (60, 140))))
             if r.random() < 0.2:
                 inner += f' <a href="/x">{self.words(1, 4)}</a> {self.words(1, 9)}'
+            if self.leaf != "p":
+                return self.paragraph(m + inner)
             return f"<p>{r.choice(('', '', '<b>', '<i>'))}{m}{inner}" + r.choice(("</p>", "</p>", "", f"<br>{m}{self.words(2, 20)}</p>"))
         if kind == 7:
             return f"<h{r.randint(2, 4)}>{m}{self.words(1, 8)}</h{r.randint(2, 4)}>"
@@ -223,12 +251,19 @@ class Designer:
 
     def page(self) -> str:
         r = self.r
+        self.leaf = r.choice(("p",) * 6 + ("div", "span", "br", "br"))
+        kind = r.random()
+        if kind < 0.08:  # nothing but text
+            text = "".join(self.paragraph(self.mark + self.words(2, 60)) for _ in range(r.choice((1, 1, 2, 4))))
+            return r.choice((text, text, f"<html><head><title>t</title></head><body>{text}</body></html>", f"<div>{text}</div>", f"<article>{text}</article>", f'<body><div class="{r.choice(MAIN_WORDS)}">{text}</div></body>'))
+        if kind < 0.11:  # no main text
+            return "<html><body>" + "".join(self.aside() for _ in range(r.randint(1, 3))) + f"<footer>{self.words(1, 9)}</footer></body></html>"
         parts = [self.part() for _ in range(r.randint(1, 12))]
         title = f"<h1>{self.mark}{self.words(2, 10)}</h1>"
         title = r.choice((title, title, f"<header>{title}</header>", ""))
-        for _ in range(r.choice((0, 0, 0, 1, 2))):
+        for _ in range(r.choice((0, 0, 1, 2))):
             parts.insert(r.randint(0, len(parts)), self.aside())
-        inner = title + "".join(parts)
+        inner = title + "".join(parts) + (self.comments() if r.random() < 0.3 else "")
         plain = r.random() < 0.35  # nothing says which part is the article
         if plain:
             inner = r.choice((f"<div>{inner}</div>", f"<div><div>{inner}</div></div>", inner, f"<section>{inner}</section>", f"<table><tr><td>{inner}</td></tr></table>", f'<div id="c{r.randint(1, 99)}">{inner}</div>'))
@@ -236,7 +271,7 @@ class Designer:
             inner = r.choice((f"<article>{inner}</article>",) * 5 + (f"<main>{inner}</main>", f"<main><article>{inner}</article></main>", self.named("div", MAIN_WORDS, inner), f'<div id="page"><div class="{r.choice(MAIN_WORDS)}-body">{inner}</div></div>', f'<div role="main">{inner}</div>'))
         before, after = [self.aside() for _ in range(r.randint(0, 3))], [self.aside() for _ in range(r.randint(0, 3))]
         end = f"<p>{self.words(1, 9)}</p>" if r.random() < 0.4 else f"&copy; example.com &middot; {self.words(2, 12)}"
-        foot = r.choice((f"<footer>{end}</footer>", f'<div class="footer">{end}</div>', f"<footer>{self.links(3)}{end}</footer>", ""))
+        foot = r.choice((f"<footer>{end}</footer>", f'<div class="{r.choice(("footer", "footer", "copyright", "contentinfo"))}">{end}</div>', f"<footer>{self.links(3)}{end}</footer>", ""))
         body = "".join(before) + inner + "".join(after) + foot
         if r.random() < 0.1:
             body = f'<form method="post" action="/">{body}</form>'

@@ -37,6 +37,54 @@ MALFORMED = {
 }
 
 
+MENU, FOOT = '<nav><a href="/">Home</a> <a href="/b">About</a></nav>', "<footer>© 2024 Example</footer>"
+BODIES = {
+    "p": "".join(f"<p>{p}</p>" for p in PARAGRAPHS),
+    "div": "".join(f"<div>{p}</div>" for p in PARAGRAPHS),
+    "span in div": "".join(f"<div><span>{p}</span></div>" for p in PARAGRAPHS),
+    "br": "<br><br>".join(PARAGRAPHS),
+}
+AROUND = ("{}", "<div>{}</div>", "<article>{}</article>", "<main>{}</main>", '<div class="content">{}</div>', '<div class="post">{}</div>', '<div class="postBody">{}</div>')
+REMARKS = (
+    '<section class="comments"><p>I liked this a lot, thanks for the post.</p><p>Me too, great.</p></section>',
+    '<div id="commentList"><div>Anna wrote: I liked this a lot.</div><div>Me too, great.</div></div>',
+    '<ul class="reader-comments"><li>I liked this a lot, thanks.</li><li>Me too, great.</li></ul>',
+)
+NOTICES = (
+    '<div class="cookiebar">We use cookies, to make this site better for you.</div>',
+    '<div class="cookieBar"><p>We use cookies, to make this site better for you. <button>OK</button></p></div>',
+)
+
+
+@pytest.mark.parametrize("body", BODIES)
+@pytest.mark.parametrize("around", AROUND)
+def test_articles_however_paragraphs_are_written(body, around):
+    for before, after in (("", ""), (MENU, FOOT)):
+        page = f"<html><head><title>t</title></head><body>{before}{around.format(BODIES[body])}{after}</body></html>"
+        assert html_extraction.main_text(page, html_extraction.trained()) == "\n".join(PARAGRAPHS)
+
+
+@pytest.mark.parametrize("page", ["A text without any markup at all", "<p>Hello world.</p>", f"<p>{PARAGRAPHS[0]}</p>", " ".join(PARAGRAPHS)])
+def test_a_page_of_text_alone(page):
+    assert html_extraction.main_text(page, html_extraction.trained()) == page.removeprefix("<p>").removesuffix("</p>")
+
+
+@pytest.mark.parametrize("remarks", REMARKS)
+def test_comments_inside_the_article_go(remarks):
+    page = f"<body>{MENU}<article>{PLAIN}{remarks}</article>{FOOT}</body>"
+    assert html_extraction.main_text(page, html_extraction.trained()) == TEXT
+
+
+@pytest.mark.parametrize("notice", NOTICES)
+def test_notices_with_compound_names_go(notice):
+    for page in (f"<body>{notice}{MENU}{ARTICLE}{FOOT}</body>", f"<body>{MENU}<article>{notice}{PLAIN}</article>{FOOT}</body>", f'<body>{notice}{MENU}<div class="content">{PLAIN}</div>{FOOT}</body>'):
+        assert html_extraction.main_text(page, html_extraction.trained()) == TEXT
+
+
+def test_a_page_without_main_text():
+    assert html_extraction.main_text(f"<html><body>{MENU}{FOOT}</body></html>", html_extraction.trained()) == ""
+
+
 @pytest.mark.parametrize("name", MALFORMED)
 def test_the_whole_article_is_found(name):
     assert html_extraction.main_text(MALFORMED[name], html_extraction.trained()) == TEXT
