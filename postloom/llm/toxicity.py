@@ -14,6 +14,8 @@ Only the fit works on a sample: at most SAMPLE rows of each label, taken by a ha
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 from typing import NamedTuple
 
 import numpy as np
@@ -75,22 +77,35 @@ def _hashed(texts: list[str], wanted: np.ndarray | None) -> Iterator[tuple[int,
                     yield first, rows[hit], buckets[hit]
 
 
+def _levels(texts: list[str], features: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, feature) pairs, each once, for spans of whole rows; of the given features only, as places among them, if given."""
+    for first, parts in groupby(_hashed(texts, None if features is None else _table(features)), itemgetter(0)):
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for _, rows, buckets in parts:
+            keys, counts = _merged(keys, counts, (rows.astype(np.int64) + first) << BUCKET_BITS | buckets)
+        for level, least in enumerate(LEVELS):
+            key = keys[counts >= least]
+            rows, found = key >> BUCKET_BITS, level << BUCKET_BITS | key & (1 << BUCKET_BITS) - 1
+            if features is not None:
+                place = np.searchsorted(features, found)
+                there = features[np.minimum(place, len(features) - 1)] == found if len(features) else np.zeros(0, bool)
+                rows, found = rows[there], place[there]
+            yield rows, found
+
+
+def _merged(keys: np.ndarray, counts: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and their counts, with further keys counted in."""
+    more, count = np.unique(more, return_counts=True)
+    if not len(keys):
+        return more, count
+    keys, place = np.unique(np.concatenate([keys, more]), return_inverse=True)
+    return keys, np.bincount(place, np.concatenate([counts, count])).astype(np.int64)
+
+
 def _features(texts: list[str], features: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature) pairs, each once; of the given features only, as places among them, if given."""
-    keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for first, rows, buckets in _hashed(texts, None if features is None else _table(features)):
-        key, count = np.unique((rows.astype(np.int64) + first) << BUCKET_BITS | buckets, return_counts=True)
-        keys.append(key)
-        counts.append(count)
-    key, place = np.unique(np.concatenate(keys), return_inverse=True)
-    count = np.bincount(place, np.concatenate(counts), len(key))
-    level, at = np.nonzero(count >= np.array(LEVELS)[:, None])
-    rows, found = key[at] >> BUCKET_BITS, level << BUCKET_BITS | key[at] & (1 << BUCKET_BITS) - 1
-    if features is None:
-        return rows, found
-    place = np.searchsorted(features, found)
-    there = features[np.minimum(place, len(features) - 1)] == found if len(features) else np.zeros(0, bool)
-    return rows[there], place[there]
+    """The pairs of all spans."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64)), *_levels(texts, features)]
+    return np.concatenate([rows for rows, _ in found]), np.concatenate([places for _, places in found])
 
 
 def _texts(column: pa.Array) -> list[str]:
@@ -98,13 +113,14 @@ def _texts(column: pa.Array) -> list[str]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros((2, len(LEVELS) << BUCKET_BITS), np.int32)
+    top = len(LEVELS) << BUCKET_BITS
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for batch in batches:
-        labels = batch.column(0).to_numpy(zero_copy_only=False)
-        rows, found = _features(_texts(batch.column(1)))
-        np.add.at(counts, (labels[rows], found), 1)
-    some = np.flatnonzero(counts.any(axis=0))
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[0, some].astype(np.int64)), pa.array(counts[1, some].astype(np.int64))], ["feature", "q", "p"])
+        labels = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        for rows, found in _levels(_texts(batch.column(1))):
+            keys, counts = _merged(keys, counts, labels[rows] * top + found)
+    toxic = keys >= top
+    yield pa.RecordBatch.from_arrays([pa.array(keys % top), pa.array(np.where(toxic, 0, counts)), pa.array(np.where(toxic, counts, 0))], ["feature", "q", "p"])
 
 
 def _table(features: np.ndarray) -> np.ndarray:
