@@ -54,8 +54,12 @@ def normalize_location(c: Column | str) -> Column:
 
 def dedupe_hash(company: Column | str, title: Column | str, location: Column | str) -> Column:
     """The first 32 hex digits of the SHA-256 of the three normalised fields."""
-    key = F.concat_ws("|", normalize_company(company), normalize_title(title), normalize_location(location))
-    return F.substring(F.sha2(key, 256), 1, 32)
+    return normalized_hash(normalize_company(company), normalize_title(title), normalize_location(location))
+
+
+def normalized_hash(company: Column | str, title: Column | str, location: Column | str) -> Column:
+    """``dedupe_hash`` of fields that are normalised already, as where a join repeats each of them in many rows."""
+    return F.substring(F.sha2(F.concat_ws("|", company, title, location), 256), 1, 32)
 
 
 def experience_level(title: Column | str, description: Column | str) -> Column:
