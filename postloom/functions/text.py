@@ -133,8 +133,8 @@ def role_slug(c: Column | str) -> Column:
 def ordered_distinct(items: Column, most: int = 10) -> Column:
     """Trimmed items, the first of each spelling (case ignored), at most ``most``."""
     trimmed = F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
-    first = F.filter(trimmed, lambda x, i: F.array_position(F.transform(trimmed, F.lower), F.lower(x)) == i + 1)
-    return F.slice(first, 1, most)
+    low = F.transform(trimmed, F.lower)
+    return F.transform(F.slice(F.array_distinct(low), 1, most), lambda x: F.element_at(trimmed, F.array_position(low, x).cast("int")))
 
 
 def age(seconds: Column) -> Column:

@@ -25,6 +25,18 @@ def select_best(items: DataFrame, by: str, score: str, pos: str, most: int) -> D
     return items.where(F.col(score) > 0).withColumn("rank", rank).where(F.col("rank") <= most)
 
 
+def first_spellings(items: DataFrame, by: str, order: str, item: str, most: int = 10) -> DataFrame:
+    """(by, items): each group's items in order as ``text.ordered_distinct`` keeps them, for groups of any size.
+
+    Spellings are reduced map-side, so a group is as many rows as it has spellings.
+    """
+    said = items.select(by, order, F.trim(item).alias("_said")).where("_said <> ''")
+    first = said.groupBy(by, F.lower("_said").alias("_low")).agg(F.min(F.struct(order, "_said")).alias("_first"))
+    rank = F.row_number().over(W.partitionBy(by).orderBy("_first"))
+    kept = first.withColumn("_n", rank).where(F.col("_n") <= most)
+    return kept.groupBy(by).agg(F.transform(F.array_sort(F.collect_list("_first")), lambda x: x["_said"]).alias("items"))
+
+
 def ungrounded(tailored: Column, originals: Column) -> Column:
     """Numbers that the tailored text has and the originals lack."""
     return F.array_except(numbers_in(tailored), numbers_in(originals))

@@ -1,8 +1,13 @@
 """Queries whose work once grew faster than their tables."""
 
+import random
+import time
+
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from postloom.functions import text
+from postloom.operators import assemble
 
 
 def _folder(tmp_path, **tables) -> str:
@@ -20,3 +25,20 @@ def test_fields_are_normalised_before_the_join(spark, tmp_path):
     above = plan[: plan.index("Join")]
     assert "sha2" in above and "regexp" not in above  # only the hash is left for each pair
     assert rows.count() == 40_000
+
+
+def test_spellings_take_linear_time(spark):
+    rows = spark.range(60_000).select(F.lit("b").alias("by"), "id", F.concat(F.lit(" Type "), F.col("id").cast("string")).alias("said"))
+    listed = rows.groupBy("by").agg(F.array_sort(F.collect_list("said")).alias("all"))
+    began = time.perf_counter()
+    assert len(listed.select(text.ordered_distinct(F.col("all")).alias("o")).first().o) == 10
+    assert time.perf_counter() - began < 30
+
+
+def test_first_spellings_equal_the_list(spark):
+    r = random.Random(5)
+    rows = [(r.choice(("x", "y", None)), k, r.choice((" A", "a", "b ", "B", "", None, *(f"t{j}" for j in range(15))))) for k in range(400)]
+    df = spark.createDataFrame(rows, "by string, id long, said string").repartition(5)
+    listed = df.groupBy("by").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "said"))), lambda x: x["said"]).alias("all"))
+    want = {x.by: x.o for x in listed.select("by", text.ordered_distinct(F.col("all")).alias("o")).collect()}
+    assert {x.by: x["items"] for x in assemble.first_spellings(df, "by", "id", "said").collect()} == want
