@@ -32,10 +32,10 @@ def expected(source: str, **said: str) -> str:
 
 
 def _pages(t, item: str, path: str | None, extra: str = "", *keys: str) -> DataFrame:
-    """Payloads of up to 50 rows: the items listed under a path, with the keys as columns."""
+    """Payloads of up to 50 rows: the items listed under a path in the order of k, with the keys as columns."""
     t.part.createOrReplaceTempView("part")
     base = t.spark.sql(BASE).withColumn("page", F.expr("k div 50"))
-    listed = base.groupBy(*keys, "page").agg(F.expr(f"collect_list({item})").alias("items"))
+    listed = base.groupBy(*keys, "page").agg(F.expr(f"transform(array_sort(collect_list(struct(k, {item} as said))), x -> x.said)").alias("items"))
     body = "to_json(items)" if path is None else f"to_json(named_struct({extra}'{path}', items))"
     return listed.select(*keys, F.expr(body).alias("payload"))
 

@@ -53,3 +53,10 @@ def test_asof_prices_pair_no_event_with_parts(spark, tmp_path):
     want = {e: max((p for p, price, size in parts if price is not None and size == u % 50 + 1 and 880 + v < price <= 900 + v), default=None) for e, v, u in events if v is not None}
     assert {x.event_id: x.part for x in rows.collect()} == {e: p for e, p in want.items() if p is not None}
     assert "p_retailprice" not in "".join(line for line in rows._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line)
+
+
+def test_payloads_list_items_in_order(spark, tmp_path):
+    k = F.col("id")
+    parts = spark.range(0, 100, 1, 1).orderBy(k % 2 == 0, -k).select(k.alias("p_partkey"), F.lit("bolt").alias("p_name"), F.lit("b").alias("p_brand"), F.lit("t").alias("p_type"), F.lit(1).alias("p_size"))
+    folder = _folder(tmp_path, part=parts.coalesce(1))
+    assert sorted(int(x.url.rsplit("/")[-1]) for x in __spark_entry__.queries()["source_remotive"](spark, folder).collect()) == list(range(0, 100, 2))
