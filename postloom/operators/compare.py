@@ -45,7 +45,7 @@ def report(jobs: DataFrame, scores: DataFrame, models: list[str], threshold: int
 
 
 def progress(status: F.Column, since: F.Column, now: F.Column, stale_seconds: int = 2700) -> F.Column:
-    """(active, stalled): a record that claims to run for longer than stale_seconds has stalled."""
+    """(active, stalled): a record that claims to run for longer than stale_seconds, by any part of a second, has stalled."""
     runs = status.isin("queued", "running")
-    stalled = runs & F.coalesce(F.timestamp_diff("SECOND", since, now) > stale_seconds, F.lit(False))
+    stalled = runs & F.coalesce(now - F.make_dt_interval(secs=F.lit(stale_seconds)) > since, F.lit(False))
     return F.struct((runs & ~stalled).alias("active"), stalled.alias("stalled"))

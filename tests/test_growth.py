@@ -1,5 +1,6 @@
 """Queries whose work once grew faster than their tables."""
 
+import datetime
 import random
 import time
 
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from postloom.functions import text
-from postloom.operators import assemble
+from postloom.operators import assemble, compare
 
 
 def _folder(tmp_path, **tables) -> str:
@@ -60,3 +61,9 @@ def test_payloads_list_items_in_order(spark, tmp_path):
     parts = spark.range(0, 100, 1, 1).orderBy(k % 2 == 0, -k).select(k.alias("p_partkey"), F.lit("bolt").alias("p_name"), F.lit("b").alias("p_brand"), F.lit("t").alias("p_type"), F.lit(1).alias("p_size"))
     folder = _folder(tmp_path, part=parts.coalesce(1))
     assert sorted(int(x.url.rsplit("/")[-1]) for x in __spark_entry__.queries()["source_remotive"](spark, folder).collect()) == list(range(0, 100, 2))
+
+
+def test_part_of_a_second_over_is_stalled(spark):
+    at = [datetime.datetime(2024, 1, 1, 0, 0, 0, micro) for micro in (0, 1, 500_000)] + [datetime.datetime(2023, 12, 31, 23, 59, 59, 999_999)]
+    df = spark.createDataFrame([(x,) for x in at], "at timestamp_ntz").select("at", compare.progress(F.lit("running"), F.col("at"), F.lit("2024-01-01 00:00:10").cast("timestamp_ntz"), 10).alias("p"))
+    assert [(x.p.active, x.p.stalled) for x in df.orderBy("at").collect()] == [(False, True), (True, False), (True, False), (True, False)]
