@@ -3,12 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .scratch import materialize
 from .skew import with_group
 
 
+#: Links of a node that may meet in one task; where none has more, each minimum is a window, which shuffles the links once.
+NODE_LINKS = 20_000
+
+
+def _with_least(links: DataFrame, total: int) -> DataFrame:
+    """Links (u, v) with ``m``, the least v of each u."""
+    most = links.groupBy("u").count().agg(F.max("count")).first()[0]
+    if (most or 0) <= NODE_LINKS:
+        return links.withColumn("m", F.min("v").over(W.partitionBy("u")))
+    return with_group(links, "u", "v", total, F.min("v").alias("m"))
+
+
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): component is the smallest node that links reach, the node itself included.
 
@@ -20,12 +33,12 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     pairs = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v").distinct()
     pairs, before = materialize(pairs, "links"), None
-    total, least = pairs.count(), F.min("v").alias("m")
+    total = pairs.count()
     while True:
         both = pairs.union(pairs.select("v", "u")).toDF("u", "v")
-        large = with_group(both, "u", "v", 2 * total, least).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        large = _with_least(both, 2 * total).where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
         large = materialize(large.distinct(), "stars")
-        small = with_group(large, "u", "v", total, least).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        small = _with_least(large, total).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         pairs = materialize(small.where("u <> v").distinct(), "links")
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:

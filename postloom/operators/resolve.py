@@ -22,11 +22,12 @@ from pyspark.sql import functions as F
 from ..components import connected_components
 from ..functions.dates import is_stale
 from ..scratch import materialize
-from ..session import cut
 from ..skew import with_group
 
 #: First rows of a component that one task replays, and open rows that are replayed at a time.
 REPLAY_ROWS = 50_000
+#: About how many rows of small components are replayed by one call, whatever the number of components.
+BATCH_ROWS = 10_000
 #: The share of the open rows that a wave must settle, or else the first of them are replayed.
 WAVE_SHARE = 0.1
 
@@ -67,25 +68,27 @@ def _labels(edges: DataFrame) -> DataFrame:
 
 def components(postings: DataFrame) -> DataFrame:
     """Adds ``component``: the least row key among rows that urls, ids or hashes connect, over any number of links."""
-    label = _labels(cut(vias(postings))).withColumnRenamed("node", "key")
+    label = _labels(materialize(vias(postings), "vias")).withColumnRenamed("node", "key")
     return postings.join(label, "key", "left").withColumn("component", F.coalesce("component", "key")).where("key is not null")
 
 
 def settle(rows: pd.DataFrame) -> pd.DataFrame:
-    """When each key of one component is first known and whose it is: (via, seq, key, keeper).
+    """When each key is first known and whose it is: (via, seq, key, keeper).
 
-    ``rows`` has the first row of each combination of keys (u, i, h); old_u, old_i and old_h are the existing
-    rows' keepers, known before all.
+    ``rows`` has the first row of each combination of keys (u, i, h) of whole components, one or more; old_u, old_i and old_h are the
+    existing rows' keepers, known before all.  Components share no key that a row could make known, so they do not meet.
     """
     known: dict[str, str] = {}
     out = []
-    for r in rows.sort_values(["seq", "key"]).to_dict("records"):
-        found = next((c for c in "uih" if isinstance(r[f"old_{c}"], str) or r[c] in known), None)
-        keeper = r["key"] if found is None else known.get(r[found], r[f"old_{found}"])
+    rows = rows.sort_values(["seq", "key"])
+    for seq, key, *keys in zip(*(rows[c].to_list() for c in ("seq", "key", "u", "i", "h", "old_u", "old_i", "old_h")), strict=True):
+        r, old = dict(zip("uih", keys[:3], strict=True)), dict(zip("uih", keys[3:], strict=True))
+        found = next((c for c in "uih" if isinstance(old[c], str) or r[c] in known), None)
+        keeper = key if found is None else known.get(r[found], old[found])
         for c in "uih" if found is None else "u" if found == "h" else "":
             if isinstance(r[c], str):
                 known[r[c]] = keeper
-                out.append((r[c], r["seq"], r["key"], keeper))
+                out.append((r[c], seq, key, keeper))
     return pd.DataFrame(out, columns=["via", "seq", "key", "keeper"])
 
 
@@ -173,20 +176,24 @@ def outcomes(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
     edges = vias(rows, "seq", "is_existing")
     if known is not None:
         edges = edges.unionByName(known.select(F.col("keeper").alias("key"), "via", F.lit(None).cast(edges.schema["seq"].dataType).alias("seq"), F.lit(True).alias("is_existing")))
-    edges = cut(edges)
+    edges = materialize(edges, "vias")
     old = F.min_by(F.when(F.col("is_existing"), F.col("key")), F.when(F.col("is_existing"), order)).alias("old")
-    shared = with_group(edges, "via", "key", edges.count(), old, F.count("*").alias("n"), having="n > 1").where("not is_existing")
+    total = edges.count()
+    shared = materialize(with_group(edges, "via", "key", total, old, F.count("*").alias("n"), having="n > 1").where("not is_existing"), "shared")  # read twice
     kinds = {c: F.col("via").startswith(f"{c}:") for c in "uih"}
     keyed = shared.groupBy("key").agg(F.first("seq").alias("seq"), *(F.max(F.when(is_kind, F.col("via"))).alias(c) for c, is_kind in kinds.items()), *(F.max(F.when(is_kind, F.col("old"))).alias(f"old_{c}") for c, is_kind in kinds.items()))
     firsts = keyed.groupBy(*"uih").agg(F.min(order).alias("at"), *(F.max(f"old_{c}").alias(f"old_{c}") for c in "uih"))
-    firsts = cut(firsts.select("at.seq", "at.key", *"uih", *(f"old_{c}" for c in "uih")))
+    firsts = materialize(firsts.select("at.seq", "at.key", *"uih", *(f"old_{c}" for c in "uih")), "firsts")
 
     links = firsts.select("key", F.explode(F.array(*(F.when(F.col(f"old_{c}").isNull(), F.col(c)) for c in "uih"))).alias("via")).where("via is not null")
-    labelled = cut(firsts.join(_labels(links).withColumnRenamed("node", "key"), "key", "left"))
+    labelled = materialize(firsts.join(_labels(links).withColumnRenamed("node", "key"), "key", "left"), "labelled")
     kind = dict(labelled.dtypes)["seq"]
-    sized = materialize(with_group(labelled, "component", "key", labelled.count(), F.count("*").alias("size")), "sized")
-    small = sized.where(F.col("size") <= REPLAY_ROWS)
-    mixed = small.groupBy("component").applyInPandas(lambda _, pdf: settle(pdf), _SETTLED.format(kind=kind))
+    rows_left = labelled.count()
+    sized = materialize(with_group(labelled, "component", "key", rows_left, F.count("*").alias("size")), "sized")
+    # a call for each of very many small components would cost more than their rows, so whole components are replayed together
+    batch = F.pmod(F.xxhash64("component"), F.lit(-(-rows_left // BATCH_ROWS) or 1))
+    small = sized.where(F.col("size") <= REPLAY_ROWS).withColumn("_batch", batch)
+    mixed = small.groupBy("_batch").applyInPandas(lambda _, pdf: settle(pdf), _SETTLED.format(kind=kind))
     mixed = mixed.unionByName(settle_in_waves(sized.where(F.col("size") > REPLAY_ROWS)))
     alone = labelled.where("component is null and old_u is null and old_i is null")
     sets = F.when(F.col("old_h").isNull(), F.array(*"uih")).otherwise(F.array("u"))
@@ -196,7 +203,7 @@ def outcomes(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
     told = shared.select("key", "via", "seq", "old").withColumns({"at": F.lit(None).cast(settled.schema["at"].dataType), "keeper": F.lit(None).cast("string")})
     told = told.unionByName(settled.selectExpr("cast(null as string) as key", "via", f"cast(null as {kind}) as seq", "cast(null as string) as old", "at", "keeper"))
     told = told.withColumnsRenamed({"at": "_at", "keeper": "_keeper"})
-    told = with_group(told, "via", "key", edges.count(), F.min("_at").alias("at"), F.min_by("_keeper", "_at").alias("keeper")).where("key is not null")
+    told = with_group(told, "via", "key", total, F.min("_at").alias("at"), F.min_by("_keeper", "_at").alias("keeper")).where("key is not null")
     whose = F.coalesce("old", F.when(F.col("at") < order, F.col("keeper")))
     hits = told.groupBy("key").agg(*(F.max(F.when(is_kind, whose)).alias(f"by_{c}") for c, is_kind in kinds.items()))
     out = rows.where("not is_existing").select("key").distinct().join(hits, "key", "left")
@@ -212,7 +219,7 @@ def _told(incoming: DataFrame, now: F.Column, max_age_days: int, existing: DataF
     rows = marked.where("not _stale").select(*columns, F.array("url").alias("source_urls"), F.lit(False).alias("is_existing"))
     if existing is not None:
         rows = rows.unionByName(existing.select(*columns, "source_urls", F.lit(True).alias("is_existing")))
-    found = cut(outcomes(rows.withColumn("url", F.explode_outer("source_urls")), known))
+    found = materialize(outcomes(rows.withColumn("url", F.explode_outer("source_urls")), known), "found")
     told = rows.join(found, "key", "left").withColumns({"outcome": F.coalesce("outcome", F.lit("existing")), "keeper": F.coalesce("keeper", "key")})
     return marked, told, found.count()
 

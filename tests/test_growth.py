@@ -3,12 +3,13 @@
 import datetime
 import random
 import time
+import uuid
 
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from postloom.functions import text
-from postloom.operators import assemble, compare
+from postloom.operators import assemble, compare, resolve
 
 
 def _folder(tmp_path, **tables) -> str:
@@ -67,3 +68,18 @@ def test_part_of_a_second_over_is_stalled(spark):
     at = [datetime.datetime(2024, 1, 1, 0, 0, 0, micro) for micro in (0, 1, 500_000)] + [datetime.datetime(2023, 12, 31, 23, 59, 59, 999_999)]
     df = spark.createDataFrame([(x,) for x in at], "at timestamp_ntz").select("at", compare.progress(F.lit("running"), F.col("at"), F.lit("2024-01-01 00:00:10").cast("timestamp_ntz"), 10).alias("p"))
     assert [(x.p.active, x.p.stalled) for x in df.orderBy("at").collect()] == [(False, True), (True, False), (True, False), (True, False)]
+
+
+def test_small_components_are_replayed_together(spark, tmp_path, monkeypatch):
+    plain, calls = resolve.settle, str(tmp_path)
+
+    def counted(rows):
+        open(f"{calls}/{uuid.uuid4().hex}", "w").close()
+        return plain(rows)
+
+    monkeypatch.setattr(resolve, "settle", counted)
+    rows = [x for k in range(100) for x in ((f"a{k}", 3 * k, f"u{k}", f"h{k}"), (f"b{k}", 3 * k + 1, f"u{k}", f"own{k}"), (f"c{k}", 3 * k + 2, f"v{k}", f"h{k}"))]
+    df = spark.createDataFrame(rows, "key string, seq long, url string, dedupe_hash string").selectExpr("*", "'s' as source", "'' as source_job_id", "false as is_existing")
+    got = {x.key: (x.outcome, x.keeper) for x in resolve.outcomes(df).collect()}
+    assert got == {f"{c}{k}": (o, f"a{k}") for c, o in (("a", "inserted"), ("b", "skipped"), ("c", "merged")) for k in range(100)}
+    assert 0 < len(list(tmp_path.iterdir())) < 10  # calls, of 100 components
