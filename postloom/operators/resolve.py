@@ -63,7 +63,7 @@ def _labels(edges: DataFrame) -> DataFrame:
     """(node, component) of the rows that share a key with another row, until no label changes."""
     total = edges.count()
     links = with_group(edges, "via", "key", total, F.min("key").alias("least"), F.count("*").alias("n"), having="n > 1")
-    return connected_components(links, "key", "least")
+    return connected_components(links, "key", "least", windows=True)
 
 
 def components(postings: DataFrame) -> DataFrame:
