@@ -72,7 +72,8 @@ def register(query) -> None:
         inner = F.concat(F.lit('{"name":'), text("p_name"), F.lit(',"company":'), text("p_brand"), F.lit(',"url":'), url(""), F.lit(',"deep":{"title":"hidden","url":"https://x.example/no"}}'))
         deep = F.concat(F.repeat(F.lit("["), F.col("p_size") % 10), inner, F.repeat(F.lit("]"), F.col("p_size") % 10))
         other = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit('{"job":{"title":'), text("p_type"), F.lit(',"startup":{"name":"Acme"},"jobUrl":'), url("b"), F.lit("}}"))).otherwise(F.lit('{"title":"elsewhere","url":"https://y.example/1"}'))
-        blobs = t.part.select(F.col("p_partkey").alias("k"), F.concat(F.lit('{"a":['), deep, F.lit("],"), F.lit('"b":'), other, F.lit("}")).alias("payload"))
+        # a part is a few bytes and its blob long work, so parts are dealt out first: one file would be few tasks
+        blobs = t.part.repartition("p_partkey").select(F.col("p_partkey").alias("k"), F.concat(F.lit('{"a":['), deep, F.lit("],"), F.lit('"b":'), other, F.lit("}")).alias("payload"))
         found = json_levels.postings_in(blobs, "x.example", "s", ("k",))
         return found.select("k", F.when(F.col("url").contains("/b"), 1).otherwise(0).alias("n"), "title", "company", "url")
 
@@ -85,7 +86,8 @@ def register(query) -> None:
         nested = F.to_json(F.struct(F.struct(F.array(F.struct(F.col("p_name").alias("jobTitle"), key.alias("guid"), F.col("p_brand").alias("companyName"), F.struct(F.col("p_type").alias("title"), F.concat(F.lit("b"), key).alias("id"), F.struct(F.lit("Acme").alias("name")).alias("company")).alias("more"))).alias("list")).alias("props")))
         links = F.concat(F.lit('<a href="/job-detail/'), key, F.lit('">Role '), key, F.lit("</a>"))
         state = F.when(F.col("p_size") % 3 == 0, nested).otherwise('{"props":{"list":[]}}')
-        pages = t.part.select(F.concat(F.lit("https://www.dice.com/p"), key).alias("url"), F.concat(F.lit('<html><script id="__NEXT_DATA__" type="application/json">'), state, F.lit("</script>"), links, F.lit("</html>")).alias("payload"))
+        # a part is a few bytes and its page long work, so parts are dealt out first: one file would be few tasks
+        pages = t.part.repartition("p_partkey").select(F.concat(F.lit("https://www.dice.com/p"), key).alias("url"), F.concat(F.lit('<html><script id="__NEXT_DATA__" type="application/json">'), state, F.lit("</script>"), links, F.lit("</html>")).alias("payload"))
         return payloads.FAMILIES["dice"](pages).select("url", "title", "company")
 
     @query("customer_preferences", """

@@ -17,7 +17,6 @@ from ..functions.dates import posted_at, relative_date
 from ..functions.extract import absolute, anchors, search_cards, tenant_parts, thread_header
 from ..functions.pages import is_challenge
 from ..functions.text import experience_level, html_to_lines, is_remote, strip_tags, text
-from ..scratch import materialize
 from .json_levels import app_state
 
 RAW_COLUMNS = ("source", "source_job_id", "title", "company", "location", "is_remote", "url", "description", "experience_level", "posted_at_raw")
@@ -273,27 +272,43 @@ def json_ld(df: DataFrame, source: str = "jsonld") -> DataFrame:
     return raw(j, source, id=F.lit(None), title=got("$.title"), company=F.coalesce(got("$.hiringOrganization.name"), F.when(~got("$.hiringOrganization").rlike(r"^\s*[{\[]"), got("$.hiringOrganization"))), location=place, url=link, description=strip_tags(got("$.description")), posted=got("$.datePosted"), remote=F.coalesce(got("$.jobLocationType") == "TELECOMMUTE", F.lit(False)) | F.lower(place).contains("remote"))
 
 
+def _has_ld() -> Column:
+    return F.coalesce(F.col("payload").rlike(r"[\"']@type[\"']\s*:\s*[\"']JobPosting"), F.lit(False))
+
+
+def _link(href: Column, origin: str) -> Column:
+    return F.when(href.startswith("http"), href).otherwise(F.concat(F.lit(origin), href))
+
+
 def result_pages(df: DataFrame, source: str, origin: str, path: str, once: str) -> DataFrame:
     """Pages' JSON-LD postings; a page (url, payload) without any gives its links into a path, each once by title or href."""
-    bare = df.where(~F.coalesce(F.col("payload").rlike(r"[\"']@type[\"']\s*:\s*[\"']JobPosting"), F.lit(False)))
+    bare = df.where(~_has_ld())
     j = bare.select(*_kept(df, "url"), F.posexplode(anchors(F.col("payload"), path)).alias("pos", "j"))
     j = _first_of(j.withColumn("_once", F.col(f"j.{once}")), "url", "_once")
-    link = F.when(F.col("j.href").startswith("http"), F.col("j.href")).otherwise(F.concat(F.lit(origin), "j.href"))
     blank = F.lit("")
-    linked = raw(j, source, id=F.lit(None), title=F.col("j.title"), company=blank, location=blank, url=link, description=blank, posted=F.lit(None), remote=F.lit(False))
+    linked = raw(j, source, id=F.lit(None), title=F.col("j.title"), company=blank, location=blank, url=_link(F.col("j.href"), origin), description=blank, posted=F.lit(None), remote=F.lit(False))
     return json_ld(df, source).unionByName(linked)
 
 
 def state_pages(df: DataFrame, source: str, origin: str, path: str, once: str) -> DataFrame:
-    """As ``result_pages``, where a page without JSON-LD postings may embed them as app state, which comes before its links."""
-    pages = df.withColumn("_page", F.xxhash64("url", "payload"))
-    has_ld = F.coalesce(F.col("payload").rlike(r"[\"']@type[\"']\s*:\s*[\"']JobPosting"), F.lit(False))
-    keep = _kept(pages, "_page")
-    stated = materialize(app_state(pages.where(~has_ld & F.col("payload").contains("__NEXT_DATA__")), origin, path, keep), "stated")
-    rest = pages.join(stated.select("_page").distinct(), "_page", "left_anti").drop("_page")
-    got = {c: F.col(c) for c in ("title", "company", "location", "url", "description")}
-    rows = raw(stated, source, id=F.lit(None), posted=F.lit(None), remote=F.lower("location").contains("remote"), **got)
-    return result_pages(rest, source, origin, path, once).unionByName(rows)
+    """As ``result_pages``, where a page without JSON-LD postings may embed them as app state, each url of a page once, which comes before its links.
+
+    Pages are read row by row; only what was found is shuffled, once, to drop what comes again.
+    """
+    payload, blank = F.col("payload"), F.lit("")
+    bare = ~_has_ld()
+    told = F.when(bare & payload.contains("__NEXT_DATA__"), app_state(payload, origin, path))
+    # exploding one array into one row keeps the optimizer from walking the state again for each use
+    pages = df.select(*_kept(df, "url"), "payload", F.xxhash64("url", "payload").alias("_page"), F.explode(F.array(told)).alias("told"))
+    stated = F.transform("told", lambda x: F.struct(F.lit(True).alias("stated"), x["url"].alias("once"), *(x[c].alias(c) for c in ("title", "company", "location", "url", "description"))))
+    linked = F.transform(anchors(payload, path), lambda x: F.struct(F.lit(False).alias("stated"), x[once].alias("once"), x["title"].alias("title"), blank.alias("company"), blank.alias("location"), _link(x["href"], origin).alias("url"), blank.alias("description")))
+    j = pages.select(*_kept(df, "url"), "_page", F.posexplode(F.when(F.size("told") > 0, stated).when(bare, linked)).alias("pos", "j"))
+    # app state is told apart by page, links by the page's url
+    own = F.when(F.col("j.stated"), F.struct(*_kept(pages, "_page")))
+    first = _first_of(j.select(*j.columns, own.alias("_own"), F.when(~F.col("j.stated"), F.col("url")).alias("_at"), F.col("j.once").alias("_once")), "_own", "_at", "_once")
+    rows = raw(first, source, id=F.lit(None), posted=F.lit(None), remote=F.lower("j.location").contains("remote"), **{c: F.col(f"j.{c}") for c in ("title", "company", "location", "url", "description")})
+    plain = df.where(~bare | (payload.rlike(r"(?i)application/ld\+json") & (F.coalesce(F.size(told), F.lit(0)) <= 0)))
+    return json_ld(plain, source).unionByName(rows)
 
 
 FAMILIES: dict[str, Projection] = {f.__name__: f for f in (adzuna, jsearch, greenhouse, lever, ashby, smartrecruiters, workable, recruitee, workday, jooble, careerjet, findwork, linkedin, remotive, arbeitnow, remoteok, indeed, weworkremotely, themuse, himalayas, jobicy, hnhiring)} | {

@@ -1,6 +1,7 @@
 """Queries whose work once grew faster than their tables."""
 
 import datetime
+import json
 import random
 import time
 import uuid
@@ -8,8 +9,10 @@ import uuid
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from postloom import scratch
 from postloom.functions import text
 from postloom.operators import assemble, compare, resolve
+from postloom.sources import json_levels, payloads
 
 
 def _folder(tmp_path, **tables) -> str:
@@ -83,3 +86,31 @@ def test_small_components_are_replayed_together(spark, tmp_path, monkeypatch):
     got = {x.key: (x.outcome, x.keeper) for x in resolve.outcomes(df).collect()}
     assert got == {f"{c}{k}": (o, f"a{k}") for c, o in (("a", "inserted"), ("b", "skipped"), ("c", "merged")) for k in range(100)}
     assert 0 < len(list(tmp_path.iterdir())) < 10  # calls, of 100 components
+
+
+def test_app_state_is_walked_row_by_row(spark):
+    deep = {"title": "last", "id": 0, "company": "Acme"}
+    for k in range(1, 40):
+        deep = {"title": f"t{k}", "id": k % 30, "company": "Acme", "more": [deep]}
+    page = f'<script id="__NEXT_DATA__">{json.dumps(deep)}</script><a href="/job-detail/77">Linked role</a>'
+    odd = '<script type="application/ld+json">{"@type": "Job\\u0050osting", "title": "Stated", "url": "/job-detail/6"}</script>'
+    broken = '<script id="__NEXT_DATA__">{"a": [</script><a href="/job-detail/8">Linked role</a>'
+    rows = [("https://www.dice.com/1", page), ("https://www.dice.com/1", page), ("https://www.dice.com/2", page), ("https://www.dice.com/3", broken), ("https://www.dice.com/3", broken), ("https://www.dice.com/4", odd + page), ("https://www.dice.com/5", odd), ("https://www.dice.com/6", None)]
+    pages = spark.createDataFrame(rows, "url string, payload string")
+    since = scratch.mark()
+    found = payloads.FAMILIES["dice"](pages)
+    walked = json_levels.postings_in(pages.select("payload"), "x.example", "s")
+    assert scratch.mark() == since  # no level is written
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Window [") == 1 and walked.count() == 0
+    own = [(f"t{k}", f"https://www.dice.com/job-detail/{k % 30}") for k in range(10, 40) if k != 30]  # outer postings come first, an id of 0 is none
+    want = 3 * own + [("Linked role", "https://www.dice.com/job-detail/8"), ("Stated", "https://www.dice.com/job-detail/6")]
+    assert sorted((x.title, x.url) for x in found.collect()) == sorted(want)
+
+
+def test_parts_are_dealt_out_before_their_pages_are_walked(spark, tmp_path):
+    parts = spark.range(0, 300, 1, 1).selectExpr("id as p_partkey", "'bolt' as p_name", "'b' as p_brand", "'t' as p_type", "cast(id % 50 as int) as p_size")
+    folder = _folder(tmp_path, part=parts)
+    for name in ("app_state_pages", "json_walk_levels"):
+        df = __spark_entry__.queries()[name](spark, folder)
+        assert "RepartitionByExpression" in df._jdf.queryExecution().optimizedPlan().toString(), name
