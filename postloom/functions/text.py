@@ -15,6 +15,8 @@ TITLE_DROPPED = ("remote", "hybrid", "onsite", "urgent", "fulltime")
 REMOTE_PLACE = "remote|anywhere|worldwide|work from home|wfh"
 SENIOR_PATTERN = r"\b(senior|sr|lead|principal|staff|director|vp)\b"
 ENTRY_PATTERN = r"\bjunior\b|\bjr\b|\bentry[\s\-]level\b|\b0[\s\-]?[-–][\s\-]?[12]\s*years?\b|\bnew\s+grad\b|\bfresh(man|er)?\b"
+#: Of a class of characters: letters, marks, digits and the underscore of any script.
+WORD = r"\p{L}\p{M}\p{N}_"
 STOP_WORDS = ("a", "an", "the", "and", "or", "of", "in", "at", "for", "to", "with", "as", "is", "be", "are", "was", "were", "it", "on", "by", "from")
 
 
@@ -88,12 +90,15 @@ def skill_matches(description: Column | str, skills: list[str]) -> Column:
 
 
 def word(pattern: str) -> str:
-    """The pattern as a whole word: no letter, mark, digit or underscore of any script beside it."""
-    return rf"(?<![\p{{L}}\p{{M}}\p{{N}}_])(?:{pattern})(?![\p{{L}}\p{{M}}\p{{N}}_])"
+    """The pattern as a whole word: no letter, mark, digit or underscore of any script beside it.
+
+    To be searched for and not taken out, as what stands beside the word is matched too; Java's look-behind misses letters beyond U+FFFF.
+    """
+    return rf"(?:^|[^{WORD}])(?:{pattern})(?:$|[^{WORD}])"
 
 
 def title_words(title: Column | str) -> Column:
-    words = F.regexp_extract_all(F.lower(text(title)), F.lit(word("[a-z]+")), F.lit(0))
+    words = F.filter(F.split(F.lower(text(title)), f"[^{WORD}]+"), lambda w: w.rlike("^[a-z]+$"))
     return F.array_except(words, F.array(*map(F.lit, STOP_WORDS)))
 
 
